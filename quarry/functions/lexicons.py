@@ -19,6 +19,10 @@ DOMAIN_ORDER = ["technical", "medical", "legal", "financial"]
 WS_REGEX = (r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
 
+# The same characters as a class body, for "not whitespace" classes.
+WS_CLASS = (r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+
 # Characters stripped from both ends of a keyword (rule P2).
 KEYWORD_STRIP = ".,!?;:"
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions.lexicons import (CONTENT_DOMAIN_TERMS, DOMAIN_ORDER, FEEDBACK_CONCEPTS,
                                        FILENAME_DOMAIN_PATTERNS, FILENAME_DOMAIN_TERMS,
                                        KEYWORD_STOPWORDS, KEYWORD_STRIP, KNOWLEDGE_CONCEPTS,
-                                       WS_REGEX)
+                                       WS_CLASS, WS_REGEX)
 
 
 def _c(x) -> Column:
@@ -31,7 +31,19 @@ def words(text) -> Column:
 
 
 def word_count(text) -> Column:
-    return F.size(words(text))
+    """Number of whitespace-separated words (one regex scan, no array)."""
+    return F.regexp_count(_c(text), F.lit(f"[^{WS_CLASS}]+"))
+
+
+def long_words(text, min_len: int = 5, letters_only: bool = False) -> Column:
+    """Whitespace tokens of at least `min_len` characters, in order, in one regex scan:
+    a maximal run of non-whitespace of length >= min_len is exactly such a token (shorter
+    runs cannot match anywhere inside). With `letters_only`, only tokens made of letters."""
+    if letters_only:
+        pat = f"(?<![^{WS_CLASS}])\\p{{L}}{{{min_len},}}(?![^{WS_CLASS}])"
+    else:
+        pat = f"[^{WS_CLASS}]{{{min_len},}}"
+    return F.regexp_extract_all(_c(text), F.lit(pat), 0)
 
 
 def add_keywords(df: DataFrame, text, out: str = "keywords", n: int = 10,
@@ -44,9 +56,10 @@ def add_keywords(df: DataFrame, text, out: str = "keywords", n: int = 10,
     (-count, first position) order picks the top n. O(w log w) per text. Intermediate arrays
     are real columns so the lambdas read them instead of re-evaluating them per element.
     """
-    stop = _lit_array(stopwords)
-    toks = F.filter(words(F.lower(_c(text))),
-                    lambda x: (F.length(x) >= min_len) & ~F.array_contains(stop, x))
+    stop = _lit_array([w for w in stopwords if len(w) >= min_len])
+    toks = long_words(F.lower(_c(text)), min_len)
+    if stopwords and any(len(w) >= min_len for w in stopwords):
+        toks = F.filter(toks, lambda x: ~F.array_contains(stop, x))
     pairs = F.transform(toks, lambda x, i: F.struct(
         F.trim(x, F.lit(KEYWORD_STRIP)).alias("w"), i.alias("p")))
     return add_top_by_count(df.withColumn("_kw_s", F.array_sort(pairs)), "_kw_s", out, n)
@@ -81,19 +94,18 @@ def _matches(low: Column, terms: Sequence[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.instr(low, F.lit(t)) > 0, F.lit(t)) for t in terms]))
 
 
-def feedback_keywords(*cols, n: int = 10, min_len: int = 5) -> Column:
+def feedback_keywords(*cols, n: int = 10, min_len: int = 5, joined: bool = False) -> Column:
     """first n all-letter words longer than 4 of the joined non-empty texts, lower-cased,
-    duplicates kept."""
-    ws = F.filter(words(_joined_lower(cols)),
-                  lambda x: (F.length(x) >= min_len) & x.rlike(r"^\p{L}+$"))
+    duplicates kept. `joined=True`: the single column is already the joined lower text."""
+    ws = long_words(_c(cols[0]) if joined else _joined_lower(cols), min_len, letters_only=True)
     return F.slice(ws, 1, n)
 
 
 def feedback_concepts(*cols, lexicon: Mapping[str, Sequence[str]] = FEEDBACK_CONCEPTS,
-                      n: int = 5) -> Column:
+                      n: int = 5, joined: bool = False) -> Column:
     """lexicon terms (all domains, lexicon order) contained in the lower-cased joined text."""
     terms = [t for ts in lexicon.values() for t in ts]
-    return F.slice(_matches(_joined_lower(cols), terms), 1, n)
+    return F.slice(_matches(_c(cols[0]) if joined else _joined_lower(cols), terms), 1, n)
 
 
 def concepts(text, domain, lexicon: Mapping[str, Sequence[str]] = KNOWLEDGE_CONCEPTS) -> Column:

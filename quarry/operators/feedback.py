@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.functions.lexicons import FEEDBACK_CONCEPTS
-from quarry.plans.ordinal import shared_ranges, with_ordinal
+from quarry.plans.ordinal import running_sum, with_ordinal
 from quarry.plans.topk import ranked_list, top_k_rows, top_terms
 
 ARRIVAL = ["ts", "feedback_id"]
@@ -65,10 +65,7 @@ def example_quality(rating="rating", correction="correction", user_input="user_i
 def ingest_feedback(raw: DataFrame, lexicon: Mapping[str, Sequence[str]] = FEEDBACK_CONCEPTS) -> DataFrame:
     """Derive severity, keywords (F2), concepts (F3), session default and `processed`
     (true exactly when critical) for new feedback rows. Narrow: one pass, no shuffle."""
-    texts = ["user_input", "model_output", "user_comment", "correction"]
-    return (raw.withColumn("severity", severity())
-            .withColumn("keywords", tx.feedback_keywords(*texts))
-            .withColumn("concepts", tx.feedback_concepts(*texts, lexicon=lexicon))
+    return (_with_features(raw.drop("severity", "keywords", "concepts"), lexicon)
             .withColumn("session_id", F.coalesce(F.col("session_id").cast("string"),
                                                  F.col("feedback_id").cast("string")))
             .withColumn("processed", F.col("severity") == "critical"))
@@ -105,15 +102,21 @@ def trend(df: DataFrame, value: str, order_by: Sequence[str], group_by: Sequence
 
 # --------------------------------------------------------------------------- analysis
 def _with_features(fb: DataFrame, lexicon) -> DataFrame:
+    """Severity, F2 keywords and F3 concepts. The lower-cased joined text is one column that
+    both extractors read, so it is built once per row."""
     cols = fb.columns
     out = fb
     if "severity" not in cols:
         out = out.withColumn("severity", severity())
     texts = ["user_input", "model_output", "user_comment", "correction"]
-    if "keywords" not in cols:
-        out = out.withColumn("keywords", tx.feedback_keywords(*texts))
-    if "concepts" not in cols:
-        out = out.withColumn("concepts", tx.feedback_concepts(*texts, lexicon=lexicon))
+    need_kw, need_c = "keywords" not in cols, "concepts" not in cols
+    if need_kw or need_c:
+        out = out.withColumn("_fb_text", tx._joined_lower(texts))
+        if need_kw:
+            out = out.withColumn("keywords", tx.feedback_keywords("_fb_text", joined=True))
+        if need_c:
+            out = out.withColumn("concepts", tx.feedback_concepts("_fb_text", lexicon=lexicon, joined=True))
+        out = out.drop("_fb_text")
     return out
 
 
@@ -264,32 +267,6 @@ def running_rating_rows(fb: DataFrame) -> DataFrame:
         .withColumn("running_avg", F.col("running_sum") / F.col("running_count"))
 
 
-def running_sum(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str], value: str,
-                count_col: str, sum_col: str) -> DataFrame:
-    """Inclusive running count and sum of `value` per group in `order_by` order, computed
-    without a per-group single task: range partitions (materialised once, as in
-    `with_ordinal`), local running sums inside each partition, and offsets from the small
-    table of per-partition totals."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in [*group_by, *order_by]]
-    ranged = shared_ranges(df, keys, n).withColumn("_pid", F.spark_partition_id())
-    # local running values: window partitioned by (group, partition id) — partitions are
-    # range slices, so this window needs no further exchange beyond the range shuffle
-    wl = (Window.partitionBy(*group_by, "_pid").orderBy(*order_by)
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = (ranged.withColumn("_lc", F.count(F.lit(1)).over(wl))
-             .withColumn("_ls", F.sum(value).over(wl)))
-    totals = local.groupBy(*group_by, "_pid").agg(F.count(F.lit(1)).alias("_tc"),
-                                                   F.sum(value).alias("_ts"))
-    wt = Window.partitionBy(*group_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = (totals.withColumn("_oc", F.coalesce(F.sum("_tc").over(wt), F.lit(0)))
-            .withColumn("_os", F.coalesce(F.sum("_ts").over(wt), F.lit(0.0))))
-    return (local.join(offs.select(*group_by, "_pid", "_oc", "_os"), [*group_by, "_pid"])
-            .withColumn(count_col, F.col("_lc") + F.col("_oc"))
-            .withColumn(sum_col, F.col("_ls") + F.col("_os"))
-            .drop("_pid", "_lc", "_ls", "_oc", "_os"))
-
-
 def weak_areas(fb: DataFrame, n: int = 5, threshold: float = 3.0) -> DataFrame:
     """Top n words (longer than 4, raw tokens) of query + comment over rows rated below
     `threshold`; a missing rating counts as 0 (so it is included)."""

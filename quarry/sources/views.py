@@ -244,6 +244,8 @@ def with_views(sql: str, *names: str) -> str:
 
     for n in names:
         add(n)
+    if not order:
+        return sql.strip()
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in order)
     body = sql.strip()
     if body.upper().startswith("WITH "):
