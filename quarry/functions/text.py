@@ -71,10 +71,10 @@ def add_top_by_count(df: DataFrame, sorted_col: str, out: str, n: int) -> DataFr
     s = F.col(sorted_col)
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))),
                       lambda i: (F.size(s) > 0) & (
-                          (i == 1) | (F.element_at(s, i)["w"] != F.element_at(s, i - 1)["w"])))
+                          (i == 1) | (F.try_element_at(s, i)["w"] != F.try_element_at(s, i - 1)["w"])))
     st = F.col("_kw_st")
     runs = F.transform(st, lambda b, k: F.struct(
-        (b - F.coalesce(F.element_at(st, k + 2), F.size(s) + 1)).alias("negc"),
+        (b - F.coalesce(F.try_element_at(st, k + 2), F.size(s) + 1)).alias("negc"),
         F.element_at(s, b)["p"].alias("p"),
         F.element_at(s, b)["w"].alias("w")))
     return (df.withColumn("_kw_st", starts)

@@ -190,7 +190,8 @@ SELECT d.doc_id,
          '_', substr(sha256(d.text), 1, 16)) AS id,
   d.text AS content, d.source,
   CASE d.doc_id % 4 WHEN 0 THEN 'technical' WHEN 1 THEN 'medical' WHEN 2 THEN 'legal' ELSE 'financial' END AS domain,
-  CASE WHEN l.quality IS NULL THEN 0.8 WHEN l.quality = 1 AND l.toxic = 0 THEN 1.0 ELSE 0.5 END AS importance_score,
+  CAST(CASE WHEN l.quality IS NULL THEN 0.8 WHEN l.quality = 1 AND l.toxic = 0 THEN 1.0 ELSE 0.5 END AS DOUBLE)
+    AS importance_score,
   TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(d.doc_id % 30 AS INTEGER)) AS created_at,
   TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(d.doc_id % 30 AS INTEGER)) AS updated_at,
   CAST(1 AS BIGINT) AS version
