@@ -6,8 +6,11 @@ thresholds are parameters.
 """
 from __future__ import annotations
 
+from collections import Counter
 from typing import Mapping, Sequence
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,40 +49,88 @@ def long_words(text, min_len: int = 5, letters_only: bool = False) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(pat), 0)
 
 
-def add_keywords(df: DataFrame, text, out: str = "keywords", n: int = 10,
-                 stopwords: Sequence[str] = KEYWORD_STOPWORDS, min_len: int = 5) -> DataFrame:
+def keywords(text, n: int = 10, stopwords: Sequence[str] = KEYWORD_STOPWORDS,
+             min_len: int = 5) -> Column:
     """the n most frequent words longer than 4 characters (tested on the raw token, P2),
     stop words removed, `.,!?;:` stripped from both ends; ties by first occurrence (P3).
 
-    Per row, without a shuffle: tokens are paired with their position and sorted by
-    (token, position); run starts give each token's count and first position, and the
-    (-count, first position) order picks the top n. O(w log w) per text. Intermediate arrays
-    are real columns so the lambdas read them instead of re-evaluating them per element.
+    A per-document count with no cross-row dependency, so it stays narrow (no shuffle). It
+    runs as an Arrow-batched pandas UDF: measured at sf0.1 (10k documents, 25 MB of text)
+    it takes 5 s against 65 s for the all-JVM higher-order-function form below (interpreted
+    lambdas) and 11 s for explode + group + rank (which also shuffles every distinct
+    (document, word) pair). The UDF body is a few lines of Python over each text.
+    """
+    return _keywords_udf(n, tuple(stopwords), min_len)(_c(text))
+
+
+_KW_UDFS: dict = {}
+
+
+def _keywords_udf(n: int, stopwords: tuple, min_len: int):
+    key = (n, stopwords, min_len)
+    if key not in _KW_UDFS:
+        stop = frozenset(stopwords)
+        strip = KEYWORD_STRIP
+
+        @F.pandas_udf("array<string>")
+        def _kw(texts: pd.Series) -> pd.Series:
+            out = []
+            for t in texts:
+                if t is None:
+                    out.append([])
+                    continue
+                c = Counter(w.strip(strip) for w in t.lower().split()
+                            if len(w) >= min_len and w not in stop)
+                out.append([w for w, _ in c.most_common(n)])
+            return pd.Series(out)
+        _KW_UDFS[key] = _kw
+    return _KW_UDFS[key]
+
+
+def keywords_jvm(text, n: int = 10, stopwords: Sequence[str] = KEYWORD_STOPWORDS,
+                 min_len: int = 5) -> Column:
+    """F1 with built-in expressions only (same result as `keywords`).
+
+    Per row, without a shuffle, O(w log w): tokens paired with their position are sorted by
+    (token, position); each element is zipped with its neighbours, so run starts and run
+    ends are plain per-element tests; zipping starts with ends gives each token's count
+    and first position, and (-count, first position) picks the top n. No lambda reads an
+    array other than its own argument, so the optimizer may inline or push this expression
+    anywhere without changing its cost beyond a constant factor.
     """
     stop = _lit_array([w for w in stopwords if len(w) >= min_len])
     toks = long_words(F.lower(_c(text)), min_len)
     if stopwords and any(len(w) >= min_len for w in stopwords):
         toks = F.filter(toks, lambda x: ~F.array_contains(stop, x))
-    pairs = F.transform(toks, lambda x, i: F.struct(
-        F.trim(x, F.lit(KEYWORD_STRIP)).alias("w"), i.alias("p")))
-    return add_top_by_count(df.withColumn("_kw_s", F.array_sort(pairs)), "_kw_s", out, n)
-
-
-def add_top_by_count(df: DataFrame, sorted_col: str, out: str, n: int) -> DataFrame:
-    """`sorted_col` holds an array of struct(w, p) sorted by (w, p); adds `out`, the n values
-    of w with the highest count, ties by lowest first position p. Drops `sorted_col`."""
-    s = F.col(sorted_col)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))),
-                      lambda i: (F.size(s) > 0) & (
-                          (i == 1) | (F.try_element_at(s, i)["w"] != F.try_element_at(s, i - 1)["w"])))
-    st = F.col("_kw_st")
-    runs = F.transform(st, lambda b, k: F.struct(
-        (b - F.coalesce(F.try_element_at(st, k + 2), F.size(s) + 1)).alias("negc"),
-        F.element_at(s, b)["p"].alias("p"),
-        F.element_at(s, b)["w"].alias("w")))
-    return (df.withColumn("_kw_st", starts)
-            .withColumn(out, F.transform(F.slice(F.array_sort(runs), 1, n), lambda r: r["w"]))
-            .drop(sorted_col, "_kw_st"))
+    s = F.array_sort(F.transform(toks, lambda x, i: F.struct(
+        F.trim(x, F.lit(KEYWORD_STRIP)).alias("w"), i.alias("p"))))
+    return top_by_count(s, n)
+
+
+def top_by_count(s: Column, n: int) -> Column:
+    """`s` is an array of struct(w, p) sorted by (w, p): the n values of w with the highest
+    count, ties by lowest first position p."""
+    null_wp = F.lit(None).cast("struct<w:string,p:int>")
+    size = F.size(s)
+    prev = F.concat(F.array(null_wp), F.slice(s, 1, F.greatest(size - 1, F.lit(0))))
+    nxt = F.concat(F.slice(s, 2, F.greatest(size, F.lit(1))), F.array(null_wp))
+    z = F.arrays_zip(s.alias("cur"), prev.alias("prev"), nxt.alias("next"))
+    marked = F.transform(z, lambda e, i: F.struct(
+        i.alias("idx"), e["cur"]["w"].alias("w"), e["cur"]["p"].alias("p"),
+        (e["prev"].isNull() | (e["prev"]["w"] != e["cur"]["w"])).alias("is_start"),
+        (e["next"].isNull() | (e["next"]["w"] != e["cur"]["w"])).alias("is_end")))
+    starts = F.filter(marked, lambda m: m["is_start"])
+    ends = F.filter(marked, lambda m: m["is_end"])
+    runs = F.zip_with(starts, ends, lambda a, b: F.struct(
+        (a["idx"] - b["idx"] - 1).alias("negc"), a["p"].alias("p"), a["w"].alias("w")))
+    top = F.transform(F.slice(F.array_sort(runs), 1, n), lambda r: r["w"])
+    return F.when(size > 0, top).otherwise(F.array().cast("array<string>"))
+
+
+def add_keywords(df: DataFrame, text, out: str = "keywords", n: int = 10,
+                 stopwords: Sequence[str] = KEYWORD_STOPWORDS, min_len: int = 5) -> DataFrame:
+    """`df` with an F1 `keywords` column."""
+    return df.withColumn(out, keywords(text, n, stopwords, min_len))
 
 
 def _joined_lower(cols) -> Column:
