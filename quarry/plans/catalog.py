@@ -27,7 +27,8 @@ def query(name: str, sql: str | None = None):
 
 
 MODULES = ["feedback_queries", "training_queries", "knowledge_queries", "document_queries",
-           "retrieval_queries", "registry_queries", "mentor_queries", "streaming_queries"]
+           "retrieval_queries", "registry_queries", "mentor_queries", "streaming_queries",
+           "generation_queries"]
 
 
 def load_all() -> None:

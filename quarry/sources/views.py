@@ -48,7 +48,13 @@ def feedback_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = conversation_pairs(spark, sf_dir)
     n_pairs = pairs.agg(F.count(F.lit(1)).alias("_np"))  # exactly one row
     ev = table(spark, sf_dir, "events").crossJoin(F.broadcast(n_pairs))
-    ev = ev.withColumn("_pair", F.col("event_id") % F.col("_np"))
+    return feedback_columns(ev, pairs, F.col("_np"))
+
+
+def feedback_columns(ev: DataFrame, pairs: DataFrame, n_pairs) -> DataFrame:
+    """The feedback_v projection of events joined to their conversation pair (shared by the
+    batch view and the streaming source, where `n_pairs` is a literal)."""
+    ev = ev.withColumn("_pair", F.col("event_id") % n_pairs)
     j = ev.join(pairs.select("pair_id", "prompt", "response"), ev["_pair"] == pairs["pair_id"])
     et = F.col("event_type")
     return j.select(
