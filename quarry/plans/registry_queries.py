@@ -269,7 +269,7 @@ d AS (SELECT p.model_1, p.model_2, coalesce(a.metric, b.metric) AS metric, a.val
       FROM p JOIN model_metrics_v b ON b.model_id = p.model_2
       LEFT JOIN model_metrics_v a ON a.model_id = p.model_1 AND a.metric = b.metric),
 per AS (SELECT model_1, model_2,
-          string_agg(metric || '=' || printf('%.6f', coalesce(v2, 0.0) - coalesce(v1, 0.0)), ',' ORDER BY metric)
+          string_agg(metric || '=' || CAST(CAST(floor((coalesce(v2, 0.0) - coalesce(v1, 0.0)) * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY metric)
             AS performance_diff,
           coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (WHERE v2 IS NOT NULL AND v2 > coalesce(v1, 0.0)), '')
             AS improvement_areas,
@@ -295,7 +295,7 @@ def f_compare_models(spark, sf):
     m = models_view(spark, sf)
     c = ro.compare_models(m, _pairs(m))
     pd_ = F.array_join(F.transform("performance_diff", lambda x: F.concat(
-        x["metric"], F.lit("="), F.format_string("%.6f", x["diff"]))), ",")
+        x["metric"], F.lit("="), F.floor(x["diff"] * 1e6).cast("long").cast("string"))), ",")
     return c.select("model_1", "model_2", _r("feedback_score_diff").alias("feedback_score_diff"),
                     _r("error_rate_diff").alias("error_rate_diff"), _r("latency_diff").alias("latency_diff"),
                     _r("usage_ratio").alias("usage_ratio"), _r("cost_per_request_diff", 9).alias("cost_per_request_diff"),
@@ -353,7 +353,7 @@ def _model_log(spark, sf):
 WITH l AS ({_MODEL_LOG_SQL}),
 st AS (SELECT model_id, arg_max(status, ts) AS status, max(ts) FILTER (WHERE status = 'deployed') AS deployed_at,
          max(ts) AS last_updated FROM l WHERE status IS NOT NULL GROUP BY model_id),
-mt AS (SELECT model_id, string_agg(metric || '=' || printf('%.6f', v), ',' ORDER BY metric) AS metrics FROM (
+mt AS (SELECT model_id, string_agg(metric || '=' || CAST(CAST(floor(v * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY metric) AS metrics FROM (
          SELECT model_id, metric, arg_max(value, ts) AS v FROM l WHERE metric IS NOT NULL GROUP BY model_id, metric)
        GROUP BY model_id)
 SELECT st.model_id, st.status, st.deployed_at, st.last_updated, mt.metrics FROM st LEFT JOIN mt USING (model_id)""")
@@ -361,7 +361,7 @@ def f_model_state(spark, sf):
     s = ro.model_state(_model_log(spark, sf))
     return s.select("model_id", "status", "deployed_at", "last_updated",
                     F.array_join(F.transform(F.map_entries("performance_metrics"), lambda x: F.concat(
-                        x["key"], F.lit("="), F.format_string("%.6f", x["value"]))), ",").alias("metrics"))
+                        x["key"], F.lit("="), F.floor(x["value"] * 1e6).cast("long").cast("string"))), ",").alias("metrics"))
 
 
 @query("f_registry_merge", with_views("""
