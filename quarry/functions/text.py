@@ -169,6 +169,32 @@ def _feedback_kw_udf(n: int, min_len: int):
     return _FKW_UDFS[key]
 
 
+_FEAT_UDFS: dict = {}
+
+
+def feedback_features(joined, lexicon: Mapping[str, Sequence[str]] = FEEDBACK_CONCEPTS,
+                      n_keywords: int = 10, n_concepts: int = 5, min_len: int = 5) -> Column:
+    """F2 + F3 in one Arrow-batched pass over the joined lower-cased text: struct(keywords,
+    concepts). The text crosses to Python once; measured at sf0.1 this halves the feature cost
+    against F2 in Python plus 12 JVM substring scans for F3."""
+    terms = tuple(t for ts in lexicon.values() for t in ts)
+    key = (terms, n_keywords, n_concepts, min_len)
+    if key not in _FEAT_UDFS:
+        @F.pandas_udf("keywords array<string>, concepts array<string>")
+        def _feat(texts: pd.Series) -> pd.DataFrame:
+            kws, cps = [], []
+            for t in texts:
+                if t is None:
+                    kws.append([])
+                    cps.append([])
+                    continue
+                kws.append([w for w in t.split() if len(w) >= min_len and w.isalpha()][:n_keywords])
+                cps.append([c for c in terms if c in t][:n_concepts])
+            return pd.DataFrame({"keywords": kws, "concepts": cps})
+        _FEAT_UDFS[key] = _feat
+    return _FEAT_UDFS[key](_c(joined))
+
+
 def feedback_keywords_jvm(*cols, n: int = 10, min_len: int = 5, joined: bool = False) -> Column:
     """F2 with built-in expressions only (one regex scan), same result as `feedback_keywords`."""
     ws = long_words(_c(cols[0]) if joined else _joined_lower(cols), min_len, letters_only=True)

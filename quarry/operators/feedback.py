@@ -110,13 +110,14 @@ def _with_features(fb: DataFrame, lexicon) -> DataFrame:
         out = out.withColumn("severity", severity())
     texts = ["user_input", "model_output", "user_comment", "correction"]
     need_kw, need_c = "keywords" not in cols, "concepts" not in cols
-    if need_kw or need_c:
-        out = out.withColumn("_fb_text", tx._joined_lower(texts))
-        if need_kw:
-            out = out.withColumn("keywords", tx.feedback_keywords("_fb_text", joined=True))
-        if need_c:
-            out = out.withColumn("concepts", tx.feedback_concepts("_fb_text", lexicon=lexicon, joined=True))
-        out = out.drop("_fb_text")
+    if need_kw and need_c:
+        out = (out.withColumn("_fb_feat", tx.feedback_features(tx._joined_lower(texts), lexicon))
+               .withColumn("keywords", F.col("_fb_feat.keywords"))
+               .withColumn("concepts", F.col("_fb_feat.concepts")).drop("_fb_feat"))
+    elif need_kw:
+        out = out.withColumn("keywords", tx.feedback_keywords(*texts))
+    elif need_c:
+        out = out.withColumn("concepts", tx.feedback_concepts(*texts, lexicon=lexicon))
     return out
 
 
