@@ -313,3 +313,37 @@ def truncation(df: DataFrame, text: str = "text", max_len: int = 128) -> DataFra
     return x.groupBy((F.floor(F.col("_n") / 64) * 64).cast("long").alias("bucket")).agg(
         F.count(F.lit(1)).alias("texts"),
         F.avg((F.col("_n") > max_len).cast("double")).alias("truncated_share"))
+
+
+# ----------------------------------------------------------------------------- L6, J7, J13
+def eval_prompts(domains: DataFrame, counts: DataFrame, improvements: DataFrame | None = None,
+                 n_improvements: int = 3) -> DataFrame:
+    """Per domain, `count` evaluation prompts: the example prompts in order, continued
+    cyclically as `In the context of {first focus area}, {prompt lower-cased}`; plus
+    `Explain how to address: {improvement}` for the first 3 improvements (ranked rows:
+    domain, imp_rank, description). One explode per domain, no driver loop."""
+    d = domains.join(counts, "domain")
+    x = d.select("domain", "example_prompts", "focus_areas",
+                 F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("prompt_no"))
+    n = F.size("example_prompts")
+    base = F.element_at("example_prompts", (F.col("prompt_no") % n + 1).cast("int"))
+    prompt = F.when(F.col("prompt_no") < n, base).otherwise(
+        F.concat(F.lit("In the context of "), F.element_at("focus_areas", 1), F.lit(", "), F.lower(base)))
+    out = x.select("domain", "prompt_no", prompt.alias("prompt"))
+    if improvements is not None:
+        imp = improvements.filter(F.col("imp_rank") <= n_improvements).join(counts, "domain").select(
+            "domain", (F.col("count") + F.col("imp_rank") - 1).alias("prompt_no"),
+            F.concat(F.lit("Explain how to address: "), F.col("description")).alias("prompt"))
+        out = out.unionByName(imp)
+    return out
+
+
+def eval_plan(models: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Every model paired with the evaluation prompts of its own domain (an equi-join on
+    the domain; the prompt list per domain is small)."""
+    return models.select("model_id", "domain").join(prompts, "domain")
+
+
+def apply_domain_mapping(files: DataFrame, mapping: DataFrame, key: str = "file_name") -> DataFrame:
+    """File → domain by a given mapping (left join; unmapped files keep a null domain)."""
+    return files.join(mapping.select(key, "domain"), key, "left")

@@ -217,3 +217,79 @@ def f_validate_examples(spark, sf):
     f = feedback_view(spark, sf)
     ex = f.select("feedback_id", tr.to_messages(None, "user_input", "model_output").alias("messages"))
     return tr.validate_examples(ex, 1, 2000, 3000).select("feedback_id", "reject_reason")
+
+
+# ----------------------------------------------------------------------------- L6, J7, J13, A29
+_BENCH_COUNTS_SQL = f"SELECT {_DOMAIN_CASE.format(c='item_id')} AS domain, count(*) AS count FROM benchmark GROUP BY 1"
+
+
+def _bench_counts(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return b.groupBy(F.when(F.col("item_id") % 4 == 0, "technical").when(F.col("item_id") % 4 == 1, "medical")
+                     .when(F.col("item_id") % 4 == 2, "legal").otherwise("financial").alias("domain")) \
+        .agg(F.count(F.lit(1)).alias("count"))
+
+
+_EVAL_SQL = f"""
+SELECT c.domain, CAST(i AS INTEGER) AS prompt_no,
+  CASE WHEN i < len(dom.example_prompts) THEN dom.example_prompts[i % len(dom.example_prompts) + 1]
+       ELSE 'In the context of ' || dom.focus_areas[1] || ', ' || lower(dom.example_prompts[i % len(dom.example_prompts) + 1])
+  END AS prompt
+FROM ({_BENCH_COUNTS_SQL}) c JOIN {domains_values_sql(("domain", "example_prompts", "focus_areas"))} ON dom.domain = c.domain
+CROSS JOIN LATERAL (SELECT unnest(range(c.count)) AS i)"""
+
+
+@query("f_eval_prompts", _EVAL_SQL)
+def f_eval_prompts(spark, sf):
+    p = tr.eval_prompts(domains_df(spark), _bench_counts(spark, sf))
+    return p.select("domain", F.col("prompt_no").cast("int").alias("prompt_no"), "prompt")
+
+
+from quarry.plans import registry_queries as _registry  # noqa: E402  (defines the models_v view)
+
+
+@query("f_eval_plan", with_views(f"""
+SELECT m.model_id, e.prompt_no, e.prompt FROM models_v m JOIN ({_EVAL_SQL}) e ON e.domain = m.domain""", "models_v"))
+def f_eval_plan(spark, sf):
+    models_view = _registry.models_view
+    p = tr.eval_prompts(domains_df(spark), _bench_counts(spark, sf))
+    plan = tr.eval_plan(models_view(spark, sf), p)
+    return plan.select("model_id", F.col("prompt_no").cast("int").alias("prompt_no"), "prompt")
+
+
+@query("f_domain_mapping", f"""
+SELECT d.doc_id, m.domain FROM (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS file_name, source
+                                 FROM documents) d
+LEFT JOIN (SELECT DISTINCT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS file_name,
+             CASE CAST(substr(source, 4) AS INTEGER) % 4 WHEN 0 THEN 'technical' WHEN 1 THEN 'medical'
+               WHEN 2 THEN 'legal' ELSE 'financial' END AS domain
+           FROM documents WHERE length(source) = 4) m USING (file_name)""")
+def f_domain_mapping(spark, sf):
+    docs = table(spark, sf, "documents")
+    files = docs.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+                        .alias("file_name"))
+    n = F.substring("source", 4, 10).cast("int") % 4
+    mapping = docs.filter(F.length("source") == 4).select(
+        F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"),
+        F.when(n == 0, "technical").when(n == 1, "medical").when(n == 2, "legal").otherwise("financial").alias("domain"))
+    return tr.apply_domain_mapping(files, mapping.distinct()).select("doc_id", "domain")
+
+
+@query("f_training_profile", with_views(f"""
+SELECT domain, count(*) AS examples,
+  CAST(sum(len([w for w in regexp_split_to_array(user_input || ' ' || assistant_content, '{_WS}') if w <> ''])) AS BIGINT)
+    AS words,
+  round(avg(length(user_input || ' ' || assistant_content)), 6) AS mean_chars, count(DISTINCT user_input) AS distinct_prompts
+FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY q DESC, ts, feedback_id) AS rank FROM (
+        SELECT *, CASE WHEN is_corr THEN (CASE WHEN length(user_input) < 20 THEN greatest(1.0, qb - 0.5) ELSE qb END)
+                       ELSE rating END AS q,
+          CASE WHEN is_corr THEN correction ELSE model_output END AS assistant_content
+        FROM (SELECT *, coalesce(correction <> '' AND user_input <> '', false) AS is_corr,
+                least(5.0, CASE WHEN rating IS NOT NULL AND rating <> 0 THEN rating ELSE 3.0 END + 1.0) AS qb
+              FROM feedback_v)
+        WHERE is_corr OR (rating IS NOT NULL AND rating <> 0 AND rating >= 4.0 AND model_output <> '')))
+WHERE rank <= 100 GROUP BY domain""", "feedback_v"))
+def f_training_profile(spark, sf):
+    ex = fo.feedback_examples(feedback_view(spark, sf), 100, TEST_LEXICON)
+    p = tr.training_profile(ex)
+    return p.select("domain", "examples", "words", F.round("mean_chars", 6).alias("mean_chars"), "distinct_prompts")
