@@ -22,8 +22,13 @@ VIEW_SQL["kb_v"] = "SELECT * FROM knowledge_v QUALIFY row_number() OVER (PARTITI
 VIEW_DEPS["kb_v"] = ["knowledge_v"]
 
 
-def kb(spark, sf):
-    return ko.latest_per_id(knowledge_view(spark, sf), ["doc_id"])
+def kb(spark, sf, cols=None):
+    """The knowledge base, one row per id (last document wins). With `cols`, only those
+    columns are carried, so unneeded derived columns (keywords) are never computed."""
+    k = knowledge_view(spark, sf)
+    if cols:
+        k = k.select(*sorted(set(cols) | {"id", "doc_id"}))
+    return ko.latest_per_id(k, ["doc_id"])
 
 
 def _r(c, n=6):

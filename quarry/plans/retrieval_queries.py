@@ -58,7 +58,7 @@ def _queries(spark, sf):
 WITH {_tfidf_ctes()}
 SELECT domain, term, round(idf, 9) AS idf FROM vocab""", "kb_v"))
 def f_tfidf_vocab(spark, sf):
-    vocab, _ = rt.fit_tfidf(kb(spark, sf), "id", "content")
+    vocab, _ = rt.fit_tfidf(kb(spark, sf, ["content", "domain"]), "id", "content")
     return vocab.select("domain", "term", _r("idf", 9).alias("idf"))
 
 
@@ -74,7 +74,7 @@ ranked AS (SELECT sim.*, row_number() OVER (PARTITION BY sim.domain, query_id OR
 SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 10 AND similarity > 0.1""",
                                          "kb_v"))
 def f_similarity_search(spark, sf):
-    s = rt.search(_queries(spark, sf), kb(spark, sf), limit=10, floor=0.1)
+    s = rt.search(_queries(spark, sf), kb(spark, sf, ["content", "domain"]), limit=10, floor=0.1)
     return s.select("query_id", F.col("rank").cast("long").alias("rank"), "id", _r("similarity").alias("similarity"))
 
 
@@ -148,6 +148,6 @@ r AS (SELECT s.*, coalesce(sc.score, 0.0) AS score,
       FROM s LEFT JOIN sc USING (domain, id, sent_no))
 SELECT id, string_agg(sentence, ' ' ORDER BY sent_no) AS summary FROM r WHERE rk <= 3 GROUP BY id""", "kb_v"))
 def f_extractive_summary(spark, sf):
-    k = kb(spark, sf)
+    k = kb(spark, sf, ["content", "domain"])
     vocab, _ = rt.fit_tfidf(k, "id", "content")
     return rt.extractive_summary(k, vocab, "id", "content", k=3).select("id", "summary")
