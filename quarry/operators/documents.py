@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.functions.lexicons import DOMAIN_ORDER, WS_CLASS
+from quarry.functions.lexicons import DOMAIN_ORDER, WS_CLASS, WS_CHARS
 
 
 def strip_ws(c: Column) -> Column:
     """Python `str.strip()`: remove whitespace (Python's set) at both ends."""
-    return F.regexp_replace(c, f"^[{WS_CLASS}]+|[{WS_CLASS}]+$", "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 # ----------------------------------------------------------------------------- W13, P-6

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.lexicons import WS_CLASS
+from quarry.functions.lexicons import WS_CLASS, WS_CHARS
 
 # ---------------------------------------------------------------------------------------
 # FIXED VALUES — named character references decoded in text (`&amp;` last, so that an
@@ -36,7 +36,7 @@ def decode_entities(c: Column) -> Column:
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS_CLASS}]+|[{WS_CLASS}]+$", "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def page_text(html, keep_code: bool = False) -> Column:
