@@ -1,9 +1,10 @@
 """File sources and sinks.
 
 Native form: Parquet partitioned by domain with dynamic partition overwrite (rewriting one
-domain leaves the others). JSON forms match the reference's documents: one JSON document per
-domain holding an `entries` array (knowledge), an object domain → list (feedback), JSONL for
-examples. Readers take explicit schemas (no inference pass over the data).
+domain leaves the others). JSON sinks write one line per entry under a folder per group (the
+folder is the group's document), so no group is gathered into one row; readers also accept
+the single-document layouts (a domain document with an `entries` array, an object
+domain → list of feedback). Readers take explicit schemas (no inference pass over the data).
 """
 from __future__ import annotations
 
@@ -51,17 +52,22 @@ def read_knowledge(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def write_knowledge_json(df: DataFrame, path: str) -> None:
-    """S2 (document form): one JSON document per domain `{domain, entries: [...]}`. Entries are
-    gathered per domain — the reference's file layout, so only for exports, not the hot path."""
-    entries = F.struct(*[F.col(f.name) for f in KNOWLEDGE_ENTRY.fields])
-    doc = df.groupBy("domain").agg(F.collect_list(entries).alias("entries"))
-    doc.select(F.col("domain").alias("_d"), "domain", "entries").write.mode("overwrite") \
-        .partitionBy("_d").json(path)
+    """S2 (JSON form): one folder per domain holding its entries as JSON lines (the folder is
+    the domain's document). Nothing is gathered per domain, so a domain holding a third of all
+    entries is written by many tasks; only that domain's folder is replaced."""
+    (df.select(*[F.col(f.name) for f in KNOWLEDGE_ENTRY.fields]).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("domain").json(path))
 
 
 def read_knowledge_json(spark: SparkSession, path: str) -> DataFrame:
-    """S1 (document form): one JSON document per domain, entries exploded to rows."""
-    d = spark.read.schema(KNOWLEDGE_DOC).option("multiLine", False).json(path)
+    """S1 (JSON form written by `write_knowledge_json`): entries as rows, domain from the folder."""
+    return spark.read.schema(KNOWLEDGE_ENTRY).json(path)
+
+
+def read_knowledge_documents(spark: SparkSession, path: str) -> DataFrame:
+    """S1 (the reference's file layout): one JSON document per domain `{domain, entries: [...]}`,
+    entries exploded to rows."""
+    d = spark.read.schema(KNOWLEDGE_DOC).option("multiLine", True).json(path)
     return d.select(F.explode("entries").alias("e")).select("e.*")
 
 
@@ -126,12 +132,10 @@ def write_sessions(records: DataFrame, path: str) -> None:
 
 
 def write_doc_summary(segments: DataFrame, path: str, key: str = "source_file") -> None:
-    """Segments grouped back into one summary document per source, in ordinal order."""
-    seg = F.struct("segment_id", "original_text", "summary", "word_count")
-    d = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("_o"), seg.alias("_s"))))
-                                  .alias("_x"))
-    d.select(key, F.transform("_x", lambda x: x["_s"]).alias("segments"),
-             F.size("_x").alias("total_segments")).write.mode("overwrite").json(path)
+    """The summary of each source as a folder of JSON lines, one per segment with its
+    ordinal (read back in ordinal order); no source is gathered into one row."""
+    (segments.select(key, "ordinal", "segment_id", "original_text", "summary", "word_count")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path))
 
 
 def read_jsonl(spark: SparkSession, path: str,
