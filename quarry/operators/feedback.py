@@ -27,12 +27,6 @@ def _ts(x) -> Column:
     return F.lit(x).cast("timestamp") if isinstance(x, str) else x
 
 
-def truthy(c: Column) -> Column:
-    """Python truthiness of an optional number/string: not null and not 0 / empty."""
-    return c.isNotNull() & (c.cast("string") != "") & (
-        F.when(c.cast("double").isNotNull(), c.cast("double") != 0).otherwise(F.lit(True)))
-
-
 def _nonempty(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 

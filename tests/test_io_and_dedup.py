@@ -48,3 +48,18 @@ def test_near_duplicates_equal_brute_force(spark, sf):
         if j >= 0.8:
             exp.add((a, b))
     assert got == exp
+
+
+def test_sessions_roundtrip(spark):
+    from datetime import datetime
+    d = tempfile.mkdtemp(prefix="quarry-test-")
+    rec = [("s1", "ad0", "legal", "feedback", "active", datetime(2024, 1, 1), f"f{i}", "positive", "t", 4.0, False,
+            datetime(2024, 1, 1, 0, i)) for i in range(3)]
+    rec.append(("s2", "ad1", "legal", "initial", "completed", datetime(2024, 1, 2), "g1", "negative", "t", None, True,
+                datetime(2024, 1, 2)))
+    df = spark.createDataFrame(rec, "session_id string, adapter_id string, domain string, phase string, status string, "
+                                    "start_time timestamp, feedback_id string, feedback_type string, feedback_text string, "
+                                    "rating double, applied boolean, timestamp timestamp")
+    fs.write_sessions(df, f"{d}/s")
+    back = fs.read_sessions(spark, f"{d}/s")
+    assert sorted(r.feedback_id for r in back.collect()) == ["f0", "f1", "f2"]   # active sessions only
