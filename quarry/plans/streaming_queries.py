@@ -107,3 +107,15 @@ def f_stream_segments(spark, sf):
     s = sj.stream_segments(docs, "doc_id", "text", base=F.concat(F.lit("doc"), F.col("doc_id").cast("string")),
                            separator="\n", min_words=50)
     return _run_append(spark, s.select("segment_id", "doc_id", "ordinal", "word_count"))
+
+
+@query("f_stream_performance_decline", ORACLE["f_performance_decline"])
+def f_stream_performance_decline(spark, sf):
+    """The daily history (derived from events by Spark) arrives as files; the keyed state
+    keeps the last 10 scores per domain; the final state equals the batch W3."""
+    from quarry.plans.registry_queries import history_view
+    root = sj.stream_root(spark)
+    history_view(spark, sf).write.mode("overwrite").parquet(f"{root}/history")
+    src = sj.file_stream(spark, f"{root}/history", "*.parquet")
+    out = _run_update(spark, sj.stream_performance_decline(src, flag=0.0005, trigger=0.005), ["domain"])
+    return out.select("domain", F.round("decline", 6).alias("decline"), "declining", "triggered")

@@ -160,3 +160,38 @@ def stream_segments(docs: DataFrame, key: str = "doc_id", text: str = "text", ba
                     separator: str = "\n\n", min_words: int = 50) -> DataFrame:
     """Documents as they arrive → segments (stateless; the same expressions as W13)."""
     return do.segments(docs, key, text, base, separator, min_words)
+
+
+# ----------------------------------------------------------------------------- T7 (keyed state)
+def stream_performance_decline(history: DataFrame, score: str = "overall_score", order: str = "day",
+                               keep: int = 10, flag: float = 0.05, trigger: float = 0.1) -> DataFrame:
+    """Per domain, keyed state holding the last `keep` scores (in `order` order); after each
+    micro-batch the decline of the last 5 against the 5 before (W3 rules: empty older window →
+    0, fewer than 2 points → 0) is emitted with the trend flag and the trigger. State stays
+    bounded (10 scores per domain)."""
+    out_schema = "domain string, points long, decline double, declining boolean, triggered boolean"
+    state_schema = "orders array<string>, scores array<double>, points long"
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            orders, scores, points = state.get
+            hist = list(zip(list(orders), list(scores)))
+        else:
+            hist, points = [], 0
+        for pdf in pdfs:
+            hist += list(zip(pdf[order].astype(str), pdf[score].astype(float)))
+            points += len(pdf)
+        hist = sorted(hist)[-keep:]
+        vals = [v for _, v in hist]
+        if points < 2:
+            decline = 0.0
+        else:
+            recent = vals[-5:]
+            older = vals[-10:-5]
+            decline = max(0.0, sum(older) / max(1, len(older)) - sum(recent) / len(recent))
+        state.update(([o for o, _ in hist], vals, points))
+        yield pd.DataFrame([(key[0], points, decline, decline > flag, decline > trigger)],
+                           columns=["domain", "points", "decline", "declining", "triggered"])
+
+    return (history.select("domain", F.col(order).cast("string").alias(order), score).groupBy("domain")
+            .applyInPandasWithState(step, out_schema, state_schema, "update", GroupStateTimeout.NoTimeout))
