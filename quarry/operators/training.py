@@ -105,18 +105,24 @@ def dedup_examples(df: DataFrame, group_by: Sequence[str], order_by: Sequence[st
 
 
 def rank_examples(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str],
-                  out: str = "position") -> DataFrame:
+                  out: str = "position", bounded: bool = False) -> DataFrame:
     """U2 (second half): stable sort by quality desc (missing = 0.5), ties in `order_by`
-    order; 1-based `out` per group, from the distributed ordinal (no per-group single task)."""
+    order; 1-based `out` per group. By default from the distributed ordinal (no per-group
+    single task); `bounded=True` when every group is known to be small (a window per group)."""
     q = F.coalesce(F.col("quality_score"), F.lit(0.5))
     x = df.withColumn("_q", -q)
+    if bounded:
+        w = Window.partitionBy(*group_by).orderBy("_q", *order_by)
+        return x.withColumn(out, F.row_number().over(w).cast("long")).drop("_q")
     return with_ordinal(x, ["_q", *order_by], group_by, name=out) \
         .withColumn(out, F.col(out) + 1).drop("_q")
 
 
 def adaptive_training_set(feedback_ex: DataFrame, knowledge_ex: DataFrame) -> DataFrame:
     """U1 + U2: feedback examples (in their rank order) then knowledge examples (improvement
-    order), exact dedup on messages per domain keeping the first, ranked by quality."""
+    order), exact dedup on messages per domain keeping the first, ranked by quality. Both
+    inputs are per-domain top lists (L4's `limit` and J6's 5 × 3), so each domain holds at
+    most limit + 15 rows: the final rank is a window per domain (a proven bound)."""
     f = feedback_ex.select("domain", "messages", "quality_score", "improvement_type",
                            F.col("feedback_id").cast("string").alias("feedback_id"),
                            F.lit("feedback").alias("source"), F.lit(0).alias("_part"),
@@ -128,7 +134,7 @@ def adaptive_training_set(feedback_ex: DataFrame, knowledge_ex: DataFrame) -> Da
                             (F.col("imp_rank") * 1000 + F.col("example_no")).cast("long").alias("_ord"))
     u = f.unionByName(k)
     d = dedup_examples(u, ["domain"], ["_part", "_ord"])
-    return rank_examples(d, ["domain"], ["_part", "_ord"]).drop("_part", "_ord")
+    return rank_examples(d, ["domain"], ["_part", "_ord"], bounded=True).drop("_part", "_ord")
 
 
 # ----------------------------------------------------------------------------- W4
