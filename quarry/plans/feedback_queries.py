@@ -221,7 +221,7 @@ def f_recommendations(spark, sf):
     a = fo.analyze_feedback(f, AS_OF, 30, lexicon=TEST_LEXICON)
     iss = fo.top_issues(fo.feedback_window(f, AS_OF, 30), ["domain"], 10, TEST_LEXICON)
     rec = fo.recommendations(a, iss, avg_threshold=3.2, trend_threshold=-0.0001)
-    return rec.select("domain", F.col("seq").cast("int").alias("seq"), "type", "priority", "action",
+    return rec.select("domain", F.col("seq").cast("long").alias("seq"), "type", "priority", "action",
                       "target", "description")
 
 

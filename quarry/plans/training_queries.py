@@ -59,13 +59,13 @@ kex AS (
              {{'role': 'user', 'content': 'Please explain a key aspect of ' || i.description || ' in the context of '
                  || dom.domain_name || '.'}},
              {{'role': 'assistant', 'content': 'Based on the ' || dom.domain_name
-                 || ' domain knowledge, here''s an explanation of ' || i.description || '...'}}]) AS messages_json,
+                 || ' domain knowledge, here''s an explanation of ' || i.description || '...'}}])::VARCHAR AS messages_json,
     0.8 AS quality_score, CAST(NULL AS VARCHAR) AS improvement_type, CAST(NULL AS VARCHAR) AS feedback_id,
     'knowledge_base' AS source, 1 AS part, i.imp_rank * 1000 + t.e AS ord
   FROM imps i JOIN {domains_values_sql(("domain", "domain_name", "fine_tuning_instructions"))} ON dom.domain = i.domain
   CROSS JOIN range(3) t(e)),
 fex AS (
-  SELECT domain, to_json([{{'role': 'user', 'content': user_input}}, {{'role': 'assistant', 'content': assistant_content}}])
+  SELECT domain, to_json([{{'role': 'user', 'content': user_input}}, {{'role': 'assistant', 'content': assistant_content}}])::VARCHAR
       AS messages_json, q AS quality_score, improvement_type, CAST(feedback_id AS VARCHAR) AS feedback_id,
     'feedback' AS source, 0 AS part, rank AS ord
   FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY q DESC, ts, feedback_id) AS rank FROM (
@@ -156,7 +156,7 @@ def f_example_expand(spark, sf):
 SELECT d.doc_id,
   to_json([{{'role': 'system', 'content': 'You are an expert in ' || dom.domain_name || '. ' || dom.description}},
            {{'role': 'user', 'content': 'Summarize the following ' || dom.domain_name || ' content:' || chr(10) || chr(10) || d.text}},
-           {{'role': 'assistant', 'content': d.source}}]) AS messages_json
+           {{'role': 'assistant', 'content': d.source}}])::VARCHAR AS messages_json
 FROM documents d
 JOIN {domains_values_sql(("domain", "domain_name", "description"))} ON dom.domain = {_DOMAIN_CASE.format(c='d.doc_id')}"""))
 def f_messages(spark, sf):
@@ -188,7 +188,7 @@ def f_split_by_document(spark, sf):
 @query("f_jsonl_lines", with_views("""
 SELECT feedback_id, to_json({'messages': [{'role': 'user', 'content': user_input},
                                           {'role': 'assistant', 'content': correction}],
-                             'domain': domain, 'feedback_id': feedback_id}) AS line
+                             'domain': domain, 'feedback_id': feedback_id})::VARCHAR AS line
 FROM feedback_v WHERE correction IS NOT NULL""", "feedback_v"))
 def f_jsonl_lines(spark, sf):
     f = feedback_view(spark, sf).filter(F.col("correction").isNotNull())
