@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.ordinal import with_ordinal
-from quarry.plans.topk import top_k_rows
 
 # ---------------------------------------------------------------------------------------
 # FIXED VALUES — enhancement rules of the built-in domains.

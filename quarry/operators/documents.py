@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.functions.lexicons import DOMAIN_ORDER, WS_CLASS, WS_CHARS
+from quarry.functions.lexicons import DOMAIN_ORDER, WS_CHARS
 
 
 def strip_ws(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.functions.domains import domains_df, domains_values_sql, sql_list, sql_str
+from quarry.functions.domains import domains_df, domains_values_sql, sql_list
 from quarry.functions.lexicons import (AS_OF, DOMAIN_ORDER, FILENAME_DOMAIN_PATTERNS, TEST_LEXICON,
                                        WS_CLASS)
 from quarry.operators import context as co

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.lexicons import AS_OF
 from quarry.plans.catalog import ORACLE, query
 from quarry.sources.views import conversation_pairs, feedback_columns, with_views
 from quarry.streaming import jobs as sj

@@ -10,7 +10,7 @@ from quarry.functions.lexicons import AS_OF, TEST_LEXICON
 from quarry.operators import feedback as fo
 from quarry.operators import training as tr
 from quarry.plans.catalog import query
-from quarry.plans.feedback_queries import AS_OF_SQL, _ISSUES_SQL, _TREND_SQL, _WIN30, fbx
+from quarry.plans.feedback_queries import _ISSUES_SQL, _TREND_SQL, _WIN30, fbx
 from quarry.sources.views import _WS, feedback_view, table, with_views
 
 _DOMAIN_CASE = ("CASE {c} % 4 WHEN 0 THEN 'technical' WHEN 1 THEN 'medical' WHEN 2 THEN 'legal' "
