@@ -7,10 +7,15 @@ checkpoint folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: dict[str, str] = {}
+
 # Settings that matter at scale: AQE re-plans joins from runtime sizes (this is the
 # size check behind every broadcast we rely on), splits skewed shuffle partitions,
 # and coalesces tiny ones. Session time zone is pinned to UTC (rules P15, 1.2).
@@ -21,6 +26,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches bounded by bytes as well as by rows: whole documents can be long
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -44,14 +51,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    Only when the setting is absent (local tests) a private folder is created.
+    A local master without the setting (tests) gets a private folder. On a cluster the
+    setting is required: a folder of the driver's machine is not visible to executors.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = spark.sparkContext.getCheckpointDir()
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per SparkContext, so that functions pickled by
+    reference (Arrow operators, stream handlers) can be imported there. A cluster on which
+    the package is installed doesn't need it."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="quarry-ship-"), "quarry_src.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(archive)
+    _SHIPPED["app"] = sc.applicationId
