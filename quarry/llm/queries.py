@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import repeats
+from quarry.llm import contamination, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +39,22 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination", r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+q AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS g
+      FROM (SELECT item_id, ws, least(13, len(ws)) AS k, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS p FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT k FROM q),
+win AS (SELECT doc_id, k, p, array_to_string(ws[p:p + k - 1], ' ') AS g
+        FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM w, sizes)),
+hit AS (SELECT doc_id, k, p, item_id FROM win JOIN q USING (k, g)),
+word AS (SELECT doc_id, count(DISTINCT p + i) AS n FROM (SELECT DISTINCT doc_id, k, p FROM hit) h, LATERAL (SELECT unnest(range(0, h.k)) AS i) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(word.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(it.s, '')) AS items_sha256, coalesce(word.n, 0) > 0 AND 20 * coalesce(word.n, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN word USING (doc_id) LEFT JOIN it USING (doc_id)
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
