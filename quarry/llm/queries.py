@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import contamination, repeats
+from quarry.llm import contamination, repeats, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +58,8 @@ FROM w LEFT JOIN word USING (doc_id) LEFT JOIN it USING (doc_id)
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
