@@ -82,12 +82,13 @@ class Texts:
 @dataclass
 class Words:
     """Words of a block in text order: hash, text number, first byte; ``first`` is the word
-    number at which each text begins (n + 1)."""
+    number at which each text begins (n + 1); ``end`` is the byte after the word, on demand."""
 
     h: np.ndarray
     doc: np.ndarray
     start: np.ndarray
     first: np.ndarray
+    end: np.ndarray | None = None
 
     @property
     def count(self) -> np.ndarray:
@@ -124,7 +125,7 @@ def _cuts(sep_at: Callable[[int, int], np.ndarray], size: int) -> Iterator[tuple
         lo = hi
 
 
-def words(t: Texts, separator: np.ndarray = SPACE, fold: bool = False) -> Words:
+def words(t: Texts, separator: np.ndarray = SPACE, fold: bool = False, ends: bool = False) -> Words:
     """Words of every text: maximal runs of bytes that are no separator. ``fold`` hashes A-Z
     as a-z. Equal words have equal hashes."""
     value = (_FOLDED_VALUE if fold else _BYTE_VALUE).copy()
@@ -132,7 +133,7 @@ def words(t: Texts, separator: np.ndarray = SPACE, fold: bool = False) -> Words:
     n, size = len(t), len(t.buf)
     begins = np.zeros(size + 1, bool)
     begins[t.off[:-1]] = True
-    hs, starts = [], []
+    hs, starts, stops = [], [], []
     for lo, hi in _cuts(lambda a, b: separator[t.buf[a:b]] | begins[a:b], size):
         part = t.buf[lo:hi]
         solid = ~separator[part]
@@ -146,10 +147,25 @@ def words(t: Texts, separator: np.ndarray = SPACE, fold: bool = False) -> Words:
             h *= powers(_inverse(_BASE), len(part))[at]
             hs.append(mix(h))
             starts.append(at + lo)
+            if ends:
+                is_end = solid.copy()
+                is_end[:-1] &= ~solid[1:] | begins[lo + 1:hi]
+                stops.append(np.flatnonzero(is_end) + lo + 1)
     h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     first = np.searchsorted(start, t.off)
-    return Words(h, np.repeat(np.arange(n), np.diff(first)), start, first)
+    end = (np.concatenate(stops) if stops else np.zeros(0, np.int64)) if ends else None
+    return Words(h, np.repeat(np.arange(n), np.diff(first)), start, first, end)
+
+
+def gather(buf: np.ndarray, start: np.ndarray, end: np.ndarray, sep: int = 0x0A) -> np.ndarray:
+    """The byte ranges one after another, each followed by `sep`."""
+    size = end - start + 1
+    last = np.cumsum(size)
+    at = np.arange(last[-1] if len(last) else 0) + np.repeat(start - (last - size), size)
+    out = buf[np.minimum(at, len(buf) - 1)] if len(at) else np.zeros(0, np.uint8)
+    out[last - 1] = sep
+    return out
 
 
 def lines(t: Texts) -> Words:
