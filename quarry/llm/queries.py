@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import contamination, language, near, repeats, rules
+from quarry.llm import contamination, language, mixing, near, repeats, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_language_id")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
+
+
+@query("op6_source_mixing", f"""
+WITH n AS (SELECT source, count(*) AS r FROM documents GROUP BY source),
+rate AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM n) * (SELECT sum(r) FROM n) / r AS rate FROM n),
+part AS (SELECT source, greatest(1, ceil(rate / {mixing.PART}))::BIGINT AS parts, rate / greatest(1, ceil(rate / {mixing.PART})) AS m FROM rate),
+p AS (SELECT source, k, exp(-m + k * ln(m) - lgamma(k + 1)) AS p FROM part, range(0, {mixing.TERMS + 1}) t(k)),
+c AS (SELECT source, round(sum(p) OVER (PARTITION BY source ORDER BY k), {mixing.DIGITS}) AS c FROM p),
+u AS (SELECT doc_id, source, ('0x' || substr(md5('{mixing.SEED}:' || doc_id || ':' || i), 1, 13))::BIGINT / 2.0 ** 52 AS u
+      FROM (SELECT d.doc_id, d.source, unnest(range(1, parts + 1)) AS i FROM documents d JOIN part USING (source))),
+k AS (SELECT doc_id, source, count(*) AS n FROM u JOIN c USING (source) WHERE c.c < 1 AND c.c <= u.u GROUP BY ALL)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, unnest(range(1, k.n + 1))::BIGINT AS copy
+FROM documents d JOIN k USING (doc_id)
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
