@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import contamination, language, mixing, near, pages, pii, quality, repeats, rules
+from quarry.llm import contamination, language, mixing, near, pages, pii, quality, repeats, rules, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,3 +120,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are the sources, paths the languages below them. Labels of the held-out fifth aren't used."""
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"),
                          held_out=language.fold("doc_id", language.HELD_OUT) == 0)
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counts(read(spark, sf_dir, "documents"))
