@@ -25,10 +25,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bucket_count(df: DataFrame, text: str) -> int:
-    """Buckets for the words of a text column: in proportion to the characters, and four for
-    each shuffle partition at least, so that hashing buckets to partitions stays even."""
+    """Buckets for the words of a text column: in proportion to the characters, and two for
+    each shuffle partition at least. (More would leave a text too few hashes in each bucket to
+    pack them well.)"""
     chars = df.agg(F.sum(F.length(text))).first()[0] or 0
-    return max(4 * shuffle_partitions(df.sparkSession), int(chars // BUCKET_CHARS))
+    return max(2 * shuffle_partitions(df.sparkSession), int(chars // BUCKET_CHARS))
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

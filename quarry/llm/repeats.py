@@ -17,6 +17,7 @@ aren't read.
 """
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -32,35 +33,43 @@ WINDOW = 13
 LAST = 2**63 - 1   # stands for a null id while windows are compared
 
 
-def _pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> dict:
-    """Entries in the order of (doc, pos) as columns of one row."""
-    at, n = K.runs(doc)
-    gap = pos.astype(np.uint32)
-    gap[1:] -= pos[:-1].astype(np.uint32)
+def _pack(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> dict:
+    """Entries (one element each, in the order of text and position) as one row: texts as
+    differences of ids, positions as differences in a text, compressed."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+    at = np.flatnonzero(new)
+    gap = np.diff(pos, prepend=0).astype(np.uint32)
     gap[at] = pos[at]
-    return {"ids": ids[doc[at]].tobytes(), "keys": keys[doc[at]].tobytes(), "n": n.astype(np.uint32).tobytes(),
-            "gaps": X.planes(gap), "hashes": h.tobytes()}
+    n = np.diff(np.append(at, len(ids))).astype(np.uint32)
+    step = np.diff(ids[at], prepend=np.int64(0))
+    return {"texts": len(at), "places": zlib.compress(b"".join(map(X.planes, (step, keys[at], n, gap))), 1)}
 
 
 def _places(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, keys and positions of a packed row, one element for each entry."""
-    n = np.frombuffer(r["n"], np.uint32)
-    gap = X.unplanes(r["gaps"], np.uint32).astype(np.int64)
+    raw, k, lo, got = zlib.decompress(r["places"]), r["texts"], 0, []
+    for kind in (np.int64, np.int16, np.uint32):
+        size = k * np.dtype(kind).itemsize
+        got.append(X.unplanes(raw[lo:lo + size], kind))
+        lo += size
+    ids, keys, n = np.cumsum(got[0]), got[1], got[2]
+    gap = X.unplanes(raw[lo:], np.uint32).astype(np.int64)
     total = np.cumsum(gap)
     at = np.cumsum(n, dtype=np.int64) - n
     pos = total - np.repeat(total[at] - gap[at], n)
-    return np.repeat(np.frombuffer(r["ids"], np.int64), n), np.repeat(np.frombuffer(r["keys"], np.int64), n), pos
+    return np.repeat(ids, n), np.repeat(keys, n), pos
 
 
-_PARTS = ("ids", "keys", "n", "gaps", "hashes")
-_PACKED = "bucket int, sure boolean, " + ", ".join(f"{c} binary" for c in _PARTS)
-_HITS = "id long, key long, at binary"
+_PACKED = "bucket int, sure boolean, texts int, places binary, hashes binary"
+_HITS = "id long, key short, at binary"
 
 
 def _asked(text_col: str, window: int, buckets: int):
     """Task: windows of its texts, one entry for each hash of a block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("sure", pa.bool_()), *((c, pa.binary()) for c in _PARTS)])
+        schema = pa.schema([("bucket", pa.int32()), ("sure", pa.bool_()), ("texts", pa.int32()),
+                            ("places", pa.binary()), ("hashes", pa.binary())])
         for block in K.blocks(batches, text_col):
             block = block.sort_by("_id")
             ids, keys = block.column("_id").to_numpy(), block.column("_key").to_numpy()
@@ -79,68 +88,78 @@ def _asked(text_col: str, window: int, buckets: int):
                 mine = np.flatnonzero(later == sure)
                 for b, sel in X.by_bucket(X.bucket_of(h[mine], buckets), buckets):
                     i = mine[sel]
-                    row = _pack(h[:0] if sure else h[i], doc[i], pos[i], ids, keys)
-                    out.append({"bucket": b, "sure": sure} | row)
+                    row = _pack(ids[doc[i]], keys[doc[i]], pos[i])
+                    out.append(row | {"bucket": b, "sure": sure, "hashes": b"" if sure else h[i].tobytes()})
             yield from pa.Table.from_pylist(out, schema).to_batches(max_chunksize=256)
     return run
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """Bucket: which entries have a smaller document with the same hash."""
-    found, asked, hashes = [], [], []
-    for r in table.to_pylist():
-        (found if r["sure"] else asked).append(_places(r))
-        hashes.append(np.frombuffer(r["hashes"], np.uint64))
-    if asked:
-        h = np.concatenate(hashes)
-        i, k, p = (np.concatenate(x) for x in zip(*asked))
-        order = np.argsort(h)
-        first, n = K.runs(h[order])
-        hit = order[i[order] > np.repeat(np.minimum.reduceat(i[order], first), n)]
-        found.append((i[hit], k[hit], p[hit]))
-    i, k, p = (np.concatenate(x) for x in zip(*found))
+def _answered(groups: int):
+    """Bucket: which entries have a smaller document with the same hash, packed by the group
+    of texts that they go to."""
+    def run(table: pa.Table) -> pa.Table:
+        found, asked, hashes = [], [], []
+        for r in table.to_pylist():
+            (found if r["sure"] else asked).append(_places(r))
+            hashes.append(np.frombuffer(r["hashes"], np.uint64))
+        if asked:
+            h = np.concatenate(hashes)
+            i, k, p = (np.concatenate(x) for x in zip(*asked))
+            order = np.argsort(h)
+            first, n = K.runs(h[order])
+            hit = order[i[order] > np.repeat(np.minimum.reduceat(i[order], first), n)]
+            found.append((i[hit], k[hit], p[hit]))
+        i, k, p = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((p, k, i))
+        i, k, p = i[order], k[order], p[order]
+        to = X.bucket_of(K.mix(i.view(np.uint64)), groups)
+        return pa.Table.from_pylist([_pack(i[x], k[x], p[x]) | {"bucket": b} for b, x in X.by_bucket(to, groups)],
+                                    pa.schema([("bucket", pa.int32()), ("texts", pa.int32()), ("places", pa.binary())]))
+    return run
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """Group of texts: the positions of each text in one row."""
+    i, k, p = (np.concatenate(x) for x in zip(*map(_places, table.to_pylist())))
     order = np.lexsort((p, k, i))
     i, k, p = i[order], k[order], p[order].astype(np.uint32)
     new = np.ones(len(i), bool)
     new[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1])
     at = np.flatnonzero(new)
     ends = np.append(at[1:], len(i))
-    return pa.table({"id": pa.array(i[at], pa.int64()), "key": pa.array(k[at], pa.int64()),
+    return pa.table({"id": pa.array(i[at], pa.int64()), "key": pa.array(k[at], pa.int16()),
                      "at": pa.array([p[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())})
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      window: int = WINDOW) -> DataFrame:
     """(id, key, at): for each text with repeated windows, packed positions (uint32 word
-    numbers) of the windows that a document with a smaller id also holds. A text may have
-    several rows, of one bucket each; `key` is a hash of the text."""
+    numbers) of the windows that a document with a smaller id also holds; `key` tells texts of
+    one id apart."""
     buckets = X.bucket_count(docs, text_col)
     asked = _keyed(docs, id_col, text_col).select("_id", "_key", text_col).mapInArrow(
         _asked(text_col, window, buckets), _PACKED)
-    return asked.groupBy("bucket").applyInArrow(_answered, _HITS)
+    hits = asked.groupBy("bucket").applyInArrow(_answered(buckets), "bucket int, texts int, places binary")
+    return hits.groupBy("bucket").applyInArrow(_gathered, _HITS)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"),
-                       F.xxhash64(text_col).alias("_key"))
+                       F.shiftright(F.xxhash64(text_col), 49).cast("short").alias("_key"))
 
 
 def _cut(id_col: str, text_col: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, kept_text, spans = [], [], []
-            for text, parts in zip(batch.column(text_col), batch.column("at")):
+            for text, at in zip(batch.column(text_col), batch.column("at")):
                 w = (text.as_py() or "").encode().split()     # bytes.split: ASCII white space alone
-                parts = parts.as_py()
-                mask = np.zeros(len(w), bool)
-                if parts:
-                    mask = K.covered(np.concatenate([np.frombuffer(p, np.uint32) for p in parts]).astype(np.int64),
-                                     window, len(w))
+                mask = K.covered(np.frombuffer(at.as_py() or b"", np.uint32).astype(np.int64), window, len(w))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
                 n_words.append(len(w))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
-                kept_text.append(b" ".join(compress(w, ~mask) if parts else w).decode())
+                kept_text.append(b" ".join(compress(w, ~mask) if mask.any() else w).decode())
             yield pa.record_batch({
                 id_col: batch.column(id_col).cast(pa.int64()),
                 "n_words": pa.array(n_words, pa.int64()),
@@ -156,8 +175,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    window: int = WINDOW) -> DataFrame:
     """Every row's id, n_words, `removed` (maximal intervals of removed words, end exclusive)
     and `kept_text` (the other words, joined by one space)."""
-    hits = (repeated_windows(docs, id_col, text_col, window)
-            .groupBy("id", "key").agg(F.collect_list("at").alias("at")))  # of one text
+    hits = repeated_windows(docs, id_col, text_col, window)
     rows = _keyed(docs, id_col, text_col)
     joined = rows.join(hits.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "at"), ["_id", "_key"], "left")
     return joined.select(id_col, text_col, "at").mapInArrow(
