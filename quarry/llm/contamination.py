@@ -261,10 +261,24 @@ def verdicts(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """`docs` without its contaminated rows, all columns kept."""
-    bad = (verdicts(docs, items, id_col, text_col, **names).filter("contaminated")
+def _clean(items, text_col: str, share: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in K.blocks(batches, text_col):
+            w = K.words(K.texts(block.column(text_col)), K.NON_ALNUM, fold=True)
+            kind, at = occurrences(w, items.value)
+            n_hit = K.per_text(K.covered(at, items.value.size[kind], len(w.h)), w.first)
+            yield from block.filter(pa.array((n_hit == 0) | (share * n_hit < w.count))).to_batches()
+    return run
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
+    """`docs` without its contaminated rows, all columns kept. With one block of items the rows
+    are judged where they are; with more, the finds of all blocks decide."""
+    blocks = list(_item_blocks(items, item_col, item_text, window))
+    if len(blocks) == 1:
+        return docs.mapInArrow(_clean(blocks[0], text_col, share), docs.schema)
+    bad = (verdicts(docs, items, id_col, text_col, item_col, item_text, window, share).filter("contaminated")
            .select(F.col(id_col).alias("_id"), F.col("key").alias("_key")).distinct())
-    return (docs.withColumn("_key_", F.xxhash64(text_col))
-            .join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key_") == F.col("_key")), "left_anti")
-            .drop("_key_"))
+    key = F.xxhash64(docs[text_col])
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")

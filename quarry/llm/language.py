@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -250,6 +251,22 @@ def _predicted(text_col: str, model):
     return run
 
 
+def _accepted(text_col: str, model):
+    judge = _predicted(text_col, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = [b.column("rejected") for b in judge(iter([batch.select([text_col])]))]
+            if bad:
+                yield batch.filter(pc.invert(pa.chunked_array(bad).combine_chunks()))
+    return run
+
+
+def accept(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """`docs` without the rejected rows, all columns kept."""
+    return docs.mapInArrow(_accepted(text_col, model), docs.schema)
+
+
 def _tried(text_col: str, model):
     """Calibration rows: cross-entropy under the label, and the loss at each temperature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -277,3 +277,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return (out.withColumn("component_id", F.when(F.col("id").isNotNull(), component))
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
                     F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each component, its smallest id; of repeated rows of one id, one.
+    Rows with a null id stay. All columns kept."""
+    gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    known = docs.filter(F.col(id_col).isNotNull())
+    rest = known.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti").dropDuplicates([id_col])
+    return rest.unionAll(docs.filter(F.col(id_col).isNull()))
