@@ -92,7 +92,7 @@ def merge_context(ctx: DataFrame, entries: DataFrame, rules: DataFrame | None =
                              F.concat(F.lit("Domain-specific term in "), F.col("domain_name")))
     out = j.withColumn("key_concepts", concepts).withColumn("terminology", term)
     if rules is not None:
-        out = out.join(F.broadcast(rules.select("domain", "priority_concepts", "required_terminology")),
+        out = out.join(rules.select("domain", "priority_concepts", "required_terminology"),
                        "domain", "left")
         out = out.withColumn("terminology", merge_terminology(
             F.col("terminology"), F.coalesce("required_terminology", F.array().cast("array<string>")),
@@ -166,21 +166,23 @@ def concept_feedback(fb: DataFrame, key_concepts: DataFrame, threshold: float =
             .drop("_key"))
 
 
-def context_flags(perf: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """accuracy below threshold → detailed terminology; relevance below → high relevance."""
-    return (perf.withColumn("include_detailed_terminology", F.col("accuracy") < threshold)
+def context_flags(perf: DataFrame, threshold: float = 0.7, accuracy: float | None = None) -> DataFrame:
+    """accuracy below its threshold (by default the common one) → detailed terminology;
+    relevance below → high relevance."""
+    return (perf.withColumn("include_detailed_terminology", F.col("accuracy") < (threshold if accuracy is None else accuracy))
             .withColumn("focus_mode", F.when(F.col("relevance") < threshold, F.lit("high_relevance"))))
 
 
 def context_recommendations(perf: DataFrame, knowledge_counts: DataFrame, template_success: DataFrame,
                             threshold: float = 0.7, min_entries: int = 10,
-                            min_success: float = 0.8) -> DataFrame:
+                            min_success: float = 0.8, accuracy: float | None = None) -> DataFrame:
     """Per domain (perf: domain, accuracy, relevance, user_satisfaction; knowledge_counts:
-    domain, total_entries; template_success: domain, success_rate per template)."""
+    domain, total_entries; template_success: domain, success_rate per template). `accuracy` is
+    the accuracy's threshold where it differs from the common one."""
     ts = template_success.groupBy("domain").agg(F.avg("success_rate").alias("_succ"))
     j = perf.join(knowledge_counts, "domain", "left").join(ts, "domain", "left")
     recs = F.array_compact(F.array(
-        F.when(F.coalesce("accuracy", F.lit(0.0)) < threshold,
+        F.when(F.coalesce("accuracy", F.lit(0.0)) < (threshold if accuracy is None else accuracy),
                F.lit("Consider adding more domain-specific examples to improve accuracy")),
         F.when(F.coalesce("relevance", F.lit(0.0)) < threshold,
                F.lit("Update knowledge base with more recent domain information")),

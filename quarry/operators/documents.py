@@ -21,14 +21,15 @@ def strip_ws(c: Column) -> Column:
 
 # ----------------------------------------------------------------------------- W13, P-6
 def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", base=None,
-             separator: str = "\n\n", min_words: int = 50) -> DataFrame:
+             separator: str = "\n\n", min_words: int = 50, keep: Sequence[str] = ()) -> DataFrame:
     """Paragraphs split on `separator`, stripped, empty ones dropped; the ordinal counts
     the non-empty paragraphs *before* short ones (< `min_words` words, P-6) are removed, so it
-    has gaps. segment_id = `{base}_segment_{i}`. One explode per document, no shuffle."""
+    has gaps. segment_id = `{base}_segment_{i}`. One explode per document, no shuffle. `keep`:
+    columns of the document that its segments carry."""
     import re
     b = F.col(base) if isinstance(base, str) else (base if base is not None else F.col(key).cast("string"))
     paras = F.filter(F.transform(F.split(F.col(text), re.escape(separator)), strip_ws), lambda p: p != "")
-    x = docs.select(key, b.alias("_base"), F.posexplode(paras).alias("ordinal", "original_text"))
+    x = docs.select(key, *keep, b.alias("_base"), F.posexplode(paras).alias("ordinal", "original_text"))
     x = x.withColumn("word_count", tx.word_count("original_text").cast("long"))
     return (x.filter(F.col("word_count") >= min_words)
             .withColumn("segment_id", F.concat(F.col("_base"), F.lit("_segment_"), F.col("ordinal").cast("string")))
@@ -66,7 +67,7 @@ def with_context(df: DataFrame, domains: DataFrame, name: str = "domain") -> Dat
     generic context. `domains` is the small dimension: broadcast."""
     d = domains.select(F.col("domain").alias("_ctx_key"), "domain_name", "description", "focus_areas",
                        "key_concepts", "fine_tuning_instructions")
-    j = df.join(F.broadcast(d), F.lower(F.col(name)) == F.col("_ctx_key"), "left")
+    j = df.join(d, F.lower(F.col(name)) == F.col("_ctx_key"), "left")
     return (j.withColumn("context_found", F.col("_ctx_key").isNotNull())
             .withColumn("domain_name", F.coalesce("domain_name", F.lit(GENERAL["domain_name"])))
             .withColumn("description", F.coalesce("description", F.lit(GENERAL["description"])))

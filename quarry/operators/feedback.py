@@ -153,11 +153,16 @@ def suggestions(fb: DataFrame, group_by: Sequence[str] = ("domain",), low_share:
 def analyze_feedback(fb: DataFrame, as_of, days: int = 30, model_id: str | None = None,
                      domains: DataFrame | None = None, lexicon=FEEDBACK_CONCEPTS,
                      low_share: float = 0.3, min_corrections: int = 10) -> DataFrame:
-    """A5: one row per domain: total, avg rating, rating trend, confidence, critical areas
-    (top 5 issue keywords), top issue keywords (top 10), suggestions, type distribution.
-    Domains of `domains` without feedback get the zero row."""
+    """A5: one row per domain: total, avg rating, rating trend, volume trend (slope of the daily
+    counts over the days with feedback), confidence, critical areas (top 5 issue keywords), top
+    issue keywords (top 10), suggestions, type distribution. Domains of `domains` without feedback
+    get the zero row. The narrow feature columns are computed once (one Python pass) and kept
+    for the branches."""
     f = _with_features(feedback_window(fb, as_of, days, model_id), lexicon)
+    f = f.select("domain", *ARRIVAL, "rating", "feedback_type", "severity", "keywords", "concepts", "correction").persist()
     g = ["domain"]
+    daily = f.groupBy(*g, F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    volume = trend(daily, "n", ["day"], g, "volume_trend")
     flat = f.groupBy(*g).agg(F.count(F.lit(1)).alias("total_feedback"),
                              F.coalesce(F.avg("rating"), F.lit(0.0)).alias("avg_rating"))
     tr = trend(f.filter(_rating_truthy(F.col("rating"))), "rating", ARRIVAL, g, "rating_trend")
@@ -169,7 +174,7 @@ def analyze_feedback(fb: DataFrame, as_of, days: int = 30, model_id: str | None
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("feedback_type", "n"))))
         .alias("feedback_distribution"))
     sug = suggestions(f, g, low_share, min_corrections, lexicon)
-    out = (flat.join(tr, g, "left").join(issue_lists, g, "left").join(dist, g, "left")
+    out = (flat.join(tr, g, "left").join(volume, g, "left").join(issue_lists, g, "left").join(dist, g, "left")
            .join(sug, g, "left"))
     if domains is not None:
         out = domains.select("domain").join(out, "domain", "left")
@@ -179,7 +184,7 @@ def analyze_feedback(fb: DataFrame, as_of, days: int = 30, model_id: str | None
         F.coalesce("total_feedback", F.lit(0)).cast("long").alias("total_feedback"),
         F.coalesce("avg_rating", F.lit(0.0)).alias("avg_rating"),
         F.coalesce("rating_trend", F.lit(0.0)).alias("rating_trend"),
-        F.lit(0.0).alias("feedback_volume_trend"),
+        F.coalesce("volume_trend", F.lit(0.0)).alias("feedback_volume_trend"),
         F.least(F.coalesce("total_feedback", F.lit(0)) / 100.0, F.lit(1.0)).alias("confidence_score"),
         F.coalesce("critical_areas", empty).alias("critical_areas"),
         F.coalesce("top_issue_keywords", empty).alias("top_issue_keywords"),
@@ -305,7 +310,7 @@ def examples_from_feedback(fb: DataFrame, configs: DataFrame, threshold: float =
     """training rows (system/user/assistant) from pending rows rated below `threshold`
     that carry an expected answer. `configs` has (domain, context_paragraph)."""
     f = pending(fb).filter((F.col("rating") < threshold) & _nonempty(F.col("expected_output")))
-    j = f.join(F.broadcast(configs.select("domain", "context_paragraph")), "domain", "left")
+    j = f.join(configs.select("domain", "context_paragraph"), "domain", "left")
     system = F.concat(F.lit("You are an expert in "), F.col("domain"), F.lit(". "),
                       F.coalesce("context_paragraph", F.lit("")))
     return j.select("domain", "feedback_id", "ts", F.array(

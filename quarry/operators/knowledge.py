@@ -21,11 +21,15 @@ def _ts(x) -> Column:
 
 
 def latest_per_id(df: DataFrame, order_by: Sequence[str], key: str = "id") -> DataFrame:
-    """One row per id: the last by `order_by` (upsert semantics, P16 later wins). A hash
-    aggregate with `max_by`, so repeated ids collapse on the map side."""
-    payload = [c for c in df.columns if c != key]
-    last = F.max_by(F.struct(*[F.col(c) for c in payload]), F.struct(*[F.col(c) for c in order_by]))
-    return df.groupBy(key).agg(last.alias("_last")).select(key, "_last.*")
+    """One row per id: the last by `order_by` (upsert semantics, P16 later wins), whose columns
+    must be unique within an id. The narrow aggregate finds the last place of each id; the rows
+    themselves move once, in the semi-join."""
+    places = df.select(key, *order_by).groupBy(key)
+    if len(order_by) == 1:
+        last = places.agg(F.max(order_by[0]).alias(order_by[0]))
+    else:
+        last = places.agg(F.max(F.struct(*order_by)).alias("_last")).select(key, "_last.*")
+    return df.join(last, [key, *order_by], "left_semi")
 
 
 def add_knowledge(raw: DataFrame, as_of, lexicon: Mapping[str, Sequence[str]] | None = None,

@@ -3,8 +3,8 @@ J14, J18, J19, §2.4 A13–A16, A28, §2.5 W1, W3, W8–W11, §2.8 F19, §2.1 S8
 
 Registry tables (models, deployments, jobs, cycles) are metadata-sized: one row per model or
 deployment, so per-domain windows over them are fine. Request logs are data-sized: their
-aggregates are partial/final hash aggregates and their percentiles use the distributed
-ordinal (no group is collected into one task).
+aggregates are partial/final hash aggregates and their percentiles come from counts of distinct
+values in buckets (no group is collected into one task).
 """
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.plans.ordinal import with_ordinal
-
 PROMOTION_THRESHOLDS = {
     # FIXED VALUES: default promotion thresholds.
     "min_feedback_score": 4.0, "max_error_rate": 0.05, "max_latency_p95": 2000.0,
@@ -33,20 +31,43 @@ def _ts(x) -> Column:
 # ----------------------------------------------------------------------------- percentiles
 def exact_percentile(df: DataFrame, group_by: Sequence[str], value: str, q: float,
                      out: str = "percentile") -> DataFrame:
-    """Exact percentile with linear interpolation (as `percentile` / `quantile_cont`) per group,
-    without collecting a group: values get their sorted position from the distributed
-    ordinal, and only the two rows around q·(n−1) are kept."""
-    x = df.select(*group_by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    o = with_ordinal(x, ["_v"], group_by, name="_pos")
-    n = x.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_n"))
-    j = o.join(n, list(group_by)) if group_by else o.crossJoin(F.broadcast(n))
-    r = F.lit(q) * (F.col("_n") - 1)
-    lo, hi = F.floor(r), F.ceil(r)
-    k = j.filter((F.col("_pos") == lo) | (F.col("_pos") == hi)).withColumn("_r", r)
-    g = k.groupBy(*group_by).agg(F.min("_r").alias("_r"),
-                                 F.min_by("_v", "_pos").alias("_vlo"), F.max_by("_v", "_pos").alias("_vhi"))
-    return g.select(*group_by, (F.col("_vlo") + (F.col("_r") - F.floor("_r")) * (F.col("_vhi") - F.col("_vlo")))
-                    .alias(out))
+    """Exact percentile with linear interpolation (as `percentile` / `quantile_cont`) per group."""
+    return exact_percentiles(df, group_by, value, {out: q})
+
+
+BUCKETS = 64
+
+
+def exact_percentiles(df: DataFrame, group_by: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
+    """Exact percentiles with linear interpolation per group, in one pass for all of `wanted` (name →
+    q). Equal values are counted first, on the map side, so ties cost one row. The distinct values of
+    a group are cut into BUCKETS by approximate quantiles; the buckets' counts say which of them hold
+    the two rows around q·(n−1), and only there are values ranked. No group is sorted by one task."""
+    keys = list(group_by)
+    counts = (df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    bounds = counts.groupBy(*keys).agg(
+        F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_bounds"), F.sum("_c").alias("_n"))
+    def per_group(x):
+        return counts.join(x, keys) if keys else counts.crossJoin(x)      # x has one row for each group
+    dealt = per_group(bounds).withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
+    sums = dealt.groupBy(*keys, "_b", "_n").agg(F.sum("_c").alias("_s"))  # BUCKETS rows for each group
+    before = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_s")
+    rank = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), (F.lit(q) * (F.col("_n") - 1)).alias("r")) for o, q in wanted.items()]))
+    spots = (sums.withColumn("_before", before).withColumn("_w", rank)
+             .filter((F.floor("_w.r") < F.col("_before") + F.col("_s")) & (F.ceil("_w.r") >= F.col("_before")))
+             .select(*keys, "_b", "_before", "_w"))
+    inside = dealt.join(spots.select(*keys, "_b", "_before").distinct(), [*keys, "_b"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
+    placed = inside.select(*keys, "_b", "_v", upto.alias("_upto"), (upto - F.col("_c")).alias("_from"))
+    at = placed.join(spots.select(*keys, "_b", "_w"), [*keys, "_b"])
+
+    def row(k):      # the value at position k, if this row holds it
+        return F.when((F.col("_from") <= k) & (k < F.col("_upto")), F.col("_v"))
+    picked = at.groupBy(*keys, F.col("_w.o").alias("_o"), F.col("_w.r").alias("_r")).agg(
+        F.max(row(F.floor("_w.r"))).alias("_lo"), F.max(row(F.ceil("_w.r"))).alias("_hi"))
+    picked = picked.withColumn("_p", F.col("_lo") + (F.col("_r") - F.floor("_r")) * (F.col("_hi") - F.col("_lo")))
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_o") == o, F.col("_p"))).alias(o) for o in wanted])
 
 
 # ----------------------------------------------------------------------------- A13, A14, A28
@@ -87,9 +108,8 @@ def operation_metrics(log: DataFrame, group_by: Sequence[str] = ("domain", "size
     g = log.groupBy(*group_by).agg(F.count(F.lit(1)).alias("operations"),
                                    F.avg(F.col("success").cast("double")).alias("success_rate"),
                                    F.avg(duration).alias("mean_ms"))
-    p50 = exact_percentile(log, group_by, duration, 0.5, "p50_ms")
-    p95 = exact_percentile(log, group_by, duration, 0.95, "p95_ms")
-    return g.join(p50, list(group_by)).join(p95, list(group_by))
+    p = exact_percentiles(log, group_by, duration, {"p50_ms": 0.5, "p95_ms": 0.95})
+    return g.join(p, list(group_by))
 
 
 # ----------------------------------------------------------------------------- P-7…P-12

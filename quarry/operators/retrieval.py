@@ -5,7 +5,7 @@ Per-domain TF-IDF as long-form postings (domain, doc, term, weight), built once
 * tokens: lower-cased runs of 2+ word characters, stop words removed, unigrams + bigrams of
   the filtered tokens (bigrams after stop-word removal);
 * vocabulary: the `max_features` terms with the highest corpus count per domain (ties: term
-  ascending) — a per-domain top-k that Spark plans as a partial window-group limit;
+  ascending) — a per-domain top-k in two stages (`plans/topk.py`);
 * idf = ln((1 + n) / (1 + df)) + 1, raw tf, L2 norm per document over vocabulary terms.
 
 Similarity is an equi-join of query postings with document postings on (domain, term) and a
@@ -53,7 +53,7 @@ def terms(text: Column, stopwords: Sequence[str] | None = None, ngram_max: int =
         toks = F.filter(toks, lambda t: ~F.array_contains(stop_arr, t))
     if ngram_max < 2:
         return toks
-    big = F.zip_with(toks, F.slice(F.concat(toks, F.array(F.lit(None).cast("string"))), 2, 1_000_000_000),
+    big = F.zip_with(toks, F.slice(F.concat(toks, F.array(F.lit(None).cast("string"))), 2, F.size(toks)),
                      lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
     return F.concat(toks, F.filter(big, lambda x: x.isNotNull()))
 
@@ -70,19 +70,25 @@ def add_terms(df: DataFrame, text: str, out: str = "terms", stopwords: Sequence[
     return x.withColumn(out, F.concat("_uni", "_bi")).drop("_tok", "_uni", "_bi")
 
 
-def postings(docs: DataFrame, key: str, text: str, group: str = "domain",
+def postings(docs: DataFrame, key: str | Sequence[str], text: str, group: str = "domain",
              stopwords: Sequence[str] | None = None) -> DataFrame:
-    """(group, key, term, tf) for every document."""
-    x = add_terms(docs.select(group, key, text), text, "_terms", stopwords)
-    x = x.select(group, key, F.explode("_terms").alias("term"))
-    return x.groupBy(group, key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(group, *key, term, tf) for every document. `explode_outer` keeps Spark from adding a
+    filter on the size of the terms, which would analyse every text twice."""
+    keys = _keys(key)
+    x = add_terms(docs.select(group, *keys, text), text, "_terms", stopwords)
+    x = x.select(group, *keys, F.explode_outer("_terms").alias("term")).filter(F.col("term").isNotNull())
+    return x.groupBy(group, *keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_tfidf(docs: DataFrame, key: str = "id", text: str = "content", group: str = "domain",
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def fit_tfidf(docs: DataFrame, key: str | Sequence[str] = "id", text: str = "content", group: str = "domain",
               max_features: int = 5000, stopwords: Sequence[str] | None = None):
     """Returns (vocab: group, term, idf; doc_weights: group, key, term, weight)."""
     p = postings(docs, key, text, group, stopwords)
-    n = docs.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    n = docs.select(group).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     stats = p.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     vocab = top_k_rows(stats, [group], [F.col("cf").desc(), F.col("term")], max_features, "_vr")
     vocab = vocab.join(n, group).select(
@@ -90,20 +96,23 @@ def fit_tfidf(docs: DataFrame, key: str = "id", text: str = "content", group: st
     return vocab, weigh(p, vocab, key, group)
 
 
-def weigh(p: DataFrame, vocab: DataFrame, key: str, group: str = "domain") -> DataFrame:
+def weigh(p: DataFrame, vocab: DataFrame, key: str | Sequence[str], group: str = "domain") -> DataFrame:
     """tf × idf over vocabulary terms, L2-normalised per document."""
+    keys = _keys(key)
     w = p.join(vocab, [group, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy(group, key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return w.join(norm, [group, key]).select(group, key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norm = w.groupBy(group, *keys).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return w.join(norm, [group, *keys]).select(group, *keys, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
-def similarity(query_w: DataFrame, doc_w: DataFrame, qkey: str = "query_id", dkey: str = "id",
+def similarity(query_w: DataFrame, doc_w: DataFrame, qkey: str = "query_id", dkey: str | Sequence[str] = "id",
                group: str = "domain") -> DataFrame:
-    """Cosine similarity of every (query, document) pair that shares a term."""
+    """Cosine similarity of every (query, document) pair that shares a term, to 9 decimals, so
+    that ranks don't depend on the order of the sum."""
+    keys = _keys(dkey)
     q = query_w.select(group, qkey, "term", F.col("weight").alias("_wq"))
-    d = doc_w.select(group, dkey, "term", F.col("weight").alias("_wd"))
-    return q.join(d, [group, "term"]).groupBy(group, qkey, dkey).agg(
-        F.sum(F.col("_wq") * F.col("_wd")).alias("similarity"))
+    d = doc_w.select(group, *keys, "term", F.col("weight").alias("_wd"))
+    return q.join(d, [group, "term"]).groupBy(group, qkey, *keys).agg(
+        F.round(F.sum(F.col("_wq") * F.col("_wd")), 9).alias("similarity"))
 
 
 def search(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str = "query",
@@ -111,10 +120,12 @@ def search(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: s
            limit: int = 10, floor: float = 0.1, max_features: int = 5000,
            stopwords: Sequence[str] | None = None) -> DataFrame:
     """L3 (P10): per query, the `limit` most similar documents of its domain (ties in insertion
-    order), then those with similarity <= `floor` dropped."""
-    vocab, dw = fit_tfidf(docs, dkey, dtext, group, max_features, stopwords)
+    order), then those with similarity <= `floor` dropped. The order key travels with the
+    postings, so documents aren't read again, and each task keeps `limit` pairs of a query
+    before the shuffle of the ranking."""
+    vocab, dw = fit_tfidf(docs, [dkey, order_key], dtext, group, max_features, stopwords)
     qw = weigh(postings(queries, qkey, qtext, group, stopwords), vocab, qkey, group)
-    s = similarity(qw, dw, qkey, dkey, group).join(docs.select(group, dkey, order_key), [group, dkey])
+    s = similarity(qw, dw, qkey, [dkey, order_key], group)
     top = top_k_rows(s, [group, qkey], [F.col("similarity").desc(), F.col(order_key)], limit)
     return top.filter(F.col("similarity") > floor)
 

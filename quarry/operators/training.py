@@ -55,7 +55,7 @@ def expand_example_types(docs: DataFrame, domains: DataFrame, text: str = "text"
     dimension is a broadcast lookup."""
     tarr = F.array(*[F.struct(F.lit(i).alias("type_ord"), F.lit(t).alias("example_type"),
                               F.lit(p).alias("prefix_tpl")) for i, (t, p) in enumerate(types)])
-    d = docs.join(F.broadcast(domains.select("domain", "domain_name", "description")), "domain")
+    d = docs.join(domains.select("domain", "domain_name", "description"), "domain")
     x = d.withColumn("_t", F.explode(tarr)).select("*", "_t.*").drop("_t")
     prefix = F.replace(F.col("prefix_tpl"), F.lit("{name}"), F.col("domain_name"))
     return (x.withColumn("prompt_prefix", prefix)
@@ -74,7 +74,7 @@ def knowledge_examples(recs: DataFrame, domains: DataFrame, knowledge: DataFrame
     r = top_k_rows(recs, ["domain"], [F.col("seq")], top, rank_col="imp_rank")
     if knowledge is not None:
         r = r.join(knowledge.select("domain").distinct(), "domain", "left_semi")
-    d = r.join(F.broadcast(domains.select("domain", "domain_name", "fine_tuning_instructions")), "domain")
+    d = r.join(domains.select("domain", "domain_name", "fine_tuning_instructions"), "domain")
     d = d.withColumn("example_no", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
     imp = F.col("description")
     name = F.col("domain_name")
@@ -94,35 +94,41 @@ def knowledge_examples(recs: DataFrame, domains: DataFrame, knowledge: DataFrame
 # ----------------------------------------------------------------------------- U1, U2
 def dedup_examples(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str],
                    key: str = "messages") -> DataFrame:
-    """U2 (first half): keep the first row (by `order_by`) of every group of equal `key`
-    within `group_by`. A hash aggregate with `min_by`: map tasks collapse copies before the
-    shuffle, so a key repeated in a third of all rows costs one row per map task, never one
-    task holding all copies (a window would)."""
-    payload = [c for c in df.columns if c not in (*group_by, key)]
-    first = F.min_by(F.struct(*[F.col(c) for c in payload]), F.struct(*[F.col(c) for c in order_by]))
-    return (df.groupBy(*group_by, key).agg(first.alias("_first"))
-            .select(*group_by, key, "_first.*"))
+    """U2 (first half): keep the first row (by `order_by`, unique within a group) of every group
+    of equal `key` within `group_by`. Keys are compared by their SHA-256; the aggregate carries
+    hashes and places only and collapses copies on the map side, so a key repeated in a third of
+    all rows costs one narrow row per map task. The rows move once, in the semi-join."""
+    h = F.sha2(F.to_json(F.struct(F.col(key))), 256)
+    first = F.min(F.struct(*[F.col(c) for c in order_by]))
+    places = df.select(*group_by, h.alias("_h"), *order_by).groupBy(*group_by, "_h").agg(first.alias("_first"))
+    places = places.select(*group_by, "_h", "_first.*")
+    on = [*group_by, "_h", *[c for c in order_by if c not in group_by]]
+    return df.withColumn("_h", h).join(places, on, "left_semi").drop("_h")
 
 
 def rank_examples(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str],
-                  out: str = "position", bounded: bool = False) -> DataFrame:
+                  out: str = "position", at_most: int | None = None) -> DataFrame:
     """U2 (second half): stable sort by quality desc (missing = 0.5), ties in `order_by`
     order; 1-based `out` per group. By default from the distributed ordinal (no per-group
-    single task); `bounded=True` when every group is known to be small (a window per group)."""
+    single task). With `at_most`, groups are ranked by a window each, and the job fails if a group
+    has more rows than that."""
     q = F.coalesce(F.col("quality_score"), F.lit(0.5))
     x = df.withColumn("_q", -q)
-    if bounded:
+    if at_most is not None:
         w = Window.partitionBy(*group_by).orderBy("_q", *order_by)
-        return x.withColumn(out, F.row_number().over(w).cast("long")).drop("_q")
+        pos = F.row_number().over(w).cast("long")
+        x = x.withColumn(out, pos)
+        return x.withColumn(out, F.when(F.col(out) <= at_most, F.col(out)).otherwise(
+            F.raise_error(F.lit(f"a group has more than {at_most} examples")).cast("long"))).drop("_q")
     return with_ordinal(x, ["_q", *order_by], group_by, name=out) \
         .withColumn(out, F.col(out) + 1).drop("_q")
 
 
-def adaptive_training_set(feedback_ex: DataFrame, knowledge_ex: DataFrame) -> DataFrame:
+def adaptive_training_set(feedback_ex: DataFrame, knowledge_ex: DataFrame, at_most: int = 1000) -> DataFrame:
     """U1 + U2: feedback examples (in their rank order) then knowledge examples (improvement
     order), exact dedup on messages per domain keeping the first, ranked by quality. Both
-    inputs are per-domain top lists (L4's `limit` and J6's 5 × 3), so each domain holds at
-    most limit + 15 rows: the final rank is a window per domain (a proven bound)."""
+    inputs are per-domain top lists (L4's `limit` and J6's 5 × 3); the final rank is a window per
+    domain, which fails beyond `at_most` rows."""
     f = feedback_ex.select("domain", "messages", "quality_score", "improvement_type",
                            F.col("feedback_id").cast("string").alias("feedback_id"),
                            F.lit("feedback").alias("source"), F.lit(0).alias("_part"),
@@ -134,7 +140,7 @@ def adaptive_training_set(feedback_ex: DataFrame, knowledge_ex: DataFrame) -> Da
                             (F.col("imp_rank") * 1000 + F.col("example_no")).cast("long").alias("_ord"))
     u = f.unionByName(k)
     d = dedup_examples(u, ["domain"], ["_part", "_ord"])
-    return rank_examples(d, ["domain"], ["_part", "_ord"], bounded=True).drop("_part", "_ord")
+    return rank_examples(d, ["domain"], ["_part", "_ord"], at_most=at_most).drop("_part", "_ord")
 
 
 # ----------------------------------------------------------------------------- W4
@@ -152,11 +158,12 @@ def split_positional(df: DataFrame, order_by: Sequence[str], validation_split: f
 
 
 def split_hash(df: DataFrame, key: str, validation_split: float = 0.1, seed: int = 42) -> DataFrame:
-    """W4 default at scale: a deterministic per-key split (hash of the key), no ordinal and
-    no shuffle; with `key` = document id all examples of a document stay together."""
-    h = F.abs(F.xxhash64(F.col(key).cast("string"), F.lit(seed))) % 1_000_000
-    return df.withColumn("split", F.when(h < int(validation_split * 1_000_000), "validation")
-                         .otherwise("train"))
+    """W4 default at scale: a deterministic per-key split (the first 52 bits of the SHA-256 of
+    `seed:key`), no ordinal and no shuffle; with `key` = document id all examples of a document
+    stay together."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    share = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0 ** 52)
+    return df.withColumn("split", F.when(share < validation_split, "validation").otherwise("train"))
 
 
 # ----------------------------------------------------------------------------- S15
@@ -194,7 +201,7 @@ def validate_examples(df: DataFrame, min_chars: int = 1, max_chars: int = 100_00
     every content non-empty and within length bounds. Adds `reject_reason` (null = valid)."""
     m = F.col("messages")
     roles = F.transform(m, lambda x: x["role"])
-    body = F.when(F.element_at(roles, 1) == "system", F.slice(roles, 2, 1_000_000)).otherwise(roles)
+    body = F.when(F.element_at(roles, 1) == "system", F.slice(roles, 2, F.size(roles))).otherwise(roles)
     alternating = F.forall(F.sequence(F.lit(1), F.greatest(F.size(body), F.lit(1))),
                            lambda i: (F.size(body) == 0) | (
                                F.element_at(body, i) == F.when(i % 2 == 1, "user").otherwise("assistant")))
@@ -284,24 +291,25 @@ def combine(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str], tex
                                  lambda s: s["p"]), "\n\n").alias("combined"))
 
 
-def tokenize(df: DataFrame, text: str = "text", max_len: int = 128, pad_id: int = 0,
-             unk_id: int = 1, vocab: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+def tokenize(df: DataFrame, text: str, max_len: int, pad_id: int = 0, unk_id: int = 1,
+             vocab: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """F24 (re-aimed): lower-cased word tokens mapped through a vocabulary (built from the
     corpus when not given: ids by descending frequency, ties by token), truncated to
-    `max_len`, padded with `pad_id`; attention mask 1 for real tokens."""
-    toks = df.select(key, tx.words(F.lower(F.col(text))).alias("_t"))
+    `max_len`, padded with `pad_id`; attention mask 1 for real tokens; `n_cut` tokens did not fit."""
+    toks = df.select(key, tx.words(F.lower(F.col(text))).alias("_t")).withColumn("_n", F.size("_t"))
     if vocab is None:
         vocab = build_vocab(toks.select(F.explode("_t").alias("token")))
     ex = toks.select(key, F.posexplode(F.slice("_t", 1, max_len)).alias("pos", "token"))
     ids = ex.join(vocab, "token", "left").withColumn("id", F.coalesce(F.col("id"), F.lit(unk_id)))
     g = ids.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))),
                                          lambda s: s["id"]).alias("_ids"))
-    g = toks.select(key).join(g, key, "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<long>")))
+    g = toks.select(key, "_n").join(g, key, "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<long>")))
     pad = F.array_repeat(F.lit(pad_id).cast("long"), F.lit(max_len) - F.size("_ids"))
     return g.select(key, F.concat("_ids", pad).alias("input_ids"),
                     F.concat(F.array_repeat(F.lit(1), F.size("_ids")),
                              F.array_repeat(F.lit(0), F.lit(max_len) - F.size("_ids"))).alias("attention_mask"),
-                    F.size("_ids").alias("n_tokens"))
+                    F.size("_ids").alias("n_tokens"),
+                    F.greatest(F.col("_n") - F.size("_ids"), F.lit(0)).alias("n_cut"))
 
 
 def build_vocab(tokens: DataFrame, reserved: int = 2) -> DataFrame:

@@ -174,7 +174,7 @@ FROM documents d JOIN {domains_values_sql(("domain", "domain_name", "description
                                            "fine_tuning_instructions"))} ON dom.domain = {_DOMAIN_CASE.format(c='d.doc_id')}""")
 def f_prompts(spark, sf):
     d = table(spark, sf, "documents").withColumn("domain", _dom("doc_id"))
-    x = d.join(F.broadcast(domains_df(spark)), "domain")
+    x = d.join(domains_df(spark), "domain")
     return x.select("doc_id", do.training_template(F.col("text")).alias("training_prompt"),
                     do.qa_system_prompt().alias("qa_system"))
 
@@ -183,20 +183,27 @@ _TERM_JSON_SQL = ("'{' || chr(10) || array_to_string([('  \"' || z[1] || '\": \"
                   "for z in list_zip(dom.terminology_terms, dom.terminology_defs)], ',' || chr(10)) || chr(10) || '}'")
 
 
+def _summary_sql(base: str) -> str:
+    return _block_sql(
+        base, "''", "'DOMAIN CONTEXT: ' || dom.domain_name", "dom.description", "''",
+        "'KEY CONCEPTS TO FOCUS ON:'", "array_to_string(dom.key_concepts, ', ')", "''",
+        "'FOCUS AREAS:'", "array_to_string(dom.focus_areas, ', ')", "''",
+        "'DOMAIN-SPECIFIC INSTRUCTIONS:'", "dom.summarization_instructions", "''",
+        "'TERMINOLOGY AWARENESS:'", _TERM_JSON_SQL, "''",
+        "'Please ensure your response incorporates domain expertise and uses appropriate terminology.'")
+
+
+def _summary_domains_sql() -> str:
+    return domains_values_sql(("domain", "domain_name", "description", "focus_areas", "key_concepts",
+                               "summarization_instructions", "terminology_terms", "terminology_defs"))
+
+
 @query("f_summary_prompt", f"""
-SELECT d.doc_id, {_block_sql(
-    "d.text", "''", "'DOMAIN CONTEXT: ' || dom.domain_name", "dom.description", "''",
-    "'KEY CONCEPTS TO FOCUS ON:'", "array_to_string(dom.key_concepts, ', ')", "''",
-    "'FOCUS AREAS:'", "array_to_string(dom.focus_areas, ', ')", "''",
-    "'DOMAIN-SPECIFIC INSTRUCTIONS:'", "dom.summarization_instructions", "''",
-    "'TERMINOLOGY AWARENESS:'", _TERM_JSON_SQL, "''",
-    "'Please ensure your response incorporates domain expertise and uses appropriate terminology.'")} AS prompt
-FROM documents d JOIN {domains_values_sql(("domain", "domain_name", "description", "focus_areas", "key_concepts",
-                                           "summarization_instructions", "terminology_terms", "terminology_defs"))}
-  ON dom.domain = {_DOMAIN_CASE.format(c='d.doc_id')}""")
+SELECT d.doc_id, {_summary_sql("d.text")} AS prompt
+FROM documents d JOIN {_summary_domains_sql()} ON dom.domain = {_DOMAIN_CASE.format(c='d.doc_id')}""")
 def f_summary_prompt(spark, sf):
     d = table(spark, sf, "documents").withColumn("domain", _dom("doc_id"))
-    x = d.join(F.broadcast(domains_df(spark)), "domain")
+    x = d.join(domains_df(spark), "domain")
     return x.select("doc_id", do.summarization_prompt(F.col("text")).alias("prompt"))
 
 
@@ -206,7 +213,7 @@ SELECT f.feedback_id, f.domain || '_' || f.model_id || '_' || strftime(f.ts, '%Y
   replace(lower(dom.domain_name), ' ', '-') AS domain_slug
 FROM feedback_v f JOIN {domains_values_sql(("domain", "domain_name"))} ON dom.domain = f.domain""", "feedback_v"))
 def f_slugs(spark, sf):
-    f = feedback_view(spark, sf).join(F.broadcast(domains_df(spark).select("domain", "domain_name")), "domain")
+    f = feedback_view(spark, sf).join(domains_df(spark).select("domain", "domain_name"), "domain")
     return f.select("feedback_id",
                     F.concat_ws("_", "domain", "model_id", F.date_format("ts", "yyyyMMdd_HHmmss_SSSSSS")).alias("entry_key"),
                     tx.slug("domain_name").alias("domain_slug"))
@@ -349,7 +356,7 @@ JOIN kc ON kc.domain = dom.domain JOIN tm ON tm.domain = dom.domain LEFT JOIN ke
 def f_fill_template(spark, sf):
     m = _merged(spark, sf, "focused")
     b = table(spark, sf, "benchmark").withColumn("domain", _dom("item_id"))
-    x = b.join(F.broadcast(m), "domain")
+    x = b.join(m, "domain")
     return co.fill_template(x, "inference", "text").select("item_id", "prompt")
 
 
@@ -390,9 +397,7 @@ FROM feedback_x GROUP BY domain"""
 SELECT domain, accuracy < 0.85 AS include_detailed_terminology,
   CASE WHEN relevance < 0.7 THEN 'high_relevance' END AS focus_mode FROM ({_PERF_SQL})""", "feedback_x"))
 def f_context_flags(spark, sf):
-    return co.context_flags(_perf(spark, sf), 0.7).withColumn(
-        "include_detailed_terminology", F.col("accuracy") < 0.85).select("domain", "include_detailed_terminology",
-                                                                         "focus_mode")
+    return co.context_flags(_perf(spark, sf), 0.7, accuracy=0.85).select("domain", "include_detailed_terminology", "focus_mode")
 
 
 _TEMPLATE_USES_SQL = """
@@ -436,8 +441,7 @@ def f_context_recommendations(spark, sf):
     kc = kb(spark, sf).groupBy("domain").agg(F.count(F.lit(1)).alias("total_entries"))
     ts = co.template_success(_template_uses(spark, sf)).join(
         _template_uses(spark, sf).select("template_id", "domain").distinct(), "template_id")
-    r = co.context_recommendations(p.withColumn("accuracy", F.when(F.col("accuracy") < 0.85, 0.0).otherwise(1.0)),
-                                   kc, ts, 0.7, 300, 0.6)
+    r = co.context_recommendations(p, kc, ts, 0.7, 300, 0.6, accuracy=0.85)
     return r.select("domain", F.array_join("recommendations", " | ").alias("recommendations"))
 
 
@@ -490,17 +494,31 @@ def f_optimize_prompts(spark, sf):
 
 
 # ----------------------------------------------------------------------------- S20
-@query("f_domain_json")
+@query("f_domain_json", f"""
+SELECT domain, domain = 'technical' OR domain = 'medical' OR domain = 'legal' OR domain = 'financial' AS valid,
+  count(*) || ' documents' AS description, array_to_string(list_sort(list(DISTINCT lang)), ',') AS key_concepts,
+  array_to_string(list_sort(list(DISTINCT source)), ',') AS focus_areas, true AS roundtrip_ok,
+  (SELECT string_agg(lang || '=' || c, ',' ORDER BY lang) FROM (
+     SELECT lang, count(*) AS c FROM documents e WHERE {_DOMAIN_CASE.format(c='e.doc_id')} = d.domain GROUP BY lang)) AS terminology
+FROM (SELECT *, {_DOMAIN_CASE.format(c='doc_id')} AS domain FROM documents) d GROUP BY domain""")
 def f_domain_json(spark, sf):
-    """S20 export → import round trip for the domains present in the data (rows-only: JSON
-    text layout of maps differs between engines; parity is checked in unit tests)."""
-    present = table(spark, sf, "documents").select(_dom("doc_id").alias("domain")).distinct()
-    d = domains_df(spark).join(present, "domain", "left_semi")
-    e = co.export_domain(d)
+    """Contexts described from the documents of each domain, exported as JSON and imported
+    again; the columns are those of the import."""
+    d = table(spark, sf, "documents").select(_dom("doc_id").alias("domain"), "lang", "source")
+    per = d.groupBy("domain", "lang").agg(F.count(F.lit(1)).alias("c"))
+    terms = per.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("lang").alias("term"), F.col("c").cast("string").alias("definition")))).alias("terminology"))
+    ctx = d.groupBy("domain").agg(
+        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" documents")).alias("description"),
+        F.array_sort(F.collect_set("lang")).alias("key_concepts"), F.array_sort(F.collect_set("source")).alias("focus_areas"))
+    name = F.concat(F.upper(F.substring("domain", 1, 1)), F.expr("substring(domain, 2)"))
+    ctx = co.custom_domain(ctx.join(terms, "domain").withColumn("domain_name", name)).withColumn("domain_type", F.col("domain"))
+    e = co.export_domain(ctx)
     back = co.import_domain(e)
-    re = co.export_domain(back.withColumn("terminology", F.transform(
+    again = co.export_domain(back.withColumn("terminology", F.transform(
         F.map_entries("terminology"), lambda x: F.struct(x["key"].alias("term"), x["value"].alias("definition")))))
-    return e.join(re.withColumnRenamed("config_json", "again"), "domain").join(
-        back.select("domain", "valid"), "domain").select(
-        "domain", "valid", (F.col("config_json") == F.col("again")).alias("roundtrip_ok"),
-        F.length("config_json").alias("json_chars"))
+    entries = F.transform(F.array_sort(F.map_entries("terminology")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return back.join(again.withColumnRenamed("config_json", "again"), "domain").select(
+        "domain", "valid", "description", F.array_join("key_concepts", ",").alias("key_concepts"),
+        F.array_join("focus_areas", ",").alias("focus_areas"), (F.col("config_json") == F.col("again")).alias("roundtrip_ok"),
+        F.array_join(entries, ",").alias("terminology"))

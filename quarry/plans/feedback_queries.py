@@ -176,6 +176,7 @@ def f_suggestions(spark, sf):
 SELECT d.domain, coalesce(fl.total_feedback, 0) AS total_feedback,
   round(coalesce(fl.avg_rating, 0.0), 6) AS avg_rating,
   round(coalesce(tr.rating_trend, 0.0), 9) AS rating_trend,
+  round(coalesce(vt.slope, 0.0), 9) AS feedback_volume_trend, coalesce(ds.distribution, '') AS feedback_distribution,
   round(least(coalesce(fl.total_feedback, 0) / 100.0, 1.0), 6) AS confidence_score,
   coalesce(iss.critical_areas, '') AS critical_areas,
   coalesce(iss.top_issue_keywords, '') AS top_issue_keywords,
@@ -187,11 +188,19 @@ LEFT JOIN ({_TREND_SQL.format(g='domain', out='rating_trend', src=_WIN30)}) tr O
 LEFT JOIN (SELECT domain, string_agg(keyword, ',' ORDER BY rank) FILTER (WHERE rank <= 5) AS critical_areas,
              string_agg(keyword, ',' ORDER BY rank) AS top_issue_keywords
            FROM ({_ISSUES_SQL}) WHERE rank <= 10 GROUP BY domain) iss ON iss.domain = d.domain
+LEFT JOIN (SELECT domain, CASE WHEN count(*) >= 2 THEN regr_slope(n, x) ELSE 0.0 END AS slope FROM (
+    SELECT domain, n, row_number() OVER (PARTITION BY domain ORDER BY day) - 1 AS x FROM (
+      SELECT domain, CAST(ts AS DATE) AS day, count(*) AS n FROM ({_WIN30}) GROUP BY 1, 2)) GROUP BY domain) vt ON vt.domain = d.domain
+LEFT JOIN (SELECT domain, string_agg(feedback_type || '=' || n, ',' ORDER BY feedback_type) AS distribution FROM (
+    SELECT domain, feedback_type, count(*) AS n FROM ({_WIN30}) GROUP BY 1, 2) GROUP BY domain) ds ON ds.domain = d.domain
 LEFT JOIN ({_suggest_sql(_WIN30, 0.3)}) sg ON sg.domain = d.domain""", "feedback_x"))
 def f_feedback_analysis(spark, sf):
     a = fo.analyze_feedback(fbx(spark, sf), AS_OF, 30, domains=domains_df(spark), lexicon=TEST_LEXICON)
     return a.select("domain", "total_feedback", _r("avg_rating").alias("avg_rating"),
                     _r("rating_trend", 9).alias("rating_trend"),
+                    _r("feedback_volume_trend", 9).alias("feedback_volume_trend"),
+                    F.coalesce(F.array_join(F.transform(F.map_entries("feedback_distribution"), lambda x: F.concat(
+                        x["key"], F.lit("="), x["value"].cast("string"))), ","), F.lit("")).alias("feedback_distribution"),
                     _r("confidence_score").alias("confidence_score"),
                     F.array_join("critical_areas", ",").alias("critical_areas"),
                     F.array_join("top_issue_keywords", ",").alias("top_issue_keywords"),

@@ -313,12 +313,20 @@ def f_combine(spark, sf):
     return tr.combine(table(spark, sf, "documents"), ["source"], ["doc_id"], "text", 1024)
 
 
-@query("f_tokenize")
+@query("f_tokenize", f"""
+WITH tok AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '{_WS}') if x <> ''] AS ts FROM documents),
+flat AS (SELECT doc_id, unnest(ts) AS token, unnest(range(1, len(ts) + 1)) AS pos FROM tok),
+vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS id FROM flat GROUP BY token),
+ids AS (SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY pos) AS s FROM flat JOIN vocab USING (token) WHERE pos <= 128 GROUP BY doc_id)
+SELECT doc_id, least(len(ts), 128)::INTEGER AS n_tokens, greatest(len(ts) - 128, 0)::INTEGER AS n_cut,
+  md5(concat_ws(',', ids.s, nullif(repeat('0,', greatest(127 - len(ts), 0)) || CASE WHEN len(ts) < 128 THEN '0' ELSE '' END, ''))) AS ids_md5,
+  least(len(ts), 128)::INTEGER AS mask_sum
+FROM tok LEFT JOIN ids USING (doc_id)""")
 def f_tokenize(spark, sf):
-    """vocabulary from the corpus, fixed-length ids and masks (rows-only; the vocabulary
-    order is checked in unit tests)."""
-    t = tr.tokenize(table(spark, sf, "documents"), "text", 128)
-    return t.select("doc_id", "n_tokens", F.size("input_ids").alias("length"),
+    """vocabulary from the corpus, fixed-length ids and masks; what was cut is counted."""
+    t = tr.tokenize(table(spark, sf, "documents"), "text", max_len=128)
+    return t.select("doc_id", "n_tokens", "n_cut",
+                    F.md5(F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids_md5"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
 
 

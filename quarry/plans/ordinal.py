@@ -2,22 +2,19 @@
 
 `row_number().over(Window.orderBy(..))` moves a whole table into one task, and a window
 partitioned by a low-cardinality key (four domains) puts a quarter of the data into one
-task. `with_ordinal` gives the same 0-based position in two distributed passes:
+task. `with_ordinal` gives the same 0-based position from ranges of the key:
 
-1. range-partition on (group keys, order keys) and sort inside each partition; the
-   position inside a partition is the low bits of `monotonically_increasing_id`;
-2. count rows per (group, partition) — at most #partitions + #groups rows — and turn the
-   counts into offsets with a window over that small table; join the offsets back.
+1. cut values of (group keys, order keys) are read from a bounded sample of the keys
+   (`SAMPLE` for each range, those of the smallest hash) and become literals of the plan, so
+   every pass puts a row into the same range, on any executor and in any attempt;
+2. rows get their position inside (group, range) from a window on these, which spreads a
+   group over its ranges;
+3. counts per (group, range) — at most #ranges + #groups rows — become offsets, which are
+   joined back. AQE sees the runtime size of that table and broadcasts it when it is small,
+   else it stays a shuffle join.
 
-AQE sees the runtime size of the offset table and broadcasts it when it is small, else
-it stays a shuffle join. Order keys must be unique within a group so that the order is
-total and a recomputed partition gives the same positions.
-
-Both passes must see the same range partitioning. Two separately planned exchanges would
-each sample their own range bounds, so the range-partitioned rows are checkpointed (a
-reliable checkpoint in the cluster's `spark.checkpoint.dir`): both branches then read one
-RDD with one shuffle dependency, and a lost executor recomputes its partitions from that
-same dependency (or reads them back from the checkpoint).
+Order keys must be unique within a group so that the order is total. The cut values only
+balance the ranges; positions don't depend on them.
 
 Use a plain `row_number` window when groups are many and small (sessions, documents).
 """
@@ -28,18 +25,45 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW_BITS = (1 << 33) - 1
+SAMPLE = 32      # sampled keys for each range
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def shared_ranges(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
-    """Range-partition and sort `df` on `keys`, materialised once (see module doc)."""
-    from quarry.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=False)
+def _range_of(df: DataFrame, keys: list[Column], n: int) -> Column:
+    """Number of the key range of a row (0 .. n - 1 at most)."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    narrow = df.select(*[k.alias(c) for k, c in zip(keys, names)])
+    kinds = narrow.schema
+    picked = narrow.orderBy(F.xxhash64(*names), *names).limit(SAMPLE * n).orderBy(*names).collect()
+    cuts = list(dict.fromkeys(tuple(r) for r in picked[SAMPLE - 1:-1:SAMPLE]))
+    key = F.struct(*[k.alias(c) for k, c in zip(keys, names)])
+
+    def literal(row: tuple) -> Column:
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kinds)])
+
+    def search(lo: int, hi: int) -> Column:      # a balanced tree of comparisons
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key <= literal(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+    return search(0, len(cuts))
+
+
+def _add_offsets(ranged: DataFrame, offsets: DataFrame, part: list[str]) -> DataFrame:
+    """Join the offsets of each (group, range); null groups are groups too."""
+    named = offsets.select(*[F.col(c).alias(f"_q_{c}") for c in [*part, "_q_range"]],
+                           *[c for c in offsets.columns if c not in (*part, "_q_range")])
+    same = F.lit(True)
+    for c in [*part, "_q_range"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    return ranged.join(named, same).drop(*[f"_q_{c}" for c in [*part, "_q_range"]])
+
+
+def _ranges(df: DataFrame, n: int | None) -> int:
+    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def with_ordinal(df: DataFrame, order_by: Sequence[str | Column],
@@ -48,42 +72,30 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column],
     """Add a 0-based `name` column: position of the row in `order_by` within `partition_by`."""
     part = list(partition_by)
     keys = _cols(part) + _cols(order_by)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = shared_ranges(df, keys, n)
-    ranged = (ranged.withColumn("_q_mid", F.monotonically_increasing_id())
-              .withColumn("_q_pid", F.shiftright("_q_mid", 33))
-              .withColumn("_q_loc", F.col("_q_mid").bitwiseAND(F.lit(_LOW_BITS))))
-    counts = (ranged.groupBy(*part, "_q_pid")
-              .agg(F.count(F.lit(1)).alias("_q_n"), F.min("_q_loc").alias("_q_first")))
-    w = Window.partitionBy(*part).orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_q_off", F.coalesce(F.sum("_q_n").over(w), F.lit(0)))
-    out = (ranged.join(offsets.select(*part, "_q_pid", "_q_off", "_q_first"), [*part, "_q_pid"])
-           .withColumn(name, F.col("_q_off") + F.col("_q_loc") - F.col("_q_first"))
-           .drop("_q_mid", "_q_pid", "_q_loc", "_q_off", "_q_first"))
-    return out
+    ranged = df.withColumn("_q_range", _range_of(df, keys, _ranges(df, num_partitions)))
+    counts = ranged.groupBy(*part, "_q_range").agg(F.count(F.lit(1)).alias("_q_n"))
+    before = Window.partitionBy(*part).orderBy("_q_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*part, "_q_range", F.coalesce(F.sum("_q_n").over(before), F.lit(0)).alias("_q_off"))
+    inside = Window.partitionBy(*part, "_q_range").orderBy(*_cols(order_by))
+    return (_add_offsets(ranged.withColumn("_q_loc", F.row_number().over(inside) - 1), offsets, part)
+            .withColumn(name, F.col("_q_off") + F.col("_q_loc")).drop("_q_range", "_q_loc", "_q_off"))
 
 
 def running_sum(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str], value: str,
                 count_col: str, sum_col: str) -> DataFrame:
-    """Inclusive running count and sum of `value` per group in `order_by` order, computed
-    without a per-group single task: range partitions (materialised once, as in
-    `with_ordinal`), local running sums inside each partition, and offsets from the small
-    table of per-partition totals."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Inclusive running count and sum of `value` per group in `order_by` order: running values
+    inside each key range, and offsets from the small table of the ranges' totals (as in
+    `with_ordinal`)."""
     keys = [F.col(c) for c in [*group_by, *order_by]]
-    ranged = shared_ranges(df, keys, n).withColumn("_pid", F.spark_partition_id())
-    # local running values: window partitioned by (group, partition id) — partitions are
-    # range slices, so this window needs no further exchange beyond the range shuffle
-    wl = (Window.partitionBy(*group_by, "_pid").orderBy(*order_by)
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = (ranged.withColumn("_lc", F.count(F.lit(1)).over(wl))
-             .withColumn("_ls", F.sum(value).over(wl)))
-    totals = local.groupBy(*group_by, "_pid").agg(F.count(F.lit(1)).alias("_tc"),
-                                                   F.sum(value).alias("_ts"))
-    wt = Window.partitionBy(*group_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = (totals.withColumn("_oc", F.coalesce(F.sum("_tc").over(wt), F.lit(0)))
-            .withColumn("_os", F.coalesce(F.sum("_ts").over(wt), F.lit(0.0))))
-    return (local.join(offs.select(*group_by, "_pid", "_oc", "_os"), [*group_by, "_pid"])
+    ranged = df.withColumn("_q_range", _range_of(df, keys, _ranges(df, None)))
+    totals = ranged.groupBy(*group_by, "_q_range").agg(F.count(F.lit(1)).alias("_tc"), F.sum(value).alias("_ts"))
+    before = Window.partitionBy(*group_by).orderBy("_q_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group_by, "_q_range", F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_oc"),
+                            F.coalesce(F.sum("_ts").over(before), F.lit(0.0)).alias("_os"))
+    inside = (Window.partitionBy(*group_by, "_q_range").orderBy(*order_by)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = ranged.withColumn("_lc", F.count(F.lit(1)).over(inside)).withColumn("_ls", F.sum(value).over(inside))
+    return (_add_offsets(local, offsets, list(group_by))
             .withColumn(count_col, F.col("_lc") + F.col("_oc"))
             .withColumn(sum_col, F.col("_ls") + F.col("_os"))
-            .drop("_pid", "_lc", "_ls", "_oc", "_os"))
+            .drop("_q_range", "_lc", "_ls", "_oc", "_os"))

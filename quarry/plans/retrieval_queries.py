@@ -67,7 +67,7 @@ WITH {_tfidf_ctes()},
 qp AS (SELECT domain, k, term, count(*) AS tf FROM ({_terms_sql(_QUERIES_SQL, 'item_id', 'text')}) GROUP BY ALL),
 qw AS (SELECT domain, k, term, w / sqrt(sum(w * w) OVER (PARTITION BY domain, k)) AS weight
        FROM (SELECT qp.domain, qp.k, qp.term, qp.tf * vocab.idf AS w FROM qp JOIN vocab USING (domain, term))),
-sim AS (SELECT qw.domain, qw.k AS query_id, dw.k AS id, sum(qw.weight * dw.weight) AS similarity
+sim AS (SELECT qw.domain, qw.k AS query_id, dw.k AS id, round(sum(qw.weight * dw.weight), 9) AS similarity
         FROM qw JOIN dw ON dw.domain = qw.domain AND dw.term = qw.term GROUP BY ALL),
 ranked AS (SELECT sim.*, row_number() OVER (PARTITION BY sim.domain, query_id ORDER BY similarity DESC, kb_v.doc_id) AS rank
            FROM sim JOIN kb_v ON kb_v.id = sim.id)

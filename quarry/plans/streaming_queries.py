@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.domains import domains_df
+from quarry.functions.lexicons import FILENAME_DOMAIN_PATTERNS, TEST_LEXICON
 from quarry.plans.catalog import ORACLE, query
-from quarry.sources.views import conversation_pairs, feedback_columns, with_views
+from quarry.plans.document_queries import _strip_sql, _summary_domains_sql, _summary_sql
+from quarry.sources.views import _WS, conversation_pairs, feedback_columns, feedback_view, table, with_views
 from quarry.streaming import jobs as sj
 
 
@@ -32,7 +35,31 @@ def _run_update(spark, df, keys, mode="update"):
 def _run_append(spark, df):
     root = sj.stream_root(spark)
     sj.run_available_now(df, f"{root}/out", f"{root}/ckpt", mode="append")
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
+def _arriving(spark, df, files, per_batch):
+    """`df` as a stream over several micro-batches: written as `files` files by Spark, read
+    `per_batch` at a time."""
+    folder = f"{sj.stream_root(spark)}/arriving"
+    df.repartition(files).write.parquet(folder)
+    return sj.file_stream(spark, folder, "*.parquet", max_files=per_batch)
+
+
+def _run_in_parts(spark, df, job, parts):
+    """Append-mode result of `job` while the rows of `df` arrive in `parts` parts, in the order of
+    `ts`; the job stops after each part and goes on from its checkpoint."""
+    root = sj.stream_root(spark)
+    at = F.unix_micros("ts")
+    cuts = df.select(at.cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
+    edges = [None, *sorted(set(cuts)), None]
+    out = None
+    for lo, hi in zip(edges, edges[1:]):
+        part = df if lo is None else df.filter(at > lo)
+        (part if hi is None else part.filter(at <= hi)).write.mode("append").parquet(f"{root}/arriving")
+        out = job(sj.file_stream(spark, f"{root}/arriving", "*.parquet"))
+        sj.run_available_now(out, f"{root}/out", f"{root}/ckpt")
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
 @query("f_stream_alerts", ORACLE["f_alerts"])
@@ -52,10 +79,12 @@ def f_stream_usage(spark, sf):
         .select("domain", "window_start", "requests", "tokens")
 
 
-@query("f_stream_sessions", ORACLE["f_sessions"])
+@query("f_stream_sessions", f"""
+SELECT * FROM ({ORACLE["f_sessions"]}) WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def f_stream_sessions(spark, sf):
-    s = _run_update(spark, sj.stream_sessions(_events_stream(spark, sf)), ["user_id", "session_start"], "complete")
-    return s.select("user_id", "session_start", "session_end", "n")
+    """The sessions that the watermark has closed, from events that arrive in several batches."""
+    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts")
+    return _run_in_parts(spark, ev, sj.stream_sessions, 4)
 
 
 @query("f_stream_running_rating", ORACLE["f_running_rating"])
@@ -83,8 +112,10 @@ def f_stream_dedup(spark, sf):
 SELECT domain, unnest(range(CAST(cnt // 10 AS BIGINT))) AS batch_no, CAST(10 AS BIGINT) AS fired_items
 FROM (SELECT domain, count(*) AS cnt FROM feedback_v WHERE NOT processed GROUP BY domain)""", "feedback_v"))
 def f_stream_batches(spark, sf):
-    pend = feedback_stream(spark, sf).filter(~F.col("processed"))
-    return _run_append(spark, sj.stream_batches(pend, 10, "domain"))
+    """Feedback arrives in several batches; queues carry over between them."""
+    pend = feedback_view(spark, sf).filter(~F.col("processed")).select("domain", "feedback_id", "ts")
+    b = _run_in_parts(spark, pend, lambda s: sj.stream_batches(s, 10, "domain"), 3)
+    return b.groupBy("domain", "batch_no").agg(F.count_distinct("feedback_id").alias("fired_items"))
 
 
 @query("f_stream_feedback_triggers", with_views("""
@@ -108,6 +139,31 @@ def f_stream_segments(spark, sf):
     return _run_append(spark, s.select("segment_id", "doc_id", "ordinal", "word_count"))
 
 
+_STREAM_INSTRUCTION = "Summarize the following text:"
+
+
+@query("f_stream_training_data", f"""
+WITH det AS (SELECT doc_id, domain FROM ({ORACLE["f_detect_domain"]})),
+paras AS (SELECT doc_id, [y for y in [{_strip_sql('x')} for x in string_split(text, chr(10))] if y <> ''] AS ps FROM documents),
+seg AS (SELECT doc_id, unnest(ps) AS body, unnest(range(len(ps))) AS ordinal FROM paras)
+SELECT 'doc' || doc_id || '_segment_' || ordinal AS segment_id, det.domain, md5({_summary_sql(f"'{_STREAM_INSTRUCTION}'")}) AS prompt_md5,
+  md5(body) AS answer_md5
+FROM seg JOIN det USING (doc_id) JOIN {_summary_domains_sql()} ON dom.domain = det.domain
+WHERE len([w for w in regexp_split_to_array(body, '{_WS}') if w <> '']) >= 50""")
+def f_stream_training_data(spark, sf):
+    """T1 end to end: documents arrive in three micro-batches; the JSONL lines are read back."""
+    docs = _arriving(spark, table(spark, sf, "documents").select("doc_id", "text", "source"), 6, per_batch=2)
+    lines = sj.stream_training_data(docs, domains_df(spark), _STREAM_INSTRUCTION, "doc_id", "text", "source",
+                                    base=F.concat(F.lit("doc"), F.col("doc_id").cast("string")), separator="\n",
+                                    min_words=50, content_terms=TEST_LEXICON, filename_patterns=FILENAME_DOMAIN_PATTERNS)
+    root = sj.stream_root(spark)
+    sj.run_available_now(lines.select("domain", "value"), f"{root}/out", f"{root}/ckpt", fmt="text", partition_by=["domain"])
+    schema = "segment_id string, domain string, messages array<struct<role:string,content:string>>"
+    back = spark.read.schema("value string, domain string").text(f"{root}/out").select(F.from_json("value", schema).alias("x"))
+    return back.select("x.segment_id", "x.domain", F.md5(F.col("x.messages")[0]["content"].cast("binary")).alias("prompt_md5"),
+                       F.md5(F.col("x.messages")[1]["content"].cast("binary")).alias("answer_md5"))
+
+
 @query("f_stream_performance_decline", ORACLE["f_performance_decline"])
 def f_stream_performance_decline(spark, sf):
     """The daily history (derived from events by Spark) arrives as files; the keyed state

@@ -157,11 +157,13 @@ def read_registry(spark: SparkSession, path: str, kinds: Sequence[str]) -> dict[
     return {k: spark.read.parquet(f"{path.rstrip('/')}/{k}") for k in kinds}
 
 
-def write_cycles(cycles: DataFrame, path: str, keep: int = 100) -> None:
-    """Learning-cycle history cut to the `keep` most recent cycles, then written."""
-    from quarry.operators.registry import last_cycles
-    last_cycles(cycles, keep).write.mode("overwrite").json(path)
+def write_cycles(cycles: DataFrame, path: str) -> None:
+    """Append learning cycles to the history, which is kept whole."""
+    cycles.write.mode("append").json(path)
 
 
-def read_cycles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path)
+def read_cycles(spark: SparkSession, path: str, schema: T.StructType | str, keep: int | None = None) -> DataFrame:
+    """The history with its schema (not inferred), or its `keep` most recent cycles."""
+    from quarry.operators.registry import last_cycles
+    cycles = spark.read.schema(schema).json(path)
+    return cycles if keep is None else last_cycles(cycles, keep)

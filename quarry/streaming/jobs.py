@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quarry.operators import documents as do
 from quarry.operators import feedback as fo
+from quarry.operators import training as tr
 from quarry.session import ensure_checkpoint_dir
 
 
@@ -39,19 +40,21 @@ def file_stream(spark: SparkSession, folder: str, pattern: str = "*", fmt: str =
     return r.load(folder)
 
 
-def text_stream(spark: SparkSession, path: str) -> DataFrame:
-    """T1/S21 source: one row per arriving file (whole text) with its path."""
-    return (spark.readStream.format("text").option("wholetext", True).load(path)
+def text_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """T1/S21 source: one row per arriving file (whole text) with its path; `max_files` in a
+    micro-batch."""
+    return (spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", max_files).load(path)
             .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path")))
 
 
-def run_available_now(df: DataFrame, out: str, checkpoint: str, mode: str = "append", fmt: str = "parquet"):
+def run_available_now(df: DataFrame, out: str, checkpoint: str, mode: str = "append", fmt: str = "parquet",
+                      partition_by: Sequence[str] = ()):
     """Run a streaming DataFrame until the currently available input is processed.
     Append mode writes with the file sink (exactly once through its commit log); update
     mode goes through `foreachBatch`, one overwrite-folder per batch id."""
     w = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        q = w.format(fmt).outputMode("append").start(out)
+        q = w.format(fmt).outputMode("append").partitionBy(*partition_by).start(out)
     else:
         def sink(batch: DataFrame, batch_id: int):
             batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
@@ -117,8 +120,9 @@ def stream_usage(requests: DataFrame, window: str = "1 hour", delay: str = "10 m
 
 
 def stream_sessions(events: DataFrame, gap: str = "4 hours", key: str = "user_id", delay: str = "1 hour") -> DataFrame:
-    """Activity sessions per key with an inactivity gap (session windows). Session
-    windows run in append mode (closed sessions) or complete mode (all sessions)."""
+    """Activity sessions per key with an inactivity gap (session windows). Run in append
+    mode: a session is written once it is closed, i.e. ends before the watermark, and leaves
+    the state."""
     g = (events.withWatermark("ts", delay).groupBy(key, F.session_window("ts", gap).alias("s"))
          .agg(F.count(F.lit(1)).alias("n")))
     return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
@@ -131,27 +135,26 @@ def dedup_stream(fb: DataFrame, key: str = "feedback_id", delay: str = "10 minut
 
 
 # ----------------------------------------------------------------------------- T4 (keyed state)
-def stream_batches(fb: DataFrame, size: int = 10, key: str = "domain") -> DataFrame:
+def stream_batches(fb: DataFrame, size: int = 10, key: str = "domain", item: str = "feedback_id") -> DataFrame:
     """T4: a queue per key; each time `size` items are waiting a batch fires (once per `size`
-    items, the evident intent). Keyed state in `applyInPandasWithState`: the state is the
-    number of queued items and of batches fired so far."""
-    out_schema = f"{key} string, batch_no long, fired_items long"
-    state_schema = "queued long, fired long"
+    items, the evident intent) with the ids of its items, oldest first within what arrived
+    together. Keyed state in `applyInPandasWithState`: the ids still queued (fewer than
+    `size`) and the number of batches fired so far."""
+    out_schema = f"{key} string, batch_no long, {item} long"
+    state_schema = "queued array<long>, fired long"
 
     def fire(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        queued, fired = state.get if state.exists else (0, 0)
+        queued, fired = state.get if state.exists else ([], 0)
+        queued, fired = list(queued), int(fired)
         for pdf in pdfs:
-            queued += len(pdf)
-        rows = []
-        while queued >= size:
-            queued -= size
-            rows.append((k[0], fired, size))
-            fired += 1
+            queued += [int(x) for x in pdf.sort_values(["ts", item])[item]]
+            full = len(queued) // size * size
+            if full:
+                yield pd.DataFrame({key: k[0], "batch_no": [fired + i // size for i in range(full)], item: queued[:full]})
+                queued, fired = queued[full:], fired + full // size
         state.update((queued, fired))
-        if rows:
-            yield pd.DataFrame(rows, columns=[key, "batch_no", "fired_items"])
 
-    return (fb.select(key).groupBy(key)
+    return (fb.select(key, item, "ts").groupBy(key)
             .applyInPandasWithState(fire, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
 
 
@@ -162,6 +165,19 @@ def stream_segments(docs: DataFrame, key: str = "doc_id", text: str = "text", ba
     return do.segments(docs, key, text, base, separator, min_words)
 
 
+def stream_training_data(docs: DataFrame, domains: DataFrame, instruction: str, key: str = "doc_id", text: str = "text",
+                         name: str = "file_path", base=None, separator: str = "\n\n", min_words: int = 50, **detect) -> DataFrame:
+    """T1 from arrival to training lines: each document gets its domain, its segments a prompt in
+    the domain's context and the segment as answer; one JSON object per example. Stateless but
+    for the static domain dimension. Columns: segment_id, domain, value (the JSONL line)."""
+    found = do.detect_domain(docs, text, name, **detect)
+    s = do.segments(found, key, text, base, separator, min_words, keep=["domain"])
+    s = s.join(domains, "domain", "left")
+    messages = tr.to_messages(None, do.summarization_prompt(F.lit(instruction)), F.col("original_text"))
+    lines = tr.jsonl_lines(s.withColumn("messages", messages), ["segment_id", "domain", "messages"])
+    return lines.select("segment_id", "domain", "value")
+
+
 # ----------------------------------------------------------------------------- T7 (keyed state)
 def stream_performance_decline(history: DataFrame, score: str = "overall_score", order: str = "day",
                                keep: int = 10, flag: float = 0.05, trigger: float = 0.1) -> DataFrame:

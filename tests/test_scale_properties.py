@@ -27,6 +27,60 @@ def test_running_sum_matches_window(spark):
         sorted(map(tuple, exp.select("g", "k", "c", "s").collect()))
 
 
+def test_ordinal_needs_no_checkpoint_and_spreads_a_hot_group(spark):
+    df = spark.range(0, 20_000).select(F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("g"), F.col("id").alias("k"))
+    got = with_ordinal(df, ["k"], ["g"], name="o", num_partitions=16)
+    assert "LogicalRDD" not in got._jdf.queryExecution().analyzed().toString()
+    assert got.groupBy("g").agg(F.max("o").alias("m"), F.count_distinct("o").alias("n")).orderBy("g").collect() == \
+        [("hot", 17_999, 18_000), ("rare", 1_999, 2_000)]
+    from quarry.plans.ordinal import _range_of
+    sizes = [r["count"] for r in df.groupBy(_range_of(df, [F.col("g"), F.col("k")], 16).alias("r")).count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 3 * 20_000 / 16
+
+
+def test_ordinal_handles_null_keys_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 3), ("a", None), ("a", 1), (None, None)], "g string, k int")
+    got = with_ordinal(df, ["k"], ["g"], name="o", num_partitions=3)
+    assert sorted(((r.g, r.k, r.o) for r in got.collect()), key=repr) == [("a", 1, 1), ("a", None, 0), (None, 3, 1), (None, None, 0)]
+    assert with_ordinal(df.limit(0), ["k"], ["g"], name="o").collect() == []
+
+
+def test_percentile_counts_ties_once(spark):
+    from quarry.operators.registry import exact_percentiles
+    df = spark.range(0, 20_000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 10 < 9, 7.0).otherwise(F.col("id") * 1.5).alias("v"))
+    got = exact_percentiles(df, ["g"], "v", {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0})
+    exp = df.groupBy("g").agg(*[F.expr(f"percentile(v, {q})").alias(n) for n, q in (("a", 0.5), ("b", 0.95), ("c", 0), ("d", 1))])
+    for g, e in zip(sorted(got.collect()), sorted(exp.collect())):
+        assert tuple(g) == pytest.approx(tuple(e))
+    one = exact_percentiles(df, [], "v", {"p": 0.97})
+    assert one.first().p == pytest.approx(df.agg(F.expr("percentile(v, 0.97)")).first()[0])
+    assert exact_percentiles(df.limit(0), ["g"], "v", {"p": 0.5}).collect() == []
+
+
+def test_two_stage_top_k_is_exact(spark, monkeypatch):
+    from quarry.plans import topk
+    monkeypatch.setattr(topk, "GROUP_LIMIT", 10)
+    df = spark.range(0, 3000).select((F.col("id") % 2).alias("g"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("v"), "id")
+    got = topk.top_k_rows(df, ["g"], [F.col("v").desc(), F.col("id")], 40)
+    w = Window.partitionBy("g").orderBy(F.col("v").desc(), "id")
+    exp = df.withColumn("rank", F.row_number().over(w)).filter("rank <= 40")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+def test_latest_and_first_rows_move_no_payload_through_aggregates(spark):
+    from quarry.operators import knowledge as ko
+    from quarry.operators import training as tr
+    k = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "id string, o long, content string")
+    latest = ko.latest_per_id(k, ["o"])
+    assert sorted(map(tuple, latest.select("id", "o", "content").collect())) == [("a", 2, "y"), ("b", 1, "z")]
+    ex = spark.createDataFrame([("d", 1, "m"), ("d", 2, "m"), ("d", 3, "n"), ("e", 4, "m")], "domain string, o int, messages string")
+    first = tr.dedup_examples(ex, ["domain"], ["o"])
+    assert sorted(map(tuple, first.select("domain", "o", "messages").collect())) == [("d", 1, "m"), ("d", 3, "n"), ("e", 4, "m")]
+    for df, column in ((latest, "content"), (first, "messages")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.split("\n") if "Aggregate" in x and column in x and "sha2" not in x]
+
+
 def test_top_terms_plan_has_partial_limit(spark):
     df = spark.createDataFrame([("d", 1, ["a", "b", "a"]), ("d", 2, ["b", "c"])], "g string, o int, t array<string>")
     t = top_terms(df, ["g"], F.col("t"), ["o"], 2, "term")

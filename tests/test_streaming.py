@@ -16,7 +16,7 @@ def rows(df):
 def test_stream_equals_batch(spark, sf):
     qs = entry.queries()
     for stream, batch in [("f_stream_usage", "f_usage_hourly"), ("f_stream_running_rating", "f_running_rating"),
-                          ("f_stream_sessions", "f_sessions"), ("f_stream_segments", "f_segments")]:
+                          ("f_stream_segments", "f_segments")]:
         s, b = qs[stream](spark, sf), qs[batch](spark, sf)
         assert rows(s.select(*sorted(s.columns))) == rows(b.select(*sorted(b.columns))), stream
 
@@ -44,3 +44,72 @@ def test_dedup_within_watermark(spark, sf):
     qs = entry.queries()
     d = qs["f_stream_dedup"](spark, sf)
     assert d.count() == d.select("feedback_id").distinct().count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def arrive(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_windows_over_batches_with_a_late_row(spark, tmp_path):
+    """Three batches: a row within the delay is counted, one behind the watermark is not."""
+    from datetime import datetime
+    schema = "domain string, ts timestamp, tokens long"
+    src, root = str(tmp_path / "src"), str(tmp_path)
+
+    def run():
+        s = sj.file_stream(spark, src, "*.parquet")
+        sj.run_available_now(sj.stream_usage(s), f"{root}/out", f"{root}/ckpt", mode="update")
+    t = lambda h, m: datetime(2024, 1, 1, h, m)
+    arrive(spark, src, [("a", t(1, 5), 1), ("a", t(1, 50), 1)], schema)
+    run()
+    arrive(spark, src, [("a", t(1, 45), 1), ("a", t(5, 0), 1)], schema)       # the first is within the delay
+    run()
+    arrive(spark, src, [("a", t(1, 55), 100), ("a", t(5, 30), 1)], schema)    # the first is behind the watermark
+    run()
+    got = rows(sj.latest_state(spark, f"{root}/out", ["domain", "window_start"]))
+    assert got == [("a", t(1, 0), 3, 3), ("a", t(5, 0), 2, 2)]
+
+
+def test_duplicates_across_batches_are_dropped(spark, tmp_path):
+    from datetime import datetime
+    src, root = str(tmp_path / "src"), str(tmp_path)
+    for minute, ids in ((0, [1, 2, 2]), (1, [2, 3]), (2, [1, 4])):
+        arrive(spark, src, [(i, datetime(2024, 1, 1, 0, minute)) for i in ids], "feedback_id long, ts timestamp")
+        sj.run_available_now(sj.dedup_stream(sj.file_stream(spark, src, "*.parquet")), f"{root}/out", f"{root}/ckpt")
+    assert sorted(r.feedback_id for r in spark.read.parquet(f"{root}/out").collect()) == [1, 2, 3, 4]
+
+
+def test_batches_carry_their_rows_over_batches(spark, tmp_path):
+    from datetime import datetime
+    src, root = str(tmp_path / "src"), str(tmp_path)
+    for n, ids in enumerate(([0, 1], [2, 3, 4], [5, 6])):
+        arrive(spark, src, [("a", i, datetime(2024, 1, 1, n, i)) for i in ids] + [("b", 100 + n, datetime(2024, 1, 1, n, 0))],
+               "domain string, feedback_id long, ts timestamp")
+        sj.run_available_now(sj.stream_batches(sj.file_stream(spark, src, "*.parquet"), 3), f"{root}/out", f"{root}/ckpt")
+    got = spark.read.schema("domain string, batch_no long, feedback_id long").parquet(f"{root}/out")
+    assert rows(got) == [("a", 0, 0), ("a", 0, 1), ("a", 0, 2), ("a", 1, 3), ("a", 1, 4), ("a", 1, 5), ("b", 0, 100), ("b", 0, 101), ("b", 0, 102)]
+
+
+def test_open_sessions_stay_in_the_state(spark, tmp_path):
+    from datetime import datetime
+    src, root = str(tmp_path / "src"), str(tmp_path)
+    for h in (0, 1, 10):
+        arrive(spark, src, [(7, datetime(2024, 1, 1, h))], "user_id long, ts timestamp")
+        sj.run_available_now(sj.stream_sessions(sj.file_stream(spark, src, "*.parquet")), f"{root}/out", f"{root}/ckpt")
+    got = spark.read.schema("user_id long, session_start timestamp, session_end timestamp, n long").parquet(f"{root}/out")
+    assert rows(got) == [(7, datetime(2024, 1, 1, 0), datetime(2024, 1, 1, 5), 2)]
+
+
+def test_training_lines_from_arriving_text_files(spark, tmp_path):
+    import json
+    from quarry.functions.domains import domains_df
+    src = tmp_path / "texts"
+    src.mkdir()
+    for n in range(3):
+        (src / f"note_{n}.txt").write_text(("word " * 60 + "\n\nshort\n\n" + f"end{n} " * 50).strip())
+    docs = sj.text_stream(spark, str(src), max_files=1)
+    lines = sj.stream_training_data(docs, domains_df(spark), "Summarize:", key="file_path", min_words=50)
+    sj.run_available_now(lines.select("domain", "value"), f"{tmp_path}/out", f"{tmp_path}/ckpt", fmt="text", partition_by=["domain"])
+    got = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out").collect()]
+    assert len(got) == 6 and all(g["messages"][0]["role"] == "user" and "Summarize:" in g["messages"][0]["content"] for g in got)
+    assert sorted(g["segment_id"].rsplit("_", 1)[1] for g in got) == ["0"] * 3 + ["2"] * 3
