@@ -13,6 +13,9 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import whole_days_between
+from quarry.operators.feedback import pending
+
 PROMOTION_THRESHOLDS = {
     # FIXED VALUES: default promotion thresholds.
     "min_feedback_score": 4.0, "max_error_rate": 0.05, "max_latency_p95": 2000.0,
@@ -159,6 +162,19 @@ def domain_progress(jobs: DataFrame, domain: str, recent: int = 10) -> DataFrame
     return counts, top
 
 
+def needs_retraining(cfg: DataFrame, fb: DataFrame, as_of, min_pending: int = 20) -> DataFrame:
+    """P-17 over all domains: average rating below the threshold, or whole days since the last
+    training ≥ interval, or ≥ `min_pending` unprocessed rows."""
+    avg = fb.filter(F.col("rating").isNotNull()).groupBy("domain").agg(F.avg("rating").alias("average_rating"))
+    pend = pending(fb).groupBy("domain").agg(F.count(F.lit(1)).alias("pending_count"))
+    j = cfg.join(avg, "domain", "left").join(pend, "domain", "left").fillna(0, ["pending_count"]) \
+        .withColumn("average_rating", F.coalesce("average_rating", F.lit(0.0)))
+    days = whole_days_between(F.col("last_training_date"), F.lit(as_of))
+    return j.withColumn("days_since_training", days).withColumn(
+        "needs_retraining", (F.col("average_rating") < F.col("performance_threshold")) |
+        F.coalesce(days >= F.col("retraining_interval_days"), F.lit(False)) | (F.col("pending_count") >= min_pending))
+
+
 # ----------------------------------------------------------------------------- W1, W8, W9, W10, W11
 def with_version(models: DataFrame) -> DataFrame:
     """`v{n}.0.0`, n = registration order within the domain (created_at, model_id); also
@@ -252,6 +268,16 @@ def compare_models(models: DataFrame, pairs: DataFrame) -> DataFrame:
     return q.join(per, ["model_1", "model_2"], "left").withColumn("recommendation", recommend())
 
 
+def domain_listing(domains: DataFrame, models: DataFrame, active: DataFrame, adapters: DataFrame) -> DataFrame:
+    """P-13: every domain with its active model, the status and version of that, and how many
+    models and adapters it has (adapters: domain, adapter_id)."""
+    n = models.groupBy("domain").agg(F.count(F.lit(1)).alias("models"))
+    a = adapters.groupBy("domain").agg(F.count_distinct("adapter_id").alias("adapters"))
+    now = active_models(models, active).select("domain", F.col("model_id").alias("active_model"), "status", "version")
+    return (domains.select("domain", "domain_name").join(now, "domain", "left").join(n, "domain", "left").join(a, "domain", "left")
+            .fillna(0, ["models", "adapters"]).withColumn("is_active", F.col("active_model").isNotNull()))
+
+
 def active_models(models: DataFrame, active: DataFrame) -> DataFrame:
     """The active model row of each domain (active: domain, model_id)."""
     return active.join(models.drop("domain"), "model_id")
@@ -261,14 +287,55 @@ def rollback(deployments: DataFrame, models: DataFrame, targets: DataFrame) -> D
     """J11 (parity form): roll back the deployments in `targets` (deployment_id): the rolled
     deployment's model becomes `rollback` and the domain's deprecated model with the latest
     deployed_at is restored (`deployed`). Returns the models with `restored` / `rolled_back`
-    flags. The lag-based form (restore the model the deployment replaced) is
-    `promotion_history` + a join on `replaced_model`."""
+    flags. `rollback_to_replaced` restores the model that the deployment replaced instead."""
     dep = deployments.join(targets.select("deployment_id"), "deployment_id").select(
         F.col("model_id").alias("_rolled"), "domain")
     prev = (models.filter(F.col("status") == "deprecated")
             .groupBy("domain").agg(F.max_by("model_id", F.struct(
                 F.coalesce(F.col("deployed_at").cast("string"), F.lit("")), "model_id")).alias("_restore")))
-    r = dep.join(prev, "domain")
+    return _rolled_back(models, dep.join(prev, "domain"))
+
+
+def rollback_to_replaced(deployments: DataFrame, models: DataFrame, targets: DataFrame) -> DataFrame:
+    """J11 (evident intent): roll back the deployments in `targets` (deployment_id); the model that
+    was active in the domain before the deployment (the last other model promoted before it) is
+    restored. Deployments that were never promoted, or replaced nothing, roll back nothing."""
+    h = promotion_history(deployments).join(targets.select("deployment_id"), "deployment_id")
+    r = h.filter(F.col("replaced_model").isNotNull() & (F.col("replaced_model") != F.col("model_id")))
+    return _rolled_back(models, r.select(F.col("model_id").alias("_rolled"), F.col("replaced_model").alias("_restore")))
+
+
+def promote(models: DataFrame, active: DataFrame, candidates: DataFrame, force: bool = False,
+            thresholds: Mapping[str, float] = PROMOTION_THRESHOLDS) -> tuple[DataFrame, DataFrame]:
+    """Promote the models in `candidates` (model_id; of several in a domain, the newest) that pass
+    P-8, or all of them with `force`. The active model of the domain is deprecated, the promoted
+    one is deployed and active. Returns the models with `promoted` and the new active models
+    (domain, model_id)."""
+    passes = F.lit(True) if force else meets_promotion(thresholds)
+    chosen = (models.join(candidates.select("model_id").distinct(), "model_id").filter(passes)
+              .groupBy("domain").agg(F.max_by("model_id", F.struct("created_at", "model_id")).alias("_new")))
+    change = chosen.join(active.select("domain", F.col("model_id").alias("_old")), "domain", "left")
+    j = models.join(change, "domain", "left")
+    new, old = F.coalesce(F.col("model_id") == F.col("_new"), F.lit(False)), F.coalesce(F.col("model_id") == F.col("_old"), F.lit(False))
+    after = (j.withColumn("promoted", new)
+             .withColumn("status", F.when(new, "deployed").when(old, "deprecated").otherwise(F.col("status"))).drop("_new", "_old"))
+    now = active.select("domain", "model_id").join(chosen, "domain", "full_outer").select(
+        "domain", F.coalesce("_new", "model_id").alias("model_id"))
+    return after, now
+
+
+def deployment_effect(deployments: DataFrame, metrics: DataFrame) -> DataFrame:
+    """For every promotion, the quality of the model it replaced (before) and of the model it
+    promoted (after); `metrics` has (model_id, value)."""
+    value = metrics.groupBy("model_id").agg(F.max("value").alias("value"))
+    before = value.select(F.col("model_id").alias("replaced_model"), F.col("value").alias("performance_before"))
+    after = value.select("model_id", F.col("value").alias("performance_after"))
+    h = promotion_history(deployments).join(before, "replaced_model", "left").join(after, "model_id", "left")
+    return h.withColumn("performance_change", F.col("performance_after") - F.col("performance_before"))
+
+
+def _rolled_back(models: DataFrame, r: DataFrame) -> DataFrame:
+    """`models` after the rollbacks `r` (_rolled, _restore)."""
     rolled = r.select(F.col("_rolled").alias("model_id"), F.lit(True).alias("rolled_back")).distinct()
     restore = r.select(F.col("_restore").alias("model_id"), F.lit(True).alias("restored")).distinct()
     j = models.join(rolled, "model_id", "left").join(restore, "model_id", "left")

@@ -5,7 +5,7 @@ partitioned by a low-cardinality key (four domains) puts a quarter of the data i
 task. `with_ordinal` gives the same 0-based position from ranges of the key:
 
 1. cut values of (group keys, order keys) are read from a bounded sample of the keys
-   (`SAMPLE` for each range, those of the smallest hash) and become literals of the plan, so
+   (`SAMPLE` for each range, by hash) and become literals of the plan, so
    every pass puts a row into the same range, on any executor and in any attempt;
 2. rows get their position inside (group, range) from a window on these, which spreads a
    group over its ranges;
@@ -37,7 +37,10 @@ def _range_of(df: DataFrame, keys: list[Column], n: int) -> Column:
     names = [f"_k{i}" for i in range(len(keys))]
     narrow = df.select(*[k.alias(c) for k, c in zip(keys, names)])
     kinds = narrow.schema
-    picked = narrow.orderBy(F.xxhash64(*names), *names).limit(SAMPLE * n).orderBy(*names).collect()
+    # the smallest hash of each residue class: partial minima in tasks, SAMPLE * n rows for the driver
+    h = F.xxhash64(*names)
+    least = F.min(F.struct(h.alias("h"), F.struct(*names).alias("k"))).alias("least")
+    picked = narrow.groupBy(F.pmod(h, F.lit(SAMPLE * n))).agg(least).select("least.k.*").orderBy(*names).collect()
     cuts = list(dict.fromkeys(tuple(r) for r in picked[SAMPLE - 1:-1:SAMPLE]))
     key = F.struct(*[k.alias(c) for k, c in zip(keys, names)])
 

@@ -3,14 +3,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.domains import domains_df
+from quarry.functions.domains import domains_df, domains_values_sql
 from quarry.functions.lexicons import AS_OF
 from quarry.operators import feedback as fo
 from quarry.operators import registry as ro
 from quarry.operators import training as tr
 from quarry.plans.catalog import query
 from quarry.plans.feedback_queries import AS_OF_SQL
-from quarry.sources.views import (VIEW_DEPS, VIEW_SQL, _domain_of, feedback_view, requests_view, table,
+from quarry.sources.views import (VIEW_DEPS, VIEW_SQL, _domain_of, feedback_view, mentor_view, requests_view, table,
                                   with_views)
 
 TEST_THRESHOLDS = {"min_feedback_score": 2.93, "max_error_rate": 0.205, "max_latency_p95": 1500.0,
@@ -328,6 +328,74 @@ def f_rollback(spark, sf):
     return r.select("model_id", "restored", "rolled_back", "status")
 
 
+@query("f_rollback_to_replaced", with_views("""
+WITH h AS (SELECT *, lag(model_id) OVER (PARTITION BY domain ORDER BY deployed_at, deployment_id) AS replaced
+           FROM deployments_v WHERE status = 'deployed'),
+t AS (SELECT * FROM h WHERE deployment_id IN (SELECT max(deployment_id) FROM deployments_v WHERE status = 'deployed' GROUP BY domain)
+      AND replaced IS NOT NULL AND replaced <> model_id)
+SELECT m.model_id, m.model_id IN (SELECT replaced FROM t) AS restored, m.model_id IN (SELECT model_id FROM t) AS rolled_back,
+  CASE WHEN m.model_id IN (SELECT replaced FROM t) THEN 'deployed' WHEN m.model_id IN (SELECT model_id FROM t) THEN 'rollback'
+       ELSE m.status END AS status
+FROM models_v m""", "models_v", "deployments_v"))
+def f_rollback_to_replaced(spark, sf):
+    d = deployments_view(spark, sf)
+    targets = d.filter(F.col("status") == "deployed").groupBy("domain").agg(F.max("deployment_id").alias("deployment_id"))
+    r = ro.rollback_to_replaced(d, models_view(spark, sf), targets)
+    return r.select("model_id", "restored", "rolled_back", "status")
+
+
+@query("f_promote", with_views(f"""
+WITH chosen AS (SELECT domain, model_id FROM models_v WHERE version_no = 3 AND {_PROMO_SQL}),
+old AS (SELECT m.domain, m.model_id FROM models_v m JOIN chosen USING (domain) WHERE m.status = 'deployed')
+SELECT m.domain, m.model_id, m.model_id IN (SELECT model_id FROM chosen) AS promoted,
+  CASE WHEN m.model_id IN (SELECT model_id FROM chosen) THEN 'deployed' WHEN m.model_id IN (SELECT model_id FROM old) THEN 'deprecated'
+       ELSE m.status END AS status,
+  CASE WHEN m.domain IN (SELECT domain FROM chosen) THEN m.model_id IN (SELECT model_id FROM chosen) ELSE m.status = 'deployed' END AS active
+FROM models_v m""", "models_v"))
+def f_promote(spark, sf):
+    """The third model of each domain is proposed; those that pass P-8 take over."""
+    m = models_view(spark, sf)
+    active = m.filter(F.col("status") == "deployed").select("domain", "model_id")
+    after, now = ro.promote(m, active, m.filter(F.col("version_no") == 3), thresholds=TEST_THRESHOLDS)
+    now = now.select("model_id", F.lit(True).alias("active"))
+    return after.join(now, "model_id", "left").select("domain", "model_id", "promoted", "status",
+                                                      F.coalesce("active", F.lit(False)).alias("active"))
+
+
+@query("f_deployment_effect", with_views("""
+SELECT h.deployment_id, h.model_id, h.replaced AS replaced_model, round(b.feedback_score, 6) AS performance_before,
+  round(a.feedback_score, 6) AS performance_after, round(a.feedback_score - b.feedback_score, 6) AS performance_change
+FROM (SELECT *, lag(model_id) OVER (PARTITION BY domain ORDER BY deployed_at, deployment_id) AS replaced
+      FROM deployments_v WHERE status = 'deployed') h
+LEFT JOIN models_v a ON a.model_id = h.model_id LEFT JOIN models_v b ON b.model_id = h.replaced""", "models_v", "deployments_v"))
+def f_deployment_effect(spark, sf):
+    v = models_view(spark, sf).select("model_id", F.col("feedback_score").alias("value"))
+    e = ro.deployment_effect(deployments_view(spark, sf), v)
+    return e.select("deployment_id", "model_id", "replaced_model", *[F.round(c, 6).alias(c) for c in
+                    ("performance_before", "performance_after", "performance_change")])
+
+
+@query("f_active_at", with_views("""
+SELECT domain, arg_max(model_id, CAST(deployed_at AS VARCHAR) || lpad(CAST(deployment_id AS VARCHAR), 20, '0')) AS model_id
+FROM deployments_v WHERE status = 'deployed' AND deployed_at <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY domain""", "deployments_v"))
+def f_active_at(spark, sf):
+    return ro.active_at(deployments_view(spark, sf), "2024-01-15 12:00:00")
+
+
+@query("f_domain_listing", with_views(f"""
+SELECT dom.domain, dom.domain_name, a.model_id AS active_model, a.status, a.version, coalesce(n.models, 0) AS models,
+  coalesce(x.adapters, 0) AS adapters, a.model_id IS NOT NULL AS is_active
+FROM {domains_values_sql(("domain", "domain_name"))}
+LEFT JOIN (SELECT * FROM models_v WHERE status = 'deployed') a ON a.domain = dom.domain
+LEFT JOIN (SELECT domain, count(*) AS models FROM models_v GROUP BY domain) n ON n.domain = dom.domain
+LEFT JOIN (SELECT domain, count(DISTINCT adapter_id) AS adapters FROM mentor_v GROUP BY domain) x ON x.domain = dom.domain""",
+                                      "models_v", "mentor_v"))
+def f_domain_listing(spark, sf):
+    m = models_view(spark, sf)
+    active = m.filter(F.col("status") == "deployed").select("domain", "model_id")
+    return ro.domain_listing(domains_df(spark), m, active, mentor_view(spark, sf).select("domain", "adapter_id"))
+
+
 _MODEL_LOG_SQL = """
 SELECT CASE user_id % 4 WHEN 0 THEN 'technical' WHEN 1 THEN 'medical' WHEN 2 THEN 'legal' ELSE 'financial' END
     || '_m' || CAST(user_id % 3 AS VARCHAR) AS model_id, ts, event_id AS seq,
@@ -368,14 +436,13 @@ def f_model_state(spark, sf):
 WITH old AS (SELECT model_id, status, created_at AS last_updated FROM models_v),
 new AS (SELECT CASE user_id % 4 WHEN 0 THEN 'technical' WHEN 1 THEN 'medical' WHEN 2 THEN 'legal' ELSE 'financial' END
           || '_m' || CAST(user_id % 3 AS VARCHAR) AS model_id, 'failed' AS status, max(ts) AS last_updated
-        FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-02 00:00:00' GROUP BY 1),
+        FROM events WHERE event_type = 'error' GROUP BY 1),
 u AS (SELECT *, 0 AS src FROM old UNION ALL SELECT *, 1 FROM new)
 SELECT model_id, arg_max(status, last_updated::VARCHAR || src) AS status, max(last_updated) AS last_updated
 FROM u GROUP BY model_id""", "models_v"))
 def f_registry_merge(spark, sf):
     old = models_view(spark, sf).select("model_id", "status", F.col("created_at").alias("last_updated"))
-    e = table(spark, sf, "events").filter((F.col("event_type") == "error") &
-                                          (F.col("ts") < F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")))
+    e = table(spark, sf, "events").filter(F.col("event_type") == "error")
     new = e.groupBy(F.concat(_domain_of(F.col("user_id")), F.lit("_m"), (F.col("user_id") % 3).cast("string"))
                     .alias("model_id")).agg(F.max(F.col("ts").cast("timestamp")).alias("last_updated")) \
         .withColumn("status", F.lit("failed"))
@@ -507,32 +574,17 @@ def f_last_cycles(spark, sf):
 # ----------------------------------------------------------------------------- P-17, J19, J9
 def _configs(spark, sf):
     """Domain configurations: threshold, interval, last training (latest succeeded job)."""
-    j = jobs_view(spark, sf).filter(F.col("status") == "succeeded").filter(
-        F.col("created_at") < F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    j = jobs_view(spark, sf).filter(F.col("status") == "succeeded")
     last = j.groupBy("domain").agg(F.max("created_at").alias("last_training_date"))
     return (domains_df(spark).select("domain").join(last, "domain", "left")
-            .withColumn("performance_threshold", F.lit(2.97)).withColumn("retraining_interval_days", F.lit(11)))
+            .withColumn("performance_threshold", F.lit(2.97)).withColumn("retraining_interval_days", F.lit(1)))
 
 
 _CFG_SQL = """
-SELECT d.domain, l.last_training_date, 2.97 AS performance_threshold, 11 AS retraining_interval_days
+SELECT d.domain, l.last_training_date, 2.97 AS performance_threshold, 1 AS retraining_interval_days
 FROM (VALUES ('technical'), ('medical'), ('legal'), ('financial')) d(domain)
 LEFT JOIN (SELECT domain, max(created_at) AS last_training_date FROM jobs_v
-           WHERE status = 'succeeded' AND created_at < TIMESTAMP '2024-01-20 00:00:00' GROUP BY domain) l USING (domain)"""
-
-
-def needs_retraining(cfg, fb, as_of, min_pending=20):
-    """P-17 over all domains: average rating below the threshold, or whole days since the last
-    training ≥ interval, or ≥ `min_pending` unprocessed rows."""
-    from quarry.functions.text import whole_days_between
-    avg = fb.filter(F.col("rating").isNotNull()).groupBy("domain").agg(F.avg("rating").alias("average_rating"))
-    pend = fo.pending(fb).groupBy("domain").agg(F.count(F.lit(1)).alias("pending_count"))
-    j = cfg.join(avg, "domain", "left").join(pend, "domain", "left").fillna(0, ["pending_count"]) \
-        .withColumn("average_rating", F.coalesce("average_rating", F.lit(0.0)))
-    days = whole_days_between(F.col("last_training_date"), F.lit(as_of))
-    return j.withColumn("days_since_training", days).withColumn(
-        "needs_retraining", (F.col("average_rating") < F.col("performance_threshold")) |
-        F.coalesce(days >= F.col("retraining_interval_days"), F.lit(False)) | (F.col("pending_count") >= min_pending))
+           WHERE status = 'succeeded' GROUP BY domain) l USING (domain)"""
 
 
 _NEEDS_SQL = f"""
@@ -551,7 +603,7 @@ FROM c LEFT JOIN a USING (domain) LEFT JOIN p USING (domain)"""
 SELECT domain, round(average_rating, 6) AS average_rating, pending_count, days_since_training, needs_retraining
 FROM ({_NEEDS_SQL})""", "feedback_v", "jobs_v"))
 def f_needs_retraining(spark, sf):
-    n = needs_retraining(_configs(spark, sf), feedback_view(spark, sf), AS_OF, 20)
+    n = ro.needs_retraining(_configs(spark, sf), feedback_view(spark, sf), AS_OF, 20)
     return n.select("domain", _r("average_rating").alias("average_rating"), "pending_count", "days_since_training",
                     "needs_retraining")
 
@@ -564,7 +616,7 @@ SELECT n.domain, n.pending_count,
 FROM n WHERE n.needs_retraining""", "feedback_v", "jobs_v"))
 def f_retraining_plan(spark, sf):
     fb = feedback_view(spark, sf)
-    n = needs_retraining(_configs(spark, sf), fb, AS_OF, 20).filter("needs_retraining")
+    n = ro.needs_retraining(_configs(spark, sf), fb, AS_OF, 20).filter("needs_retraining")
     cfg = domains_df(spark).select("domain", F.col("description").alias("context_paragraph"))
     ex = fo.examples_from_feedback(fb.join(n.select("domain"), "domain", "left_semi"), cfg)
     cnt = ex.groupBy("domain").agg(F.count(F.lit(1)).alias("training_examples"))
@@ -580,7 +632,7 @@ SELECT n.domain, act.model_id, n.pending_count, round(b.recent_avg_rating, 6) AS
 FROM n LEFT JOIN act USING (domain) LEFT JOIN b USING (domain)""", "feedback_v", "jobs_v", "models_v"))
 def f_domain_status(spark, sf):
     fb = feedback_view(spark, sf)
-    n = needs_retraining(_configs(spark, sf), fb, AS_OF, 20)
+    n = ro.needs_retraining(_configs(spark, sf), fb, AS_OF, 20)
     act = models_view(spark, sf).filter(F.col("status") == "deployed").select("domain", "model_id")
     b = fo.batch_feedback(fb).select("domain", "recent_avg_rating")
     return (n.join(act, "domain", "left").join(b, "domain", "left")
