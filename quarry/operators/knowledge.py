@@ -74,9 +74,9 @@ def apply_updates(knowledge: DataFrame, updates: DataFrame, as_of) -> DataFrame:
     out = j
     for c in ucols:
         if c == "metadata":
-            out = out.withColumn("metadata", F.when(F.col("_u_metadata").isNotNull(),
-                                                    F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")),
-                                                                 F.col("_u_metadata")))
+            kept = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")),
+                                lambda k, _: ~F.map_contains_key(F.col("_u_metadata"), k))
+            out = out.withColumn("metadata", F.when(F.col("_u_metadata").isNotNull(), F.map_concat(kept, F.col("_u_metadata")))
                                  .otherwise(F.col("metadata")))
         else:
             out = out.withColumn(c, F.coalesce(F.col(f"_u_{c}"), F.col(c)))

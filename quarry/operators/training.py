@@ -182,12 +182,6 @@ def write_jsonl(df: DataFrame, path: str, fields: Sequence[str] = ("messages",),
     lines.write.mode(mode).partitionBy(*partition_by).text(path)
 
 
-def read_jsonl(spark, path: str, schema: str = "prompt string, response string, _corrupt_record string"):
-    """JSONL with a fixed schema; malformed lines kept in `_corrupt_record`."""
-    return (spark.read.schema(schema).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-
-
 # ----------------------------------------------------------------------------- P-14, P-15
 def valid_pairs(qa: DataFrame, q: str = "question", a: str = "answer") -> DataFrame:
     """P-14: rows whose question and answer are both present and non-empty."""

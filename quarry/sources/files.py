@@ -74,7 +74,7 @@ def read_knowledge_documents(spark: SparkSession, path: str) -> DataFrame:
 # ----------------------------------------------------------------------------- S3, S21
 def read_text_documents(spark: SparkSession, glob: str) -> DataFrame:
     """S3: every file is one document (whole text) with its path."""
-    return (spark.read.option("wholetext", True).text(glob)
+    return (spark.read.text(glob, wholetext=True)
             .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")))
 
 
@@ -94,7 +94,7 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
 def read_feedback_document(spark: SparkSession, path: str) -> DataFrame:
     """S6 (document form): a JSON object domain → list of entries, exploded twice."""
     schema = T.MapType(T.StringType(), T.ArrayType(FEEDBACK_ENTRY))
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = raw.select(F.explode(F.from_json("value", schema)).alias("domain_key", "entries"))
     x = m.select(F.explode("entries").alias("e")).select("e.*")
     return x.withColumn("type_valid", F.col("feedback_type").isin(*FEEDBACK_TYPES))

@@ -63,3 +63,74 @@ def test_sessions_roundtrip(spark):
     fs.write_sessions(df, f"{d}/s")
     back = fs.read_sessions(spark, f"{d}/s")
     assert sorted(r.feedback_id for r in back.collect()) == ["f0", "f1", "f2"]   # active sessions only
+
+
+def test_text_documents_keep_whole_files_and_paths(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("line one\n\nline two\n", encoding="utf-8")
+    (tmp_path / "b.txt").write_text("", encoding="utf-8")
+    (tmp_path / "c.md").write_text("not read", encoding="utf-8")
+    got = {r.file_path.rsplit("/", 1)[1]: r.text for r in fs.read_text_documents(spark, f"{tmp_path}/*.txt").collect()}
+    assert got["a.txt"] == "line one\n\nline two\n" and "c.md" not in got
+
+
+def feedback_rows(spark):
+    from datetime import datetime
+    t = datetime(2024, 1, 1)
+    names = [f.name for f in fs.FEEDBACK_ENTRY.fields]
+    rows = []
+    for i, (domain, kind) in enumerate([("legal", "rating"), ("legal", "odd"), ("medical", "praise")]):
+        r = dict.fromkeys(names) | {"domain": domain, "feedback_type": kind, "timestamp": t, "rating": float(i), "processed": False}
+        rows.append(tuple(r[n] for n in names))
+    return spark.createDataFrame(rows, fs.FEEDBACK_ENTRY)
+
+
+def test_feedback_roundtrip_flags_unknown_types_and_rewrites_one_domain(spark, tmp_path):
+    fb = feedback_rows(spark)
+    fs.write_feedback(fb, f"{tmp_path}/fb")
+    back = fs.read_feedback(spark, f"{tmp_path}/fb")
+    assert sorted((r.domain, r.feedback_type, r.rating, r.type_valid) for r in back.collect()) == [
+        ("legal", "odd", 1.0, False), ("legal", "rating", 0.0, True), ("medical", "praise", 2.0, True)]
+    fs.write_feedback(fb.filter("feedback_type = 'rating'"), f"{tmp_path}/fb")
+    assert sorted(r.feedback_type for r in fs.read_feedback(spark, f"{tmp_path}/fb").collect()) == ["praise", "rating"]
+
+
+def test_feedback_document_form(spark, tmp_path):
+    (tmp_path / "fb.json").write_text('{"legal": [{"feedback_type": "praise", "rating": 5.0}], "medical": [{"feedback_type": "x"}, {"feedback_type": "rating"}]}')
+    got = fs.read_feedback_document(spark, f"{tmp_path}/fb.json").collect()
+    assert sorted((r.feedback_type, r.type_valid) for r in got) == [("praise", True), ("rating", True), ("x", False)]
+
+
+def test_document_summaries_read_back_in_order(spark, tmp_path):
+    rows = [("s1", i, f"s1_{i}", f"text {i}", f"sum {i}", i) for i in (2, 0, 1)] + [("s2", 0, "s2_0", "t", "s", 1)]
+    df = spark.createDataFrame(rows, "source_file string, ordinal int, segment_id string, original_text string, summary string, word_count int")
+    fs.write_doc_summary(df, f"{tmp_path}/sum")
+    back = spark.read.schema("ordinal int, segment_id string, summary string, source_file string").json(f"{tmp_path}/sum")
+    assert [r.segment_id for r in back.filter("source_file = 's1'").orderBy("ordinal").collect()] == ["s1_0", "s1_1", "s1_2"]
+
+
+def test_registry_and_cycles_roundtrip(spark, tmp_path):
+    models = spark.createDataFrame([("m1", "deployed"), ("m2", "failed")], "model_id string, status string")
+    fs.write_registry({"models": models, "adapters": models.limit(1)}, f"{tmp_path}/reg")
+    back = fs.read_registry(spark, f"{tmp_path}/reg", ["models", "adapters"])
+    assert back["models"].count() == 2 and back["adapters"].count() == 1
+    from datetime import datetime
+    schema = "cycle_id string, created_at timestamp"
+    for n in range(3):
+        fs.write_cycles(spark.createDataFrame([(f"c{n}", datetime(2024, 1, n + 1))], schema), f"{tmp_path}/cyc")
+    assert sorted(r.cycle_id for r in fs.read_cycles(spark, f"{tmp_path}/cyc", schema).collect()) == ["c0", "c1", "c2"]
+    assert [r.cycle_id for r in fs.read_cycles(spark, f"{tmp_path}/cyc", schema, keep=2).collect()] == ["c2", "c1"]
+
+
+def test_knowledge_updates_merge_and_upsert(spark):
+    from datetime import datetime
+    from quarry.operators import knowledge as ko
+    t = datetime(2024, 1, 1)
+    cols = "id string, content string, metadata map<string,string>, version long, updated_at timestamp, o long"
+    k = spark.createDataFrame([("a", "x", {"p": "1", "q": "2"}, 1, t, 1), ("b", "y", None, 1, t, 1)], cols)
+    u = spark.createDataFrame([("a", None, {"q": "3"}), ("b", "new", None), ("z", "lost", None)], "id string, content string, metadata map<string,string>")
+    got = {r.id: r for r in ko.apply_updates(k, u, "2024-02-01 00:00:00").collect()}
+    assert set(got) == {"a", "b"} and got["a"].content == "x" and got["b"].content == "new"
+    assert got["a"].metadata == {"p": "1", "q": "3"} and got["a"].version == 2 and got["b"].updated_at == datetime(2024, 2, 1)
+    more = spark.createDataFrame([("a", "later", None, 5, t, 2), ("c", "c", None, 1, t, 1)], cols)
+    up = {r.id: r.content for r in ko.upsert(k, more, ["o"]).collect()}
+    assert up == {"a": "later", "b": "y", "c": "c"}
