@@ -281,4 +281,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     bad = (verdicts(docs, items, id_col, text_col, item_col, item_text, window, share).filter("contaminated")
            .select(F.col(id_col).alias("_id"), F.col("key").alias("_key")).distinct())
     key = F.xxhash64(docs[text_col])
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["_id"]) & (key == bad["_key"]), "left_anti")

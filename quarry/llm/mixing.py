@@ -15,7 +15,8 @@ splits.
 Defined results: rows with a null source form a source of their own; null ids hash as the empty
 string; rows of the same id get the same number of copies; sources missing from the targets have
 weight 0 and go; empty tables give no rows; all columns pass through, also ones named like the
-operator's own (its names begin with `_mix_`); copies are numbered from 1 in `copy_col`.
+operator's own (its names begin with `_mix_`); copies are numbered from 1 in `copy_col`, which replaces a column
+of that name.
 """
 from __future__ import annotations
 
