@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.session import ensure_checkpoint_dir
 
 BUCKET_CHARS = 64 << 20       # characters of text whose hashes share a bucket, at most about
+COMPACT_ROWS = 100_000        # a narrow table up to here is joined in one task
 BROADCAST_ROWS = 200_000      # a table of ids or of one row per source goes to all executors up to here
 
 
@@ -59,6 +60,15 @@ def unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(k, -1).T).reshape(-1).view(dtype)
 
 
+def sample_hashes(df: DataFrame, h: str, rows: int) -> list[int]:
+    """At most `rows` values of the hash column `h`, the smallest of each residue class: a uniform
+    sample that doesn't depend on partitions. Tasks send partial minima to many tasks, and the
+    driver gets `rows` numbers, however large the input (a top-k would send k rows from every task
+    to one place)."""
+    least = df.groupBy(F.pmod(F.col(h), F.lit(rows))).agg(F.min(h).alias("h"))
+    return [r["h"] for r in least.filter("h is not null").collect()]
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it again: cuts the lineage, and a
     lost executor costs no recomputation."""
@@ -68,6 +78,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(written: DataFrame, rows: int = COMPACT_ROWS) -> DataFrame:
+    """A written narrow table, read by one task if it has at most `rows` rows: joins and sums of a
+    few rows then need no exchange. Larger ones are read as they are."""
+    return written.coalesce(1) if written.count() <= rows else written
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written copy of `df` (a narrow table), marked for broadcast only if it has at most
     `rows` rows; beyond that, Spark plans the join from its statistics."""

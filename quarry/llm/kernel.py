@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20          # bytes hashed at a time
-BLOCK_BYTES = 8 << 20   # bytes of text that a task treats as one block
+SLICE = 1 << 20          # bytes hashed at a time
+BLOCK_BYTES = 4 << 20   # bytes of text that a task treats as one block
 BLOCK_ROWS = 2048        # rows of a block at most
 
 _U = np.uint64
@@ -201,6 +201,12 @@ def covered(at: np.ndarray, length: int | np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting, which beats numpy's hashing here)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values."""
     if not len(sorted_keys):
