@@ -5,7 +5,7 @@ elements above it. A numpy bidirectional LSTM reads, for the sequence of all blo
 vector of hashed path elements (tags, classes, ids), a vector of hashed words and a few
 numbers (length, links, place), and labels every block as main text or not, with the whole page as context.
 
-It is trained on at most ``SAMPLE`` pages (smallest hash of the html, among those up to
+It is trained on at most ``SAMPLE`` pages (by a hash of the html, among those up to
 ``SAMPLE_CHARS`` long), with weak labels from page conventions: navigation, headers, footers, asides,
 forms, adverts, notices and comments by element, class or id aren't main text; what stands in an
 article, or outside all of these, is. At most ``SAMPLE_BLOCKS`` blocks of a page are trained on; labelling reads them all.
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import exchange as X
 from quarry.llm import kernel as K
 from quarry.llm.recurrent import BiLSTM, padded
 
@@ -178,11 +179,12 @@ def vectors(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
 
 def train(pages: DataFrame, html_col: str = "html"):
     """A broadcast labeller from a bounded sample of the pages."""
-    h = F.xxhash64(html_col)
-    rows = (pages.filter(F.length(html_col).between(1, SAMPLE_CHARS)).select(h.alias("h"), F.col(html_col).alias("html"))
-            .orderBy("h", "html").limit(SAMPLE).toArrow())
+    rows = (pages.filter(F.length(html_col).between(1, SAMPLE_CHARS))
+            .select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html")))
+    some = X.sample_hashes(rows, "h", SAMPLE)
+    picked = rows.filter(F.col("h").isin(some)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").toArrow()
     sequences = []
-    for page in rows.column("html").to_pylist():
+    for page in picked.column("html").to_pylist():
         blocks = leaf_blocks(page)[:SAMPLE_BLOCKS]
         if blocks:
             sequences.append((vectors(blocks), np.array([weak_label(b[1]) for b in blocks], float)))

@@ -6,7 +6,7 @@ the generators propose looser spans: masked e-mail addresses, national phone num
 long digit groups, assigned or random-looking keys. Each candidate has numbers for its format
 (length, digits, letters, entropy, separators, checksum) and its context (words before it, the
 characters around it). The trees learn from weak labels: what a strict pattern of the kind
-confirms, on one part of a bounded sample of ``SAMPLE`` candidates (smallest hash of the text and
+confirms, on one part of a bounded sample of ``SAMPLE`` candidates (by a hash of the text and
 place, over all texts). On the other part each kind gets the lowest threshold that reaches
 ``PRECISION``; a kind without one adds nothing.
 
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import exchange as X
 from quarry.llm import kernel as K
 from quarry.llm.boosting import Trees
 
@@ -188,10 +189,11 @@ class Judge:
 
 def train(docs: DataFrame, text_col: str = "text"):
     """A broadcast Judge from a bounded sample of the candidates of `docs`."""
-    rows = (docs.select(text_col).mapInArrow(_sampled(text_col), "h long, kind string, y int, x array<double>")
-            .dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).toArrow())
+    found = X.table(docs.select(text_col).mapInArrow(_sampled(text_col), "h long, kind string, y int, x array<double>"), "candidates")
+    some = found.sparkSession.createDataFrame([(h,) for h in X.sample_hashes(found, "h", SAMPLE)], "h long")
+    rows = found.join(F.broadcast(some), "h").dropDuplicates(["h"]).orderBy("h").toArrow()     # SAMPLE rows at most
     y = rows.column("y").to_numpy()
-    x = np.array(rows.column("x").to_pylist()).reshape(len(y), -1)
+    x = np.array(rows.column("x").to_pylist(), float) if len(y) else np.zeros((0, 1))
     kind, part = np.array(rows.column("kind").to_pylist(), object), rows.column("h").to_numpy() % 2 == 0
     trees = Trees().fit(x[part], y[part])
     least = {}

@@ -1,8 +1,8 @@
 """Quality classifier by hierarchical empirical Bayes (operator 2).
 
 Three kinds of evidence meet in one score. A logistic regression over hashed words and a few shape
-numbers gives each text a probability; it is fitted on at most ``SAMPLE`` labelled texts (smallest
-hash of the id). Grouped sums over all rows give each host, and each path below it, counts of good
+numbers gives each text a probability; it is fitted on at most ``SAMPLE`` labelled texts (one of
+each class of a hash of the id). Grouped sums over all rows give each host, and each path below it, counts of good
 and bad texts: a label counts 1, the classifier's probability of an unlabelled text ``SOFT``. Hosts
 shrink toward the global mean, paths toward their host; how strongly is estimated from the spread
 of the groups (method of moments), so sparse sites stay near the prior and large ones speak for
@@ -96,12 +96,13 @@ def _judged(text_col: str, weights):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
     """Broadcast weights of the text classifier. `labels`: (_id, y), one row for each id."""
-    sample = labels.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    least = F.min(F.struct(F.xxhash64("_id").alias("h"), "_id", "y")).alias("least")
+    sample = labels.groupBy(F.pmod(F.xxhash64("_id"), F.lit(SAMPLE))).agg(least).select("least._id", "least.y")
     rows = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
             .join(F.broadcast(sample), "_id").select("text", "y")     # SAMPLE rows at most
             .mapInArrow(_vectors, "y int, x binary").toArrow())
     y = rows.column("y").to_numpy().astype(float)
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(len(y), -1)
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(len(y), SLOTS + SHAPES + 1)
     return docs.sparkSession.sparkContext.broadcast(fit(x, y) if len(y) else fit(np.zeros((0, SLOTS + SHAPES + 1)), y))
 
 
