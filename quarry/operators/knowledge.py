@@ -56,9 +56,10 @@ def add_knowledge(raw: DataFrame, as_of, lexicon: Mapping[str, Sequence[str]] |
     return out
 
 
-def upsert(knowledge: DataFrame, new: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Append `new` and keep one row per id, the last in `order_by` order."""
-    return latest_per_id(knowledge.unionByName(new, allowMissingColumns=True), order_by)
+def upsert(knowledge: DataFrame, new: DataFrame, order_by: Sequence[str], key: str = "id") -> DataFrame:
+    """Append `new` and keep one row per `key`, the last in `order_by` order. Where ids are short
+    hashes of very many contents, pass a column with the full hash."""
+    return latest_per_id(knowledge.unionByName(new, allowMissingColumns=True), order_by, key)
 
 
 def apply_updates(knowledge: DataFrame, updates: DataFrame, as_of) -> DataFrame:

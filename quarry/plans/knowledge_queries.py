@@ -23,12 +23,13 @@ VIEW_DEPS["kb_v"] = ["knowledge_v"]
 
 
 def kb(spark, sf, cols=None):
-    """The knowledge base, one row per id (last document wins). With `cols`, only those
-    columns are carried, so unneeded derived columns (keywords) are never computed."""
-    k = knowledge_view(spark, sf)
+    """The knowledge base, one row per content of a domain (last document wins; equal contents by
+    their full SHA-256, as the 16-digit id is a label). With `cols`, only those columns are
+    carried, so unneeded derived columns (keywords) are never computed."""
+    k = knowledge_view(spark, sf).withColumn("_full", F.sha2(F.concat_ws(":", "domain", "content"), 256))
     if cols:
-        k = k.select(*sorted(set(cols) | {"id", "doc_id"}))
-    return ko.latest_per_id(k, ["doc_id"])
+        k = k.select(*sorted(set(cols) | {"id", "doc_id"}), "_full")
+    return ko.latest_per_id(k, ["doc_id"], key="_full").drop("_full")
 
 
 def _r(c, n=6):
