@@ -67,7 +67,7 @@ def shingles(t: K.Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(hashes)
 
 
-@lru_cache(1 << 14)
+@lru_cache(256)
 def _walk(attempt: int) -> np.ndarray:
     """Where each bin looks at this attempt."""
     return (K.mix(np.arange(BINS, dtype=np.uint64) + _U(attempt * BINS + 7919)) % _U(BINS)).astype(np.int64)
