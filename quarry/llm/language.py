@@ -4,9 +4,9 @@ sorted hash arrays; the lowest length-normalised cross-entropy wins, with calibr
 
 Training counts the character 4-grams of all training texts: tasks count the distinct words of a
 block, then the grams of these words (letters in lower case, a boundary before and after; other
-characters are boundaries). Grams below a share of ``SHARE`` of their language's grams are left
-out, so a language has at most 1 / SHARE of them, however large the corpus: the driver gets, and
-broadcasts, no more. Lower orders are continuation counts.
+characters are boundaries). Every counted gram is kept, however rare, so the models grow with the
+distinct grams of the corpus, and so does what the driver gets and broadcasts. Lower orders are
+continuation counts of all grams.
 
 The grams of all languages form one array of sorted hashes for each order, with the interpolated
 log-probability under each language beside it; grams in none of them back off by the context's
@@ -35,7 +35,6 @@ from quarry.llm import exchange as X
 from quarry.llm import kernel as K
 
 ORDER = 4
-SHARE = 2e-6               # least share of its language's grams that a gram needs: 500,000 grams at most
 ALPHABET = 1 << 16         # symbols are code points modulo this; 0 is the boundary
 UNKNOWN = "und"
 HELD_OUT, CALIBRATION = 5, 25
@@ -116,13 +115,21 @@ def _merged(table: pa.Table) -> pa.Table:
 
 
 def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, code, n): grams of all rows, without those under their language's SHARE."""
+    """(lang, code, n): all grams of all rows."""
     buckets = X.bucket_count(docs, text_col)
     rows = docs.select(F.col(text_col), F.col(lang_col).alias("lang"))
     counted = rows.mapInArrow(_counted(text_col, buckets), _COUNTED)
-    every = X.table(counted.groupBy("lang", "bucket").applyInArrow(_merged, "lang string, code long, n long"), "grams")
-    total = every.groupBy("lang").agg(F.sum("n").alias("total"))
-    return every.join(total, "lang").filter(F.col("n") >= SHARE * F.col("total")).select("lang", "code", "n")
+    return X.table(counted.groupBy("lang", "bucket").applyInArrow(_merged, "lang string, code long, n long"), "grams")
+
+
+def gathered(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Each language's grams and their counts, on the driver."""
+    rows = counted.toArrow()
+    lang = rows.column("lang").combine_chunks().dictionary_encode()
+    if isinstance(lang, pa.ChunkedArray):
+        lang = lang.combine_chunks()
+    code, n, of = rows.column("code").to_numpy().view(np.uint64), rows.column("n").to_numpy(), lang.indices.to_numpy()
+    return {x: (code[of == i], n[of == i]) for i, x in enumerate(lang.dictionary.to_pylist())}
 
 
 class Hashed:
@@ -289,10 +296,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sc = docs.sparkSession.sparkContext
     rows = (docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, HELD_OUT) != 0))
             .withColumn("_try", fold(id_col, CALIBRATION) == 1))
-    found = count_grams(rows.filter("not _try"), text_col, lang_col).toArrow()
-    lang = np.array(found.column("lang").to_pylist(), object)
-    code, n = found.column("code").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    model = Model({x: (code[lang == x], n[lang == x]) for x in set(lang)})
+    model = Model(gathered(count_grams(rows.filter("not _try"), text_col, lang_col)))
     if not model.langs:
         return sc.broadcast(model)
     first = sc.broadcast(model)

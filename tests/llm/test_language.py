@@ -62,6 +62,15 @@ def test_counted_grams_against_brute_force(spark):
     assert got["de"] == {code(g): n for g, n in grams("der hut").items()}
 
 
+def test_rare_grams_of_a_large_language_are_kept(spark):
+    from quarry.session import ship_package
+    ship_package(spark)
+    hot = spark.range(20).select(F.col("id").alias("doc_id"), F.expr("repeat('the ', 50000)").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(100, "quiz", "en")], "doc_id long, text string, lang string")
+    got = {r["code"] % 2**64: r["n"] for r in L.count_grams(hot.union(rare)).collect()}
+    assert got == {code(g): n for g, n in (grams("quiz") + Counter({g: 1_000_000 for g in grams("the")})).items()}
+
+
 def test_probabilities_against_the_definition_and_they_sum_to_one():
     counts = sum((grams(t) for t in TEXTS), Counter())
     keys = np.array([code(g) for g in counts], np.uint64)
