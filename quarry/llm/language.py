@@ -12,8 +12,10 @@ The grams of all languages form one array of sorted hashes for each order, with
 log-probability under each language beside it; grams in none of them back off by the context's
 weight. Texts are scored by their distinct words. Two calibrations use labelled texts that
 weren't counted (about a 25th): the temperature of the score, and for each language a bound on
-the cross-entropy, which none of them exceeds (and ``LEAST_BOUND`` spreads above their mean at
-least, as few texts show little of the spread), beyond which a text is rejected.
+the cross-entropy, beyond which a text is rejected. The bound comes from the ``QUANTILE`` of the
+deviations of all texts whose best language is their label, from a histogram, so neither mislabelled
+texts nor the number of texts move it (``LEAST_BOUND`` spreads above their mean at least, as few
+texts show little of the spread).
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; with no
 learned language every text is `und`, score 0, not rejected; ties go to the first language in
@@ -40,7 +42,9 @@ UNKNOWN = "und"
 HELD_OUT, CALIBRATION = 5, 25
 HEATS = (1, 2, 5, 10, 20, 50, 100, 200)   # temperatures tried
 LEAST_BOUND = 8.0          # in units of `spread`: about one nat for a text of 1,000 symbols
-MARGIN = 1.25              # the bound's slack over the largest deviation seen
+QUANTILE = 0.999           # of the deviations; at least the largest one is left out, where there are several
+BIN = 0.05                 # width of the histogram's bins, in units of `spread`
+MARGIN = 1.25              # the bound's slack over that quantile
 _U = np.uint64
 _LOW = [_U(0), *(_U((1 << 16 * n) - 1) for n in range(1, 5))]  # masks of the last n symbols
 _LETTER: np.ndarray | None = None
@@ -275,7 +279,8 @@ def accept(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
 
 
 def _tried(text_col: str, model):
-    """Calibration rows: cross-entropy under the label, and the loss at each temperature."""
+    """Calibration rows: cross-entropy under the label, whether it is the best language, and the
+    loss at each temperature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         for block in K.blocks(batches, text_col):
@@ -287,10 +292,24 @@ def _tried(text_col: str, model):
             loss = [np.log(np.exp(np.minimum(700, -gap / t)).sum(1)) for t in HEATS]
             yield pa.record_batch({"lang": pa.array([labels[i] for i in use], pa.string()),
                                    "entropy": pa.array(h[use, own]), "n": pa.array(n[use], pa.float64()),
+                                   "best": pa.array(h[use].argmin(1) == own, pa.bool_()),
                                    "loss": pa.array(np.stack(loss, 1).tolist() if len(use) else [], pa.list_(pa.float64()))})
     return run
 
 
+def bounds(off: DataFrame) -> dict[str, float]:
+    """Each language's bound from the deviations (lang, off) of all its calibration rows."""
+    bins: dict[str, list[tuple[int, int]]] = {}
+    for r in off.groupBy("lang", F.floor(F.col("off") / BIN).alias("bin")).count().collect():
+        bins.setdefault(r["lang"], []).append((r["bin"], r["count"]))
+    out = {}
+    for lang, found in bins.items():
+        edge, n = np.array(sorted(found)).T
+        rank = max(1, int(QUANTILE * n.sum()))
+        out[lang] = max(LEAST_BOUND, MARGIN * BIN * float(edge[np.searchsorted(np.cumsum(n), rank)] + 1))
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """A broadcast Model from the labelled rows outside the held-out fold."""
     sc = docs.sparkSession.sparkContext
@@ -301,15 +320,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return sc.broadcast(model)
     first = sc.broadcast(model)
     tried = X.table(rows.filter("_try").select(text_col, F.col(lang_col).alias("lang")).mapInArrow(
-        _tried(text_col, first), "lang string, entropy double, n double, loss array<double>"), "calibration")
+        _tried(text_col, first), "lang string, entropy double, n double, best boolean, loss array<double>"), "calibration")
     loss = tried.agg(*[F.avg(F.col("loss")[i]).alias(f"l{i}") for i in range(len(HEATS))]).first()
     if loss[0] is not None:
         model.heat = float(HEATS[int(np.argmin(loss))])
-    model.mean = {r["lang"]: r["mean"] for r in tried.groupBy("lang").agg(F.avg("entropy").alias("mean")).collect()}
-    mean = F.create_map(*[F.lit(x) for kv in model.mean.items() for x in kv]) if model.mean else None
-    if mean is not None:
+    agreed = tried.filter("best")
+    model.mean = {r["lang"]: r["mean"] for r in agreed.groupBy("lang").agg(F.avg("entropy").alias("mean")).collect()}
+    if model.mean:
+        mean = F.create_map(*[F.lit(x) for kv in model.mean.items() for x in kv])
         off = (F.col("entropy") - mean[F.col("lang")]) / (0.05 + 2.5 / F.sqrt(F.greatest(F.lit(1.0), F.col("n"))))
-        model.bound = {r["lang"]: max(LEAST_BOUND, MARGIN * r["off"]) for r in tried.groupBy("lang").agg(F.max(off).alias("off")).collect()}
+        model.bound = bounds(agreed.select("lang", off.alias("off")))
     first.unpersist()
     return sc.broadcast(model)
 

@@ -123,6 +123,39 @@ def test_foreign_script_is_rejected_and_odd_rows_are_defined(spark):
     assert sorted(r["doc_id"] for r in L.accept(odd, model).filter("doc_id is not null").collect()) == [5, 5]
 
 
+FINNISH = "Metsän reunassa seisoi vanha talo, jonka pihalla kasvoi omenapuita ja jossa kukaan ei ollut asunut vuosikausiin. "
+
+HUNGARIAN = "A régi ház udvarán már évek óta senki sem járt, csak a szél zörgette esténként az elkorhadt ablakokat. "
+
+
+def calibration_ids(first):
+    """Ids of the calibration fold, from `first` on."""
+    return (i for i in range(first, first + 10_000) if zlib.crc32(str(i).encode()) % L.CALIBRATION == 1)
+
+
+def test_mislabelled_calibration_rows_dont_loosen_rejection(spark):
+    from quarry.session import ship_package
+    ship_package(spark)
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").filter("lang in ('en', 'es')")
+    ids = calibration_ids(10**9)
+    spanish = [(next(ids), r["text"], "en") for r in base.filter("lang = 'es'").limit(2).collect()]
+    junk = [(next(ids), FINNISH * 8, x) for x in ("en", "es")]
+    plain = L.train(base).value
+    model = L.train(base.union(spark.createDataFrame(spanish + junk, base.schema)))
+    assert model.value.bound == pytest.approx(plain.bound, rel=0.2)
+    odd = spark.createDataFrame([(1, HUNGARIAN * 6)], "doc_id long, text string")
+    assert [r["rejected"] for r in L.predict(odd, model).collect()] == [True]
+    assert L.predict(base, model).filter("rejected").count() < 0.005 * base.count()
+
+
+def test_bound_does_not_grow_with_the_rows(spark):
+    rows = spark.range(20_000).select(F.lit("en").alias("lang"), (F.col("id") % 1000 / 100).alias("off"))
+    junk = spark.range(5).select(F.lit("en").alias("lang"), F.lit(90.0).alias("off"))
+    want = pytest.approx(L.MARGIN * 10, rel=0.02)
+    assert L.bounds(rows)["en"] == want and L.bounds(rows.union(junk))["en"] == want
+    assert L.bounds(junk.limit(1).union(rows.limit(1)))["en"] == L.LEAST_BOUND
+
+
 def test_nothing_to_learn_from(docs, none):
     out = L.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r["lang_pred"], r["score"], r["rejected"]) for r in out} == {("und", 0.0, False)}
