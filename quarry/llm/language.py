@@ -15,7 +15,9 @@ weren't counted (about a 25th): the temperature of the score, and for each langu
 the cross-entropy, beyond which a text is rejected. The bound comes from the ``QUANTILE`` of the
 deviations of all texts whose best language is their label, from a histogram, so neither mislabelled
 texts nor the number of texts move it (``LEAST_BOUND`` spreads above their mean at least, as few
-texts show little of the spread).
+texts show little of the spread); a language without such texts has none, and rejects nothing.
+
+After that the calibration texts' grams are added to the counts, so no learnable text is left out.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; with no
 learned language every text is `und`, score 0, not rejected; ties go to the first language in
@@ -297,6 +299,10 @@ def _tried(text_col: str, model):
     return run
 
 
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _sums(np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]))
+
+
 def bounds(off: DataFrame) -> dict[str, float]:
     """Each language's bound from the deviations (lang, off) of all its calibration rows."""
     bins: dict[str, list[tuple[int, int]]] = {}
@@ -315,10 +321,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sc = docs.sparkSession.sparkContext
     rows = (docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, HELD_OUT) != 0))
             .withColumn("_try", fold(id_col, CALIBRATION) == 1))
-    model = Model(gathered(count_grams(rows.filter("not _try"), text_col, lang_col)))
-    if not model.langs:
+    counts = gathered(count_grams(rows.filter("not _try"), text_col, lang_col))
+    more = gathered(count_grams(rows.filter("_try"), text_col, lang_col))
+    model = Model({x: added([c[x] for c in (counts, more) if x in c]) for x in counts | more})
+    if not counts:
         return sc.broadcast(model)
-    first = sc.broadcast(model)
+    first = sc.broadcast(Model(counts))
     tried = X.table(rows.filter("_try").select(text_col, F.col(lang_col).alias("lang")).mapInArrow(
         _tried(text_col, first), "lang string, entropy double, n double, best boolean, loss array<double>"), "calibration")
     loss = tried.agg(*[F.avg(F.col("loss")[i]).alias(f"l{i}") for i in range(len(HEATS))]).first()

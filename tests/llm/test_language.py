@@ -156,6 +156,17 @@ def test_bound_does_not_grow_with_the_rows(spark):
     assert L.bounds(junk.limit(1).union(rows.limit(1)))["en"] == L.LEAST_BOUND
 
 
+def test_a_language_of_calibration_rows_only_is_learned(spark):
+    from quarry.session import ship_package
+    ship_package(spark)
+    ids = calibration_ids(10**9)
+    base = spark.createDataFrame([(i, "the cat and the hat", "en") for i in range(50)], "doc_id long, text string, lang string")
+    finnish = spark.createDataFrame([(next(ids), FINNISH, "fi") for _ in range(3)], base.schema)
+    for d in (base.union(finnish), finnish):
+        got = L.predict(finnish, L.train(d)).collect()
+        assert {(r["lang_pred"], r["rejected"]) for r in got} == {("fi", False)}
+
+
 def test_nothing_to_learn_from(docs, none):
     out = L.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r["lang_pred"], r["score"], r["rejected"]) for r in out} == {("und", 0.0, False)}
