@@ -67,9 +67,13 @@ class Trees:
             node = np.where(f < 0, node, 2 * node + 1 + right)
         return value[node]
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """Probability of 1."""
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Log-odds of 1."""
         score = np.full(len(x), self.base)
         for tree in self.trees:
             score += self._apply(tree, x)
-        return 1 / (1 + np.exp(-score))
+        return score
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Probability of 1."""
+        return 1 / (1 + np.exp(-self.score(x)))

@@ -6,9 +6,10 @@ the generators propose looser spans: masked e-mail addresses, national phone num
 long digit groups, assigned or random-looking keys. Each candidate has numbers for its format
 (length, digits, letters, entropy, separators, checksum) and its context (words before it, the
 characters around it). The trees learn from weak labels: what a strict pattern of the kind
-confirms, on one part of a bounded sample of ``SAMPLE`` candidates (by a hash of the text and
-place, over all texts). On the other part each kind gets the lowest threshold that reaches
-``PRECISION``; a kind without one adds nothing.
+confirms, on half of a bounded sample of ``SAMPLE`` candidates: equally many hash classes (of the
+text and place, over all texts) for each kind and weak label, so a rare kind is sampled however many
+candidates the others have. All candidates are then scored, and counts by kind, score and label give
+each kind the lowest threshold that reaches ``PRECISION``; a kind without one adds nothing.
 
 Texts are searched in full; those without a digit or @ or assignment skip the patterns for these.
 Patterns take linear time on runs of any length.
@@ -34,8 +35,9 @@ from quarry.llm.boosting import Trees
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "account")     # in the order of equal starts
-SAMPLE = 20_000           # candidates that the trees and thresholds are fitted on, at most
+SAMPLE = 20_000           # candidates that are gathered for the trees, at most
 PRECISION = 0.98
+STEP = 0.01               # width of the thresholds' score bins, in log-odds
 CONTEXT = 24              # characters before a candidate that its features read
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -172,42 +174,61 @@ def _sampled(text_col: str):
 
 
 class Judge:
-    """Trees with a threshold for each kind."""
+    """Trees with a threshold for each kind, as a score bin."""
 
-    def __init__(self, trees: Trees, least: dict[str, float]):
+    def __init__(self, trees: Trees, least: dict[str, int]):
         self.trees, self.least = trees, least
 
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        return np.floor(self.trees.score(x) / STEP).astype(np.int64)
+
     def added(self, text: str, digits: bool) -> tuple[list, list]:
         """(base spans, all spans that are selected)."""
         base = base_spans(text, digits)
         more = [s for s in candidates(text, base, digits) if s not in base]
         if more:
-            p = self.trees.predict(np.array([features(text, s) for s in more]))
-            more = [s for s, q in zip(more, p) if q >= self.least.get(s[2], np.inf)]
+            at = self.bins(np.array([features(text, s) for s in more]))
+            more = [s for s, k in zip(more, at) if k >= self.least.get(s[2], np.inf)]
         return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _scored(judge: Judge):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = batch.column("x").flatten().to_numpy().reshape(len(batch), -1)
+                kind = np.array([KINDS.index(k) for k in batch.column("kind").to_pylist()])
+                found, n = np.unique(np.stack([kind, judge.bins(x), batch.column("y").to_numpy()], 1), axis=0, return_counts=True)
+                yield pa.record_batch({"kind": pa.array([KINDS[k] for k in found[:, 0]], pa.string()), "bin": pa.array(found[:, 1].copy()),
+                                       "y": pa.array(found[:, 2].astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+    return run
+
+
+def thresholds(found: DataFrame, trees: Trees) -> dict[str, int]:
+    """Each kind's lowest score bin that reaches PRECISION over all candidates (kind, y, x)."""
+    scored = found.select("kind", "y", "x").mapInArrow(_scored(Judge(trees, {})), "kind string, bin long, y int, n long")
+    rows = scored.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("right")).collect()
+    least = {}
+    for k in KINDS:
+        mine = np.array(sorted((r["bin"], r["n"], r["right"]) for r in rows if r["kind"] == k)[::-1]).reshape(-1, 3)
+        good = np.flatnonzero(np.cumsum(mine[:, 2]) >= PRECISION * np.cumsum(mine[:, 1]))
+        if len(good) and mine[:, 2].any():
+            least[k] = int(mine[good[-1], 0])
+    return least
+
+
 def train(docs: DataFrame, text_col: str = "text"):
-    """A broadcast Judge from a bounded sample of the candidates of `docs`."""
+    """A broadcast Judge: trees from a bounded sample of the candidates of `docs`, thresholds from all."""
     found = X.table(docs.select(text_col).mapInArrow(_sampled(text_col), "h long, kind string, y int, x array<double>"), "candidates")
-    some = found.sparkSession.createDataFrame([(h,) for h in X.sample_hashes(found, "h", SAMPLE)], "h long")
+    classes = SAMPLE // (2 * len(KINDS))
+    picked = found.groupBy("kind", "y", F.pmod("h", F.lit(classes))).agg(F.min("h").alias("h")).select("h").collect()
+    some = found.sparkSession.createDataFrame([(r["h"],) for r in picked], "h long")
     rows = found.join(F.broadcast(some), "h").dropDuplicates(["h"]).orderBy("h").toArrow()     # SAMPLE rows at most
     y = rows.column("y").to_numpy()
     x = np.array(rows.column("x").to_pylist(), float) if len(y) else np.zeros((0, 1))
-    kind, part = np.array(rows.column("kind").to_pylist(), object), rows.column("h").to_numpy() % 2 == 0
+    part = rows.column("h").to_numpy() // classes % 2 == 0
     trees = Trees().fit(x[part], y[part])
-    least = {}
-    for k in KINDS:
-        mine = np.flatnonzero(~part & (kind == k))
-        if len(mine) and y[mine].any():
-            p = trees.predict(x[mine])
-            order = np.argsort(-p, kind="stable")
-            right = np.cumsum(y[mine][order]) / np.arange(1, len(mine) + 1)
-            last = np.append(p[order][1:] != p[order][:-1], True)      # a threshold takes all equal scores
-            good = np.flatnonzero((right >= PRECISION) & last)
-            if len(good):
-                least[k] = float(p[order][good[-1]])
-    return docs.sparkSession.sparkContext.broadcast(Judge(trees, least))
+    return docs.sparkSession.sparkContext.broadcast(Judge(trees, thresholds(found, trees)))
 
 
 _SPAN = "struct<start:long,end:long,kind:string>"

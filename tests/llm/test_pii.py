@@ -78,6 +78,19 @@ def test_redaction_and_odd_rows(spark, docs, none):
     assert pii.digest(none).collect() == [] and pii.digest(docs).count() == docs.count()
 
 
+def test_a_hot_source_does_not_hide_a_rare_kind(spark):
+    from quarry.session import ship_package
+    ship_package(spark)
+    rng = random.Random(7)
+    keys = [f'token = "{rng.getrandbits(160):040x}"' for _ in range(10)]
+    rare = spark.createDataFrame([(10_000 + i, k) for i, k in enumerate(keys)], "doc_id long, text string")
+    hot = spark.range(200).select(F.col("id").alias("doc_id"), F.expr(
+        "array_join(transform(sequence(0, 1499), i -> cast(100000000 + 1500 * id + i as string)), ' x ')").alias("text"))
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(hot.repartition(8).union(rare)).collect()}
+    assert all("secret:9:49" in got[10_000 + i] for i in range(10))
+    assert not any(got[i] for i in range(200))
+
+
 def test_trees_learn_an_interaction_and_handle_one_class():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
