@@ -48,7 +48,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MASKED = re.compile(r"(?<![\w.-])[\w.-]{1,64}[ ]?[(\[](?:at|AT)[)\]][ ]?[\w-]{1,64}(?:[ ]?(?:[(\[](?:dot|DOT)[)\]]|\.)[ ]?[\w-]{2,24})+")
 _NATIONAL = re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?(?:[ ./-][0-9]{2,5}){1,4}(?![0-9])")
 _DIGITS = re.compile(r"(?<![0-9A-Za-z])[0-9]{7,34}(?![0-9A-Za-z])")
-_KEY = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,60}[0-9])[A-Za-z0-9_+/-]{16,512}={0,2}(?![A-Za-z0-9_+/=-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])")     # and a digit
+_DIGIT = re.compile(r"[0-9]")
 _ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\s{0,2}[:=]\s{0,2}[\"']?$")
 _CUES = {name: re.compile(rf"(?i)\b(?:{words})\b") for name, words in {
     "email": "mail|email|e-mail|contact", "phone": "phone|tel|call|mobile|fax", "card": "card|visa|credit|payment",
@@ -107,7 +108,7 @@ def candidates(text: str, base: list[tuple[int, int, str]], digits: bool) -> lis
     if digits:
         out |= {(*m.span(), "phone") for m in _NATIONAL.finditer(text) if 7 <= len(_digits(m[0])) <= 15}
         out |= {(*m.span(), "account") for m in _DIGITS.finditer(text)}
-        out |= {(*m.span(), "secret") for m in _KEY.finditer(text)}
+        out |= {(*m.span(), "secret") for m in _KEY.finditer(text) if _DIGIT.search(m[0])}
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -138,7 +139,7 @@ def weak_label(text: str, span: tuple[int, int, str], base: set[tuple[int, int,
     if kind == "email":
         return True                          # an address masked on purpose
     if kind == "phone":
-        return bool(re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", s))
+        return bool(re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", s) or _CUES["phone"].search(before))
     if kind == "secret":
         return bool(_ASSIGNED.search(before)) and any(c.isdigit() for c in s)
     if kind == "account":

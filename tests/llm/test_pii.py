@@ -91,6 +91,17 @@ def test_a_hot_source_does_not_hide_a_rare_kind(spark):
     assert not any(got[i] for i in range(200))
 
 
+def test_long_keys_and_national_numbers_of_other_shapes():
+    for key in ("a1" * 400, "k" * 80 + "7" + "x" * 20, "abcdefgh12345678=="):
+        assert (8, 8 + len(key), "secret") in pii.candidates(f"token = {key} .", [], True)
+    assert not pii.candidates("token = " + "k" * 80, [], True)
+    for text, number in (("tel. 030 12 34 56 78", "030 12 34 56 78"), ("call (0221) 555 1234", "(0221) 555 1234"), ("a 212-555-0123", "212-555-0123")):
+        a = text.index(number)
+        span = (a, a + len(number), "phone")
+        assert span in pii.candidates(text, [], True) and pii.weak_label(text, span, set())
+    assert not pii.weak_label("sizes 030 12 34 56 78", (6, 21, "phone"), set())
+
+
 def test_trees_learn_an_interaction_and_handle_one_class():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
