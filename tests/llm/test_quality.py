@@ -92,3 +92,16 @@ def test_odd_rows_and_labels(spark, docs, none):
     empty = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["kept"] for r in Q.score(docs, empty, F.col("source"), F.col("lang")).collect()} <= {True, False}
     assert Q.score(none, labels, F.col("source"), F.col("lang")).collect() == []
+
+
+def hot_site(spark):
+    """One host with most rows, in many paths of one to three rows, and a small host."""
+    rows = [(i, "all the same words here", "hot" if i % 50 else "small", f"p{i // 3 if i % 7 else i}") for i in range(1500)]
+    labels = [(i, int(i // 3 % 4 > 0)) for i in range(1500) if i % 3]
+    return (spark.createDataFrame(rows, "doc_id long, text string, host string, path string"),
+            spark.createDataFrame(labels, "doc_id long, quality int"))
+
+
+def test_many_sparse_paths_below_a_hot_host(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "sites", hot_site)
+    test_posteriors_against_brute_force(spark)
