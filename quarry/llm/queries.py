@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import contamination, language, mixing, near, pages, pii, quality, repeats, rules, tokens
+from quarry.llm import contamination, idfiles, language, mixing, near, pages, pii, quality, repeats, rules, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -125,3 +125,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counts(read(spark, sf_dir, "documents"))
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.digest(read(spark, sf_dir, "documents"))
