@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import contamination, idfiles, language, mixing, near, pages, pii, quality, repeats, rules, tokens
+from quarry.llm import alignment, contamination, idfiles, language, mixing, near, pages, pii, quality, repeats, rules, tokens, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -127,6 +127,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counts(read(spark, sf_dir, "documents"))
 
 
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.links(read(spark, sf_dir, "documents"))
+
+
 @query("op13_token_files")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.digest(read(spark, sf_dir, "documents"))
