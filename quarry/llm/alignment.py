@@ -48,8 +48,9 @@ from quarry.llm import kernel as K
 
 CHUNK = 64 << 10       # bytes of a range of a longer text
 FAN = 8                # fragments composed by a task of the tree
-BLOCK = 4 << 20        # bytes of texts of a block
-LINKS = 1 << 21        # links listed at a time
+BLOCK = 2 << 20        # bytes of texts of a block
+LINKS = 1 << 19        # links, or tokens, listed at a time
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1}      # rows of some MB: look at the size after each
 WIDE = 64              # groups with more links are listed by distinct ids
 
 
@@ -388,12 +389,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
     files = spark.sparkContext.broadcast(tuple(files))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = X.bucket_count(rows, "text")
-    first = X.table(rows.mapInArrow(_read(files, buckets, chunk), f"{_SPARK_BLOCK}, {_SPARK_RANGE}"), "aligned")
+    first = X.table(rows.mapInArrow(_read(files, buckets, chunk), f"{_SPARK_BLOCK}, {_SPARK_RANGE}"), "aligned", LARGE_ROWS)
     blocks = [c.split(" ")[0] for c in _SPARK_BLOCK.split(", ")]
     done = first.filter("block is not null").select(*blocks)
     ranges = first.filter("text is not null").select(*(c.split(" ")[0] for c in _SPARK_RANGE.split(", ")))
     if not ranges.isEmpty():
-        done = done.unionByName(X.table(_whole(ranges).mapInArrow(_long_block(buckets), _SPARK_BLOCK), "aligned-long"))
+        done = done.unionByName(X.table(_whole(ranges).mapInArrow(_long_block(buckets), _SPARK_BLOCK), "aligned-long", LARGE_ROWS))
     asked = done.select("block", F.explode("pairs").alias("p")).select("block", "p.*")
     answers = asked.groupBy("bucket").applyInArrow(_answered, "block string, at binary, count binary")
     out = done.drop("pairs").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(

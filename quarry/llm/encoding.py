@@ -35,7 +35,7 @@ from quarry.llm import kernel as K
 BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_SIGN = "▁"
-KEPT = 1 << 19           # parts whose ids a process keeps (about 100 MB)
+KEPT = 1 << 18           # parts whose ids a process keeps (about 50 MB)
 # Fixed value: the public pattern of the byte-level vocabulary, for text of ASCII and Latin letters up to U+024F,
 # whose classes don't depend on the version of Unicode.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"

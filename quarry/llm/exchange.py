@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
@@ -69,12 +69,12 @@ def sample_hashes(df: DataFrame, h: str, rows: int) -> list[int]:
     return [r["h"] for r in least.filter("h is not null").collect()]
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it again: cuts the lineage, and a
-    lost executor costs no recomputation."""
+    lost executor costs no recomputation. `options` are the Parquet writer's."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,3 +89,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     `rows` rows; beyond that, Spark plans the join from its statistics."""
     kept = table(df, "small")
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+def _place(id_: Column, words: int) -> tuple[Column, Column]:
+    h = F.xxhash64(id_)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 40).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.pmod(h, F.lit(words)), bit
+
+
+def bitmap(ids: DataFrame, id_col: str, words: int) -> DataFrame:
+    """One row: `_bits`, `words` longs with a place for each hash of an id. Of fixed size, however many ids."""
+    word, bit = _place(F.col(id_col), words)
+    some = ids.groupBy(word.alias("id")).agg(F.bit_or(bit).alias("w"))
+    every = ids.sparkSession.range(words).join(some, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "w"))), lambda x: x["w"]).alias("_bits"))
+
+
+def with_marked(df: DataFrame, id_col: str, bits: DataFrame, words: int, out: str) -> DataFrame:
+    """Add `out`: is the id's place in the bitmap taken? Always for an id of the bitmap, rarely for others."""
+    word, bit = _place(F.col(id_col), words)
+    return df.crossJoin(F.broadcast(bits)).withColumn(out, F.get("_bits", word).bitwiseAND(bit) != 0).drop("_bits")
