@@ -10,9 +10,13 @@ Skew: a window that a third of all texts share makes one entry for each block, d
 inside the block for all but its smallest document. Two different windows share a 64-bit hash
 with a chance of 2^-64 a pair.
 
-Defined results: a null text has no words; a null id sorts after every other; repeated rows of
-one id are one document (none is smaller than the other); ties can't arise, as only ids
-count; a text shorter than a window keeps all words; no rows give no rows; other columns
+Texts are told apart by id and, where several rows share an id, by 64 bits of the text's hash. Which ids
+are shared is a bitmap of 2^20 places by hash of the id, from one pass over the ids; an id that meets a place by
+chance gets its hash too. So null ids and rows of one id spread over the buckets like others.
+
+Defined results: a null text has no words; a null id sorts after every other; rows of
+one id are one document (none is smaller than the other), each cut by its own windows; ties can't arise,
+as only ids count; a text shorter than a window keeps all words; no rows give no rows; other columns
 aren't read.
 """
 from __future__ import annotations
@@ -49,7 +53,7 @@ def _pack(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> dict:
 def _places(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, keys and positions of a packed row, one element for each entry."""
     raw, k, lo, got = zlib.decompress(r["places"]), r["texts"], 0, []
-    for kind in (np.int64, np.int16, np.uint32):
+    for kind in (np.int64, np.int64, np.uint32):
         size = k * np.dtype(kind).itemsize
         got.append(X.unplanes(raw[lo:lo + size], kind))
         lo += size
@@ -62,7 +66,8 @@ def _places(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _PACKED = "bucket int, sure boolean, texts int, places binary, hashes binary"
-_HITS = "id long, key short, at binary"
+_HITS = "id long, key long, at binary"
+PLACES = 1 << 14   # words of the bitmap of shared ids, 64 places each
 
 
 def _asked(text_col: str, window: int, buckets: int):
@@ -112,7 +117,7 @@ def _answered(groups: int):
         i, k, p = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((p, k, i))
         i, k, p = i[order], k[order], p[order]
-        to = X.bucket_of(K.mix(i.view(np.uint64)), groups)
+        to = X.bucket_of(K.mix(i.view(np.uint64) ^ k.view(np.uint64)), groups)
         return pa.Table.from_pylist([_pack(i[x], k[x], p[x]) | {"bucket": b} for b, x in X.by_bucket(to, groups)],
                                     pa.schema([("bucket", pa.int32()), ("texts", pa.int32()), ("places", pa.binary())]))
     return run
@@ -127,7 +132,7 @@ def _gathered(table: pa.Table) -> pa.Table:
     new[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1])
     at = np.flatnonzero(new)
     ends = np.append(at[1:], len(i))
-    return pa.table({"id": pa.array(i[at], pa.int64()), "key": pa.array(k[at], pa.int16()),
+    return pa.table({"id": pa.array(i[at], pa.int64()), "key": pa.array(k[at], pa.int64()),
                      "at": pa.array([p[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())})
 
 
@@ -144,9 +149,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col),
-                       F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"),
-                       F.shiftright(F.xxhash64(text_col), 49).cast("short").alias("_key"))
+    """id, text, `_id` (never null) and `_key`, which with `_id` tells texts apart."""
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col),
+                       F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"))
+    shared = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marked = X.with_marked(rows, "_id", X.bitmap(shared, "_id", PLACES), PLACES, "_many")
+    return marked.withColumn("_key", F.when(F.col("_many"), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))).drop("_many")
 
 
 def _cut(id_col: str, text_col: str, window: int):

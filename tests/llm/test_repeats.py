@@ -56,3 +56,26 @@ def test_planes_round_trip():
     x = np.array([0, 5, 70000, 2**40], np.int64)
     assert list(exchange.unplanes(exchange.planes(x), np.int64)) == list(x)
     assert exchange.unplanes(exchange.planes(x[:0]), np.int64).size == 0
+
+
+def test_thousands_of_rows_share_an_id(spark, split, sentences):
+    import random
+    from quarry.session import ship_package
+    ship_package(spark)
+    rng = random.Random(8)
+    passage = sentences(rng, 13)
+    corpus = [(1, passage)]
+    corpus += [(None, f"{sentences(rng, rng.randrange(0, 40))} {passage}" + f" {sentences(rng, 3)}" * (n % 3)) for n in range(5000)]
+    corpus += [(7, f"{sentences(rng, rng.randrange(0, 40))} {passage if n % 2 else ''}") for n in range(5000)]
+    corpus += [(100 + n, sentences(rng, 20)) for n in range(500)] + [(7, corpus[-1][1])] * 3
+    d = spark.createDataFrame(corpus, "doc_id long, text string").repartition(6)
+    assert sorted(map(tuple, repeats.digest(d).collect()), key=repr) == brute(corpus, split, 13)
+    groups = repeats.repeated_windows(d).groupBy("id", "key").count()
+    assert groups.filter("count > 1").count() == 0
+
+
+def test_only_shared_ids_need_the_text_hash(spark):
+    d = spark.createDataFrame([(i, "x") for i in range(300)] + [(5, "y"), (None, "z"), (None, "z")], "doc_id long, text string")
+    keys = {(r["doc_id"], r["text"]): r["_key"] for r in repeats._keyed(d, "doc_id", "text").collect()}
+    assert keys[5, "x"] and keys[5, "y"] and keys[5, "x"] != keys[5, "y"] and keys[None, "z"]
+    assert sum(k != 0 for k in keys.values()) < 10
