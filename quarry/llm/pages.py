@@ -5,10 +5,12 @@ elements above it. A numpy bidirectional LSTM reads, for the sequence of all blo
 vector of hashed path elements (tags, classes, ids), a vector of hashed words and a few
 numbers (length, links, place), and labels every block as main text or not, with the whole page as context.
 
-It is trained on at most ``SAMPLE`` pages (by a hash of the html, among those up to
-``SAMPLE_CHARS`` long), with weak labels from page conventions: navigation, headers, footers, asides,
-forms, adverts, notices and comments by element, class or id aren't main text; what stands in an
-article, or outside all of these, is. At most ``SAMPLE_BLOCKS`` blocks of a page are trained on; labelling reads them all.
+It is trained on at most ``SAMPLE`` pages of any length (by a hash of the html), with weak labels from
+page conventions: navigation, headers, footers, asides, forms, adverts, notices and comments by element, class
+or id aren't main text; what stands in an article, or outside all of these, is. A page is cut into windows of
+``WINDOW`` blocks, and ``OF_PAGE`` of them, drawn by hash, are trained on, so page ends are as well as
+beginnings. Labelling reads all blocks of a page as one sequence, in slices that carry the state. Pages of
+similar length are labelled together as long as their padded blocks stay below ``CELLS``.
 
 Defined results: null or empty html gives an empty text; markup that isn't closed ends with the
 page, a comment or script that isn't closed swallows the rest; pages whose blocks are all rejected are
@@ -30,13 +32,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm import exchange as X
 from quarry.llm import kernel as K
-from quarry.llm.recurrent import BiLSTM, padded
+from quarry.llm.recurrent import BiLSTM
 
-SAMPLE, SAMPLE_CHARS, SAMPLE_BLOCKS = 256, 200_000, 200
+SAMPLE, WINDOW, OF_PAGE = 256, 200, 2
 PATH, WORDS = 48, 16       # hash slots of path elements and of words
 NUMBERS = 6
 MAIN = 0.5                 # least probability of main text
-_SEQUENCES = 128           # labelled together
+_SEQUENCES = 128           # labelled together, at most
+CELLS = 1 << 14            # blocks labelled together with their padding, unless one page has more
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"                                        # comment
@@ -177,36 +180,63 @@ def vectors(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
     return x
 
 
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of sampled pages (h, html) to train on: inputs and labels of their blocks."""
+    for batch in batches:
+        for h, page in zip(batch.column("h").to_pylist(), batch.column("html").to_pylist()):
+            blocks = leaf_blocks(page)
+            starts = sorted(range(0, len(blocks), WINDOW), key=lambda lo: zlib.crc32(f"{h}:{lo}".encode()))[:OF_PAGE]
+            rows = [blocks[lo:lo + WINDOW] for lo in starts]
+            yield pa.record_batch({
+                "h": pa.array([h] * len(rows), pa.int64()), "lo": pa.array(starts, pa.int64()),
+                "inputs": pa.array([vectors(r).astype(np.float32).tobytes() for r in rows], pa.binary()),
+                "labels": pa.array([bytes(weak_label(b[1]) for b in r) for r in rows], pa.binary())})
+
+
 def train(pages: DataFrame, html_col: str = "html"):
-    """A broadcast labeller from a bounded sample of the pages."""
-    rows = (pages.filter(F.length(html_col).between(1, SAMPLE_CHARS))
-            .select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html")))
+    """A broadcast labeller from a bounded sample of the pages: SAMPLE * OF_PAGE windows reach the driver."""
+    rows = pages.filter(F.length(html_col) > 0).select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
     some = X.sample_hashes(rows, "h", SAMPLE)
-    picked = rows.filter(F.col("h").isin(some)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").toArrow()
-    sequences = []
-    for page in picked.column("html").to_pylist():
-        blocks = leaf_blocks(page)[:SAMPLE_BLOCKS]
-        if blocks:
-            sequences.append((vectors(blocks), np.array([weak_label(b[1]) for b in blocks], float)))
+    picked = rows.filter(F.col("h").isin(some)).groupBy("h").agg(F.min("html").alias("html"))
+    windows = picked.mapInArrow(_drawn, "h long, lo long, inputs binary, labels binary").orderBy("h", "lo").toArrow()
+    sequences = [(np.frombuffer(x, np.float32).reshape(len(y), -1).astype(float), np.frombuffer(y, np.uint8).astype(float))
+                 for x, y in zip(windows.column("inputs").to_pylist(), windows.column("labels").to_pylist())]
     model = BiLSTM(PATH + WORDS + NUMBERS)
     if sequences:
         model.fit(sequences)
     return pages.sparkSession.sparkContext.broadcast(model)
 
 
+def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of pages with blocks, the shortest first, in groups whose padded size is bounded."""
+    order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < min(len(order), lo + _SEQUENCES) and (hi + 1 - lo) * lengths[order[hi]] <= CELLS:
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
+
 def _labelled(sequences: list[list], model: BiLSTM) -> list[np.ndarray]:
     """Probabilities of the blocks of each page; pages of similar length go together."""
     out: list[np.ndarray] = [np.zeros(0)] * len(sequences)
-    order = sorted((i for i, s in enumerate(sequences) if s), key=lambda i: len(sequences[i]))
-    for lo in range(0, len(order), _SEQUENCES):
-        mine = order[lo:lo + _SEQUENCES]
-        inputs = vectors([b for i in mine for b in sequences[i]])
-        ends = np.cumsum([len(sequences[i]) for i in mine])
-        parts = np.split(inputs, ends[:-1])
-        x, live, _ = padded([(p, np.zeros(len(p))) for p in parts])
-        p = model.label(x, live)
+    for mine in _groups(np.array([len(s) for s in sequences], int)):
+        lengths = np.array([len(sequences[i]) for i in mine])
+
+        def part(lo: int, hi: int):
+            """Inputs of the steps lo to hi of the group's pages."""
+            found = [sequences[i][lo:hi] for i in mine]
+            inputs = vectors([b for f in found for b in f])
+            live = np.arange(lo, hi)[:, None] < lengths
+            x = np.zeros((hi - lo, len(mine), inputs.shape[1]))
+            x.transpose(1, 0, 2)[live.T] = inputs
+            return x, live
+        p = model.label(part, int(lengths.max()), len(mine))
         for j, i in enumerate(mine):
-            out[i] = p[:len(sequences[i]), j]
+            out[i] = p[:lengths[j], j]
     return out
 
 

@@ -1,10 +1,15 @@
 """A bidirectional LSTM over sequences of block vectors with a logistic output for each block, in
-numpy. Training is meant for a stated, bounded number of sequences; labelling runs inside tasks
-on batches of sequences of similar length."""
+numpy. Training is meant for a stated, bounded number of sequences; labelling runs inside tasks on
+sequences of similar length and walks them in slices: the state is carried forward and backward from slice to
+slice, and of each block only one number is kept between the two walks."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
+SLICE = 1024      # steps that are walked at a time
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
@@ -24,32 +29,51 @@ class BiLSTM:
         self.w["ox"] = rng.normal(0, 0.1, inputs)
         self.w["oc"] = np.zeros(1)
 
-    def _forward(self, x: np.ndarray, live: np.ndarray, side: str):
-        """x: (time, batch, inputs), live: (time, batch, 1). Padding keeps the state."""
-        n, d = x.shape[1], self.hidden
-        h, c = np.zeros((n, d)), np.zeros((n, d))
+    def _walk(self, x: np.ndarray, live: np.ndarray, side: str, state: tuple[np.ndarray, np.ndarray], keep: list | None = None):
+        """x: (time, batch, inputs), live: (time, batch, 1). Padding keeps the state. Returns the outputs and
+        the state at the end; the steps' gates go to `keep`, if given."""
+        d, (h, c) = self.hidden, state
         gates_in = x @ self.w[f"x{side}"] + self.w[f"c{side}"]
-        out, kept = np.zeros((*x.shape[:2], d)), []
+        out = np.zeros((*x.shape[:2], d))
         for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
             z = gates_in[t] + h @ self.w[f"h{side}"]
             i, f, o = (_sigmoid(z[:, k * d:(k + 1) * d]) for k in range(3))
             g = np.tanh(z[:, 3 * d:])
             new = f * c + i * g
             th = np.tanh(new)
-            kept.append((t, i, f, o, g, c, th, h))
+            if keep is not None:
+                keep.append((t, i, f, o, g, c, th, h))
             h = np.where(live[t], o * th, h)
             c = np.where(live[t], new, c)
             out[t] = h
-        return out, kept
+        return out, (h, c)
+
+    def _start(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros((n, self.hidden)), np.zeros((n, self.hidden))
 
     def _logits(self, x: np.ndarray, live: np.ndarray):
-        sides = {s: self._forward(x, live, s) for s in "fb"}
+        sides = {}
+        for s in "fb":
+            kept: list = []
+            sides[s] = self._walk(x, live, s, self._start(x.shape[1]), kept)[0], kept
         both = np.concatenate([sides["f"][0], sides["b"][0]], -1)
         return both @ self.w["o"] + x @ self.w["ox"] + self.w["oc"][0], both, sides
 
-    def label(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Probability of 1 for each (time, batch)."""
-        return _sigmoid(self._logits(x, live[..., None])[0])
+    def label(self, part: Callable[[int, int], tuple[np.ndarray, np.ndarray]], steps: int, n: int) -> np.ndarray:
+        """Probability of 1 for each (time, batch). `part(lo, hi)` gives the inputs (time, batch, ..) of those
+        steps and the mask of what isn't padding; it is asked for each slice twice."""
+        cuts, out, d = range(0, steps, SLICE), np.empty((steps, n)), self.hidden
+        state = self._start(n)
+        for lo in cuts:
+            x, live = part(lo, min(lo + SLICE, steps))
+            got, state = self._walk(x, live[..., None], "f", state)
+            out[lo:lo + SLICE] = got @ self.w["o"][:d]
+        state = self._start(n)
+        for lo in reversed(cuts):
+            x, live = part(lo, min(lo + SLICE, steps))
+            got, state = self._walk(x, live[..., None], "b", state)
+            out[lo:lo + SLICE] += got @ self.w["o"][d:] + x @ self.w["ox"] + self.w["oc"][0]
+        return _sigmoid(out)
 
     def _gradients(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         live3, d = live[..., None], self.hidden

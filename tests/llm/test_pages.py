@@ -8,6 +8,10 @@ from quarry.llm.recurrent import BiLSTM, padded
 SF = "/root/testdata/sf0.01"
 
 
+def label(model, x, live):
+    return model.label(lambda lo, hi: (x[lo:hi], live[lo:hi]), *live.shape)
+
+
 def blocks(html):
     return [b[0] for b in P.leaf_blocks(html)]
 
@@ -50,7 +54,7 @@ def test_gradients_against_differences():
     batch = padded([(rng.normal(size=(4, 5)), rng.integers(0, 2, 4).astype(float)), (rng.normal(size=(2, 5)), np.ones(2))])
 
     def loss():
-        p = model.label(batch[0], batch[1])
+        p = label(model, batch[0], batch[1])
         return -np.where(batch[1], np.log(np.where(batch[2] == 1, p, 1 - p)), 0).sum() / batch[1].sum()
     grad = model._gradients(*batch)
     for k, w in model.w.items():
@@ -70,7 +74,7 @@ def test_padding_does_not_change_a_page():
     a, b = rng.normal(size=(3, 4)), rng.normal(size=(9, 4))
     alone = padded([(a, np.zeros(3))])
     both = padded([(b, np.zeros(9)), (a, np.zeros(3))])
-    assert model.label(alone[0], alone[1])[:, 0] == pytest.approx(model.label(both[0], both[1])[:3, 1])
+    assert label(model, alone[0], alone[1])[:, 0] == pytest.approx(label(model, both[0], both[1])[:3, 1])
 
 
 def test_context_decides_for_equal_blocks():
@@ -84,7 +88,7 @@ def test_context_decides_for_equal_blocks():
         data.append((x, (np.arange(n) > at).astype(float)))
     model = BiLSTM(2, 6).fit(data, epochs=60)
     x, live, y = padded(data)
-    assert ((model.label(x, live) > 0.5) == (y > 0.5))[live].mean() > 0.95
+    assert ((label(model, x, live) > 0.5) == (y > 0.5))[live].mean() > 0.95
 
 
 def structural(html):
@@ -114,3 +118,66 @@ def test_odd_pages(spark):
     assert [r[3] for r in got if r[0] == 4] == [3000 * 27 - 1] * 2
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert P.extract(empty).collect() == []
+
+
+def test_slices_carry_the_state(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = BiLSTM(4, 3)
+    data = padded([(rng.normal(size=(n, 4)), np.zeros(n)) for n in (1, 9, 30)])
+    whole = label(model, data[0], data[1])
+    for size in (1, 7, 29):
+        monkeypatch.setattr("quarry.llm.recurrent.SLICE", size)
+        assert label(model, data[0], data[1])[data[1]] == pytest.approx(whole[data[1]])
+
+
+def test_groups_are_bounded():
+    lengths = np.array([0, 3, 5, 100_000, 3, 0, *[40] * 1000])
+    groups = list(P._groups(lengths))
+    assert sorted(i for g in groups for i in g) == sorted(np.flatnonzero(lengths))
+    assert all(len(g) == 1 or len(g) * lengths[g].max() <= P.CELLS for g in groups)
+
+
+def test_memory_of_a_very_long_page_beside_short_ones():
+    import tracemalloc
+    path = ("body", "main")
+    pages = [[("some words here", path, 0)] * 20 for _ in range(300)] + [[("some words here", path, 0)] * 30_000]
+    model = BiLSTM(P.PATH + P.WORDS + P.NUMBERS)
+    tracemalloc.start()
+    out = P._labelled(pages, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out[-1]) == 30_000 and peak < 60 << 20
+    assert out[-1][15_000] == pytest.approx(out[-1][15_001], abs=1e-3)
+
+
+def test_training_sees_ends_of_long_pages(spark):
+    """Windows come from pages of every length; a page's end is as likely as its beginning."""
+    import pyarrow as pa
+    from quarry.session import ship_package
+    ship_package(spark)
+    pages = ["".join(f"<p>{i} {k}</p>" for k in range(n)) + "<footer>end</footer>" for i, n in enumerate([1, 5, 199, 450, 5000, 30_000])]
+    batch = pa.record_batch({"h": pa.array(range(len(pages)), pa.int64()), "html": pa.array(pages)})
+    drawn = [r for b in P._drawn([batch]) for r in b.to_pylist()]
+    assert [sum(r["h"] == i for r in drawn) for i in range(len(pages))] == [1, 1, 1, 2, 2, 2]
+    assert all(len(r["labels"]) <= P.WINDOW for r in drawn) and max(r["lo"] for r in drawn) > 2000
+    many = [f"<p>{i}</p>" * 500 + "<footer>end</footer>" for i in range(60)]
+    ends = [r for b in P._drawn([pa.record_batch({"h": pa.array(range(60), pa.int64()), "html": pa.array(many)})]) for r in b.to_pylist()]
+    assert 25 < sum(0 in r["labels"] for r in ends) < 60        # the last of three windows holds the footer
+    d = spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    assert P.extract(d).count() == len(pages)
+
+
+def test_pages_without_an_article(spark):
+    """What conventions call main text is found without an article element."""
+    model = P.train(spark.read.parquet(f"{SF}/pages.parquet"))
+    rows = []
+    for i, r in enumerate(spark.read.parquet(f"{SF}/pages.parquet").limit(100).collect()):
+        if "<article>" in r["html"]:
+            rows.append((i, "u", r["html"].replace("<article>", "<div>").replace("</article>", "</div>"), structural(r["html"])))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = {r["page_id"]: r["text"] for r in P.extract(d.drop("want"), model).collect()}
+    shares = []
+    for i, _, _, want in rows:
+        a, b = set(got[i].split("\n")), set(want.split("\n"))
+        shares.append(len(a & b) / max(1, len(a | b)))
+    assert np.mean(shares) > 0.9
