@@ -39,7 +39,8 @@ from quarry.llm import exchange as X
 from quarry.llm import kernel as K
 
 ORDER = 4
-ALPHABET = 1 << 16         # symbols are code points modulo this; 0 is the boundary
+ALPHABET = 1 << 16         # symbols are code points below this; 0 is the boundary
+FAR, PLACES = 0xD800, 0xF900 - 0xD800      # letters beyond share these symbols, which stand for no letter themselves
 UNKNOWN = "und"
 HELD_OUT, CALIBRATION = 5, 25
 HEATS = (1, 2, 5, 10, 20, 50, 100, 200)   # temperatures tried
@@ -68,7 +69,8 @@ def grams(buf: np.ndarray, w: K.Words, pick: np.ndarray) -> tuple[np.ndarray, np
     out = K.gather(buf, w.start[pick], w.end[pick])
     cp = np.frombuffer(out.tobytes().decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
     word = np.cumsum(cp == 0x0A) - (cp == 0x0A)
-    code = np.where(_letters(cp), cp % ALPHABET, 0).astype(np.uint64)
+    symbol = np.where(cp < ALPHABET, cp, FAR + cp % PLACES)
+    code = np.where(_letters(cp), symbol, 0).astype(np.uint64)
     total, back = code.copy(), code
     for n in range(1, ORDER):                            # the symbol n before, if no boundary lies between
         back = np.concatenate([np.zeros(1, np.uint64), back[:-1]])

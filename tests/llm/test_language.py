@@ -172,3 +172,20 @@ def test_nothing_to_learn_from(docs, none):
     assert {(r["lang_pred"], r["score"], r["rejected"]) for r in out} == {("und", 0.0, False)}
     assert L.identify(none).collect() == []
     assert {r["lang_pred"] for r in L.identify(docs).collect()} <= {"en", "und"}
+
+
+def test_letters_beyond_16_bits(spark):
+    """Letters whose code point is a multiple of 65,536 are letters, and astral letters stand for none of the others."""
+    from quarry.session import ship_package
+    ship_package(spark)
+    gothic = "".join(chr(c) for c in range(0x10330, 0x10348))
+    learn = [(i, gothic[i % 20:] + " " + gothic[:9], "got") for i in range(1, 60)] + [(i, "the cat and the hat " * 3, "en") for i in range(100, 160)]
+    asked = [(1000, "\U00010000"), (1001, "\U00020000 \U00020000"), (1002, gothic[3:15]), (1003, "̰̱ 1"), (1004, "the cat")]
+    d = spark.createDataFrame(learn + [(i, t, None) for i, t in asked], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in L.predict(d, L.train(d), keep=("doc_id",)).collect()}
+    assert got[1000] != "und" and got[1001] != "und" and got[1002] == "got" and got[1003] == "und" and got[1004] == "en"
+    t = K.texts(pa.array(["\U00010000", "\U00020000", "a"]))
+    w = K.words(t, ends=True)
+    code, of = L.grams(t.buf, w, np.arange(len(w.h)))
+    last = {int(o): int(c) & 0xFFFF for c, o in zip(code, of) if int(c) & 0xFFFF}
+    assert len(set(last.values())) == 3 and all(0xD800 <= last[i] < 0xF900 for i in (0, 1)) and last[2] == ord("a")
