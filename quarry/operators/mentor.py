@@ -3,8 +3,8 @@ F23, §2.3 J12, J17, §2.1 S12, §2.9 T8 batch twin).
 
 Mentor feedback rows (schema M12): feedback_id, session_id, adapter_id, ts, mtype ∈ {positive,
 negative, correction, enhancement}, rating?, feedback_text, original_response,
-corrected_response?, applied. Sessions are many and small, so per-session windows are the
-natural plan; nothing is collected per session except bounded top-k lists.
+corrected_response?, applied. Phases come from a scan over key ranges, so a long session isn't
+one task's work; nothing is collected per session except bounded top-k lists.
 """
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.plans.ordinal import scan
 from quarry.plans.topk import ranked_list, top_terms
 
 # ---------------------------------------------------------------------------------------
@@ -62,20 +63,20 @@ def feedback_ids(mfb: DataFrame) -> DataFrame:
 def session_phase(mfb: DataFrame) -> DataFrame:
     """The phase after each feedback row: initial until 5 rows, feedback until 10, then
     validation when the score over the first 10 rows is ≥ 0.7, else refinement (the score is
-    only recomputed when feedback is applied, so refinement stays). Running count and a
-    running weighted score over a per-session window, no iteration."""
-    w = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    only recomputed when feedback is applied, so refinement stays). Running count and weighted
+    sums, and the sums over a session's first rows, come from one scan over key ranges, so a session
+    that holds most rows is spread over tasks. `decision_score` is null before the decision."""
     wt, ws = weighted_parts()
-    x = (mfb.withColumn("feedback_count", F.count(F.lit(1)).over(w))
-         .withColumn("_w", F.sum(wt).over(w)).withColumn("_ws", F.sum(ws).over(w))
-         .withColumn("running_score", F.when(F.col("_w") > 0, F.col("_ws") / F.col("_w")).otherwise(F.lit(0.0))))
-    at = (x.filter(F.col("feedback_count") == PHASE_DECIDE_AT)
-          .select("session_id", F.col("running_score").alias("decision_score")))
-    y = x.join(at, "session_id", "left")
+    x = scan(mfb, ["session_id"], ORDER, "feedback_count", {"_w": wt, "_ws": ws}, first=PHASE_DECIDE_AT, heads={"_dw": wt, "_dws": ws})
+
+    def mean(total, weight):
+        return F.when(F.col(weight) > 0, F.col(total) / F.col(weight)).otherwise(F.lit(0.0))
+    y = (x.withColumn("running_score", mean("_ws", "_w"))
+         .withColumn("decision_score", F.when(F.col("feedback_count") >= PHASE_DECIDE_AT, mean("_dws", "_dw"))))
     phase = (F.when(F.col("feedback_count") < PHASE_FEEDBACK_AT, "initial")
              .when(F.col("feedback_count") < PHASE_DECIDE_AT, "feedback")
              .when(F.col("decision_score") >= VALIDATION_SCORE, "validation").otherwise("refinement"))
-    return y.withColumn("phase", phase).drop("_w", "_ws")
+    return y.withColumn("phase", phase).drop("_w", "_ws", "_dw", "_dws")
 
 
 def final_phase(mfb: DataFrame) -> DataFrame:

@@ -4,17 +4,23 @@ J14, J18, J19, §2.4 A13–A16, A28, §2.5 W1, W3, W8–W11, §2.8 F19, §2.1 S8
 Registry tables (models, deployments, jobs, cycles) are metadata-sized: one row per model or
 deployment, so per-domain windows over them are fine. Request logs are data-sized: their
 aggregates are partial/final hash aggregates and their percentiles come from counts of distinct
-values in buckets (no group is collected into one task).
+values, narrowed to small buckets first (no group is collected into one task).
 """
 from __future__ import annotations
 
+import json
 from typing import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.text import whole_days_between
 from quarry.operators.feedback import pending
+from quarry.plans.ordinal import scan
+from quarry.plans.tables import written
+from quarry.plans.topk import top_k_rows
 
 PROMOTION_THRESHOLDS = {
     # FIXED VALUES: default promotion thresholds.
@@ -38,39 +44,50 @@ def exact_percentile(df: DataFrame, group_by: Sequence[str], value: str, q: floa
     return exact_percentiles(df, group_by, value, {out: q})
 
 
-BUCKETS = 64
+BUCKETS = 64             # parts that one step of the descent cuts a range of values into
+RANKED = 100_000         # distinct values that are ranked in one window, at most about
+
+
+def _narrowed(counts: DataFrame, keys: list[str], spots: DataFrame, level: int) -> tuple[DataFrame, list[str], DataFrame]:
+    """One step of the descent: cut the values of each group (`keys`) into BUCKETS by approximate
+    quantiles, and keep the buckets that hold a wanted rank. A kept bucket is a group of the next step,
+    with ranks counted from its first row."""
+    b = f"_b{level}"
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_bounds"))
+    dealt = counts.join(bounds, keys).withColumn(b, F.size(F.filter("_bounds", lambda x: x < F.col("_v")))).drop("_bounds")
+    sums = dealt.groupBy(*keys, b).agg(F.sum("_c").alias("_s"))          # BUCKETS rows for each group
+    sums = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy(b)) - F.col("_s"))
+    inside = (F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_s"))
+    spots = spots.join(sums, keys).filter(inside).withColumn("_k", F.col("_k") - F.col("_before")).drop("_before", "_s")
+    return dealt.join(spots.select(*keys, b).distinct(), [*keys, b]), [*keys, b], spots
 
 
 def exact_percentiles(df: DataFrame, group_by: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation per group, in one pass for all of `wanted` (name →
-    q). Equal values are counted first, on the map side, so ties cost one row. The distinct values of
-    a group are cut into BUCKETS by approximate quantiles; the buckets' counts say which of them hold
-    the two rows around q·(n−1), and only there are values ranked. No group is sorted by one task."""
-    keys = list(group_by)
-    counts = (df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    bounds = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_bounds"), F.sum("_c").alias("_n"))
-    def per_group(x):
-        return counts.join(x, keys) if keys else counts.crossJoin(x)      # x has one row for each group
-    dealt = per_group(bounds).withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
-    sums = dealt.groupBy(*keys, "_b", "_n").agg(F.sum("_c").alias("_s"))  # BUCKETS rows for each group
-    before = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_s")
-    rank = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), (F.lit(q) * (F.col("_n") - 1)).alias("r")) for o, q in wanted.items()]))
-    spots = (sums.withColumn("_before", before).withColumn("_w", rank)
-             .filter((F.floor("_w.r") < F.col("_before") + F.col("_s")) & (F.ceil("_w.r") >= F.col("_before")))
-             .select(*keys, "_b", "_before", "_w"))
-    inside = dealt.join(spots.select(*keys, "_b", "_before").distinct(), [*keys, "_b"])
-    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
-    placed = inside.select(*keys, "_b", "_v", upto.alias("_upto"), (upto - F.col("_c")).alias("_from"))
-    at = placed.join(spots.select(*keys, "_b", "_w"), [*keys, "_b"])
-
-    def row(k):      # the value at position k, if this row holds it
-        return F.when((F.col("_from") <= k) & (k < F.col("_upto")), F.col("_v"))
-    picked = at.groupBy(*keys, F.col("_w.o").alias("_o"), F.col("_w.r").alias("_r")).agg(
-        F.max(row(F.floor("_w.r"))).alias("_lo"), F.max(row(F.ceil("_w.r"))).alias("_hi"))
-    picked = picked.withColumn("_p", F.col("_lo") + (F.col("_r") - F.floor("_r")) * (F.col("_hi") - F.col("_lo")))
-    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_o") == o, F.col("_p"))).alias(o) for o in wanted])
+    """Exact percentiles with linear interpolation per group, for all of `wanted` (name → q) together.
+    Equal values are counted first, on the map side, so ties cost one row; the counts are written once.
+    Groups with at most RANKED distinct values are ranked by one window. With more, a descent narrows
+    the ranks around q·(n−1) down to buckets of about RANKED values first: each step cuts a range
+    BUCKETS-fold, and the number of steps follows from the largest group's distinct values."""
+    keys = list(group_by) or ["_all"]
+    df = df if group_by else df.withColumn("_all", F.lit(0))
+    counts = written(df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+                     .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), "value-counts")
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    most = sizes.agg(F.max("_d")).first()[0] or 0
+    rank = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("r")) for o, q in wanted.items()]))
+    wants = sizes.filter("_n > 0").withColumn("_w", rank).select(*keys, "_w.o", "_w.r", F.explode(F.array(F.floor("_w.r"), F.ceil("_w.r"))).alias("_k0"))
+    spots, at, level = wants.select(*keys, "_k0").distinct().withColumn("_k", F.col("_k0")), list(keys), 0
+    narrow = counts
+    while most > RANKED:
+        narrow, at, spots = _narrowed(narrow, at, spots, level)
+        most, level = most // (BUCKETS - 12) + 1, level + 1              # a bucket may be a little over its share
+    upto = F.sum("_c").over(Window.partitionBy(*at).orderBy("_v"))
+    placed = narrow.select(*at, "_v", upto.alias("_upto"), (upto - F.col("_c")).alias("_from"))
+    found = placed.join(spots, at).filter((F.col("_from") <= F.col("_k")) & (F.col("_k") < F.col("_upto"))).select(*keys, "_k0", "_v")
+    both = wants.join(found, [*keys, "_k0"]).groupBy(*keys, "o", "r").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    both = both.withColumn("_p", F.col("_lo") + (F.col("r") - F.floor("r")) * (F.col("_hi") - F.col("_lo")))
+    found = both.groupBy(*keys).agg(*[F.max(F.when(F.col("o") == o, F.col("_p"))).alias(o) for o in wanted])
+    return found.select(*group_by, *wanted)
 
 
 # ----------------------------------------------------------------------------- A13, A14, A28
@@ -196,11 +213,9 @@ def latest_deployment(deployments: DataFrame) -> DataFrame:
 
 def promotion_history(deployments: DataFrame) -> DataFrame:
     """Successful deployments per domain in time order; each promotes its model and
-    deprecates the one active before it (lag)."""
+    deprecates the one active before it. A scan over key ranges: no task sorts a whole domain."""
     d = deployments.filter(F.col("status") == "deployed")
-    w = Window.partitionBy("domain").orderBy("deployed_at", "deployment_id")
-    return (d.withColumn("replaced_model", F.lag("model_id").over(w))
-            .withColumn("promotion_no", F.row_number().over(w)))
+    return scan(d, ["domain"], ["deployed_at", "deployment_id"], "promotion_no", before={"replaced_model": "model_id"})
 
 
 def active_at(deployments: DataFrame, at) -> DataFrame:
@@ -369,6 +384,80 @@ def merge_registry(old: DataFrame, new: DataFrame, key: str = "model_id", ts: st
     return u.groupBy(key).agg(last.alias("_r")).select(key, "_r.*").drop("_src")
 
 
+def registry_entries(df: DataFrame, section: str, key: str) -> DataFrame:
+    """The rows of a table as entries (section, key, body) of a registry document: the other columns
+    as a JSON object, nulls left out."""
+    rest = [F.col(c) for c in df.columns if c != key]
+    return df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rest)).alias("body"))
+
+
+def _deep(old, new):
+    """Members of both objects, the new one's where both have something else than objects."""
+    if isinstance(old, dict) and isinstance(new, dict):
+        return old | {k: _deep(old[k], v) if k in old else v for k, v in new.items()}
+    return new
+
+
+@F.pandas_udf(T.StringType())
+def _merged_json(old: pd.Series, new: pd.Series) -> pd.Series:
+    def one(a, b):
+        if a is None or b is None:
+            return a if b is None else b
+        try:
+            return json.dumps(_deep(json.loads(a), json.loads(b)), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        except ValueError:      # text that isn't JSON is a value like any other
+            return b
+    return pd.Series([one(a, b) for a, b in zip(old, new)], dtype=object)
+
+
+def merge_entries(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries of `new` merged into those of `old` by (section, key): objects merge member by member at
+    every depth, unknown members stay, anything else (numbers, lists, null) is replaced by the later value.
+    Entries of one side alone are kept as they are."""
+    a, b = (x.select("section", "key", F.col("body").alias(n)) for x, n in ((old, "_old"), (new, "_new")))
+    b = b.select(F.col("section").alias("_s"), F.col("key").alias("_k"), "_new")
+    j = a.join(b, (F.col("section") == F.col("_s")) & F.col("key").eqNullSafe(F.col("_k")), "full_outer")
+    both = F.col("_old").isNotNull() & F.col("_new").isNotNull()
+    body = F.when(both, _merged_json("_old", "_new")).otherwise(F.coalesce("_new", "_old"))
+    return j.select(F.coalesce("section", "_s").alias("section"), F.coalesce("key", "_k").alias("key"), body.alias("body"))
+
+
+_LEAVES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]))
+
+
+@F.pandas_udf(_LEAVES)
+def _leaves_json(body: pd.Series) -> pd.Series:
+    def walk(x, path):
+        members = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else None
+        if members is None:
+            return [{"path": ".".join(path), "value": x if isinstance(x, str) else json.dumps(x)}]
+        return [y for k, v in members for y in walk(v, [*path, str(k)])]
+    return pd.Series([None if b is None else walk(json.loads(b), []) for b in body], dtype=object)
+
+
+def leaves(body) -> Column:
+    """Every value inside a JSON text with its dotted path ('' for a value alone)."""
+    return _leaves_json(body)
+
+
+def registry_document(entries: DataFrame) -> DataFrame:
+    """All entries as one JSON document (one row, `value`), sections and keys in order. A registry is
+    metadata (a row per model, deployment list, configuration, template, adapter), so its document is
+    written by one task."""
+    quoted = F.to_json(F.struct(F.col("key").alias("k")))
+    name = F.substring(quoted, F.lit(6), F.length(quoted) - 6)          # {"k":"..."} → "..."
+    member = F.concat(name, F.lit(":"), F.col("body"))
+    parts = entries.select("section", F.col("key").isNull().alias("_alone"), F.struct("key", member.alias("m")).alias("_m"), "body")
+    whole = parts.groupBy("section").agg(
+        F.first(F.when(F.col("_alone"), F.col("body")), ignorenulls=True).alias("_value"),
+        F.array_sort(F.collect_list(F.when(~F.col("_alone"), F.col("_m")))).alias("_members"))
+    objects = F.concat(F.lit("{"), F.array_join(F.transform("_members", lambda x: x["m"]), ","), F.lit("}"))
+    head = F.to_json(F.struct(F.col("section").alias("k")))
+    body = F.concat(F.substring(head, F.lit(6), F.length(head) - 6), F.lit(":"), F.coalesce("_value", objects))
+    lines = whole.agg(F.array_sort(F.collect_list(F.struct("section", body.alias("b")))).alias("_s"))
+    return lines.select(F.concat(F.lit("{"), F.array_join(F.transform("_s", lambda x: x["b"]), ","), F.lit("}")).alias("value"))
+
+
 # ----------------------------------------------------------------------------- A15, A16, W3, T11, J14, S10
 def learning_metrics(cycles: DataFrame) -> DataFrame:
     """Cycles, successful cycles, mean improvement of the successful ones, last cycle."""
@@ -394,15 +483,15 @@ def learning_status(cycles: DataFrame, domains: DataFrame, as_of) -> DataFrame:
 def performance_decline(history: DataFrame, score: str = "overall_score", order_by: Sequence[str] = ("day",),
                         flag: float = 0.05, trigger: float = 0.1) -> DataFrame:
     """Mean of the last 5 scores against the 5 before (empty older window → 0, P-kept
-    defect), decline = max(0, older − recent); fewer than 2 points → 0. Positions from the
-    end come from a per-domain window (one history row per domain and day)."""
-    w = Window.partitionBy("domain").orderBy(*[F.col(c).desc() for c in order_by])
-    h = history.withColumn("_k", F.row_number().over(w))
-    g = h.groupBy("domain").agg(
-        F.count(F.lit(1)).alias("points"),
+    defect), decline = max(0, older − recent); fewer than 2 points → 0. The last ten rows of a domain
+    come from a top-k that starts in each task, so a long history isn't sorted."""
+    last = top_k_rows(history.select("domain", score, *order_by), ["domain"], [F.col(c).desc() for c in order_by], 10, "_k")
+    n = history.groupBy("domain").agg(F.count(F.lit(1)).alias("points"))
+    g = last.groupBy("domain").agg(
         F.avg(F.when(F.col("_k") <= 5, F.col(score))).alias("recent_avg"),
         (F.coalesce(F.sum(F.when((F.col("_k") > 5) & (F.col("_k") <= 10), F.col(score))), F.lit(0.0)) /
          F.greatest(F.count_if((F.col("_k") > 5) & (F.col("_k") <= 10)), F.lit(1))).alias("older_avg"))
+    g = n.join(g, "domain")
     dec = F.when(F.col("points") < 2, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("older_avg") - F.col("recent_avg")))
     return (g.withColumn("decline", dec)
             .withColumn("trend", F.when(F.col("decline") > flag, "declining").otherwise("stable"))

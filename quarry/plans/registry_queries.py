@@ -10,8 +10,10 @@ from quarry.operators import registry as ro
 from quarry.operators import training as tr
 from quarry.plans.catalog import query
 from quarry.plans.feedback_queries import AS_OF_SQL
+from quarry.sources.files import read_registry_document, write_registry_document
 from quarry.sources.views import (VIEW_DEPS, VIEW_SQL, _domain_of, feedback_view, mentor_view, requests_view, table,
                                   with_views)
+from quarry.streaming.jobs import stream_root
 
 TEST_THRESHOLDS = {"min_feedback_score": 2.93, "max_error_rate": 0.205, "max_latency_p95": 1500.0,
                    "min_usage_threshold": 800}
@@ -449,6 +451,61 @@ def f_registry_merge(spark, sf):
     return ro.merge_registry(old, new).select("model_id", "status", "last_updated")
 
 
+_MODEL_SQL = ("CASE user_id % 4 WHEN 0 THEN 'technical' WHEN 1 THEN 'medical' WHEN 2 THEN 'legal' ELSE 'financial' END"
+              " || '_m' || CAST(user_id % 3 AS VARCHAR)")
+
+
+@query("f_registry_document", f"""
+WITH e AS (SELECT *, {_MODEL_SQL} AS model FROM events),
+m AS (SELECT model, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, max(event_id) AS last,
+        max(event_id) FILTER (WHERE event_type = 'purchase') AS sold FROM e GROUP BY model),
+s AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE lang = 'de') AS de FROM documents GROUP BY source),
+a AS (SELECT user_id % 5 AS i, count(*) AS n FROM events GROUP BY 1)
+SELECT 'models' AS section, model AS key, 'metrics.errors' AS path, errors::VARCHAR AS value FROM m WHERE errors > 0
+UNION ALL SELECT 'models', model, 'metrics.requests', n::VARCHAR FROM m
+UNION ALL SELECT 'models', model, 'status', CASE WHEN errors > 0 THEN 'failed' ELSE 'deployed' END FROM m
+UNION ALL SELECT 'deployments', model, 'at.0', coalesce(sold, last)::VARCHAR FROM m
+UNION ALL SELECT 'templates', source, 'uses.all', n::VARCHAR FROM s
+UNION ALL SELECT 'templates', source, 'uses.de', de::VARCHAR FROM s WHERE de > 0
+UNION ALL SELECT 'adapters', 'ad' || i, 'uses', (n + 1)::VARCHAR FROM a
+UNION ALL SELECT 'thresholds', 'min_feedback_score', '', '4.5'
+UNION ALL SELECT 'thresholds', 'max_error_rate', '', '0.05'
+UNION ALL SELECT 'last_saved', NULL, '', 'later'""")
+def f_registry_document(spark, sf):
+    """Two registry documents of all kinds, written from the tables, read and merged (the second has
+    other members of models and templates, and replaces lists and numbers), written as one document again and
+    read back; one row for each value."""
+    ev = table(spark, sf, "events").withColumn("model", F.concat(_domain_of(F.col("user_id")), F.lit("_m"), (F.col("user_id") % 3).cast("string")))
+    kind = F.col("event_type")
+    m = ev.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(kind == "error").alias("errors"), F.max("event_id").alias("last"),
+                                F.max(F.when(kind == "purchase", F.col("event_id"))).alias("sold"))
+    s = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "de").alias("de"))
+    a = ev.groupBy((F.col("user_id") % 5).alias("i")).agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("ad"), F.col("i").cast("string")).alias("i"), "n")
+    bad = m.filter("errors > 0")
+
+    def document(parts, *alone):
+        found = spark.createDataFrame(list(alone), "section string, key string, body string")
+        for df, section, key in parts:
+            found = found.unionByName(ro.registry_entries(df, section, key))
+        return found
+    first = document([(m.select("model", F.lit("deployed").alias("status"), F.struct(F.col("n").alias("requests")).alias("metrics")), "models", "model"),
+                      (m.select("model", F.array("last").alias("at")), "deployments", "model"),
+                      (s.select("source", F.struct(F.col("n").alias("all")).alias("uses")), "templates", "source"),
+                      (a.select("i", F.col("n").alias("uses")), "adapters", "i")],
+                     ("thresholds", "min_feedback_score", "4.0"), ("thresholds", "max_error_rate", "0.05"), ("last_saved", None, '"earlier"'))
+    second = document([(bad.select("model", F.lit("failed").alias("status"), F.struct("errors").alias("metrics")), "models", "model"),
+                       (m.filter("sold is not null").select("model", F.array("sold").alias("at")), "deployments", "model"),
+                       (s.filter("de > 0").select("source", F.struct("de").alias("uses")), "templates", "source"),
+                       (a.select("i", (F.col("n") + 1).alias("uses")), "adapters", "i")],
+                      ("thresholds", "min_feedback_score", "4.5"), ("last_saved", None, '"later"'))
+    root = stream_root(spark)
+    write_registry_document(first, f"{root}/first")
+    write_registry_document(second, f"{root}/second")
+    write_registry_document(read_registry_document(spark, f"{root}/first", f"{root}/second"), f"{root}/merged")
+    back = read_registry_document(spark, f"{root}/merged")
+    return back.select("section", "key", F.explode(ro.leaves("body")).alias("x")).select("section", "key", "x.path", "x.value")
+
+
 # ----------------------------------------------------------------------------- W8–W11
 @query("f_latest_deployment", with_views("""
 SELECT model_id, arg_max(deployment_id, deployed_at) AS latest_deployment_id, arg_max(status, deployed_at) AS latest_status,

@@ -8,6 +8,7 @@ domain → list of feedback). Readers take explicit schemas (no inference pass o
 """
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,6 +146,63 @@ def read_jsonl(spark: SparkSession, path: str,
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
+# ----------------------------------------------------------------------------- S19
+def named_files(spark: SparkSession, folder: str, max_bytes: int = 256 << 20) -> DataFrame:
+    """The files below a folder: name (path from the folder), length, content. A file that vanished
+    meanwhile or can't be read has a null content instead of ending the job; so has one longer than
+    `max_bytes`, which isn't read. Listing and contents are two scans: the first reads no bytes. Spark's
+    readers don't list files without a byte, so these count as not there."""
+    def scan():
+        return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(folder))
+    base = re.sub("^[a-z0-9]+:/*|^/*", "", folder.rstrip("/"))
+    name = F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")
+    listed = scan().select(name.alias("name"), "length")
+    content = scan().filter(F.col("length") <= max_bytes).select(name.alias("name"), "content")
+    return listed.join(content, "name", "left")
+
+
+# ----------------------------------------------------------------------------- S12
+PROFILE_SCHEMA = ("name string, domain string, description string, decision_patterns array<string>, case_studies array<string>, "
+                  "communication_style string, metadata map<string,string>")
+
+
+def read_profiles(spark: SparkSession, folder: str, builtin: DataFrame | None = None, schema: T.StructType | str = PROFILE_SCHEMA) -> DataFrame:
+    """One JSON document per profile in a folder, over the built-in ones: the later file (by name)
+    wins for a name, any file over a built-in profile. Documents without a name are left out."""
+    read = (spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+            .filter(F.col("name").isNotNull()).withColumn("_file", F.col("_metadata.file_path")))
+    payload = [c for c in read.columns if c not in ("name", "_file")]
+    last = read.groupBy("name").agg(F.max_by(F.struct(*payload), "_file").alias("_p")).select("name", "_p.*")
+    if builtin is None:
+        return last
+    rest = builtin.join(last.select("name"), "name", "left_anti")
+    return last.unionByName(rest, allowMissingColumns=True)
+
+
+# ----------------------------------------------------------------------------- S14 history and metrics
+PERFORMANCE_SCHEMA = "domain string, model_id string, recorded_at timestamp, overall_score double, metrics map<string,double>"
+
+
+def write_performance(history: DataFrame, path: str) -> None:
+    """Append rows of the performance history, one folder per domain."""
+    (history.select("domain", "model_id", "recorded_at", "overall_score", "metrics")
+     .write.mode("append").partitionBy("domain").json(path))
+
+
+def read_performance(spark: SparkSession, path: str) -> DataFrame:
+    """The history with its schema; a filter on domain reads that domain's folder alone."""
+    return spark.read.schema(PERFORMANCE_SCHEMA).json(path)
+
+
+def latest_metrics(history: DataFrame) -> DataFrame:
+    """The current metrics per domain and model: for each name, the latest value recorded."""
+    one = history.select("domain", "model_id", "recorded_at", F.explode("metrics").alias("metric", "value"))
+    last = one.groupBy("domain", "model_id", "metric").agg(F.max_by("value", F.struct("recorded_at", "value")).alias("value"))
+    return last.groupBy("domain", "model_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+
+
 # ----------------------------------------------------------------------------- S8, S10
 def write_registry(tables: dict[str, DataFrame], path: str) -> None:
     """S8 export: one folder per kind (models, deployments, configs, templates, adapters)."""
@@ -157,6 +215,30 @@ def read_registry(spark: SparkSession, path: str, kinds: Sequence[str]) -> dict[
     return {k: spark.read.parquet(f"{path.rstrip('/')}/{k}") for k in kinds}
 
 
+def read_registry_document(spark: SparkSession, *paths: str) -> DataFrame:
+    """Registry documents as entries (section, key, body): each member of a section that is an object is
+    an entry, other members of the document have no key. `body` is JSON text, whatever it holds. Of several
+    documents the later ones are merged into the earlier."""
+    from quarry.operators.registry import merge_entries
+    found = None
+    for path in paths:
+        # values stay variants until their JSON text is taken, so strings keep their quotes
+        raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,variant>")).alias("section", "_b"))
+        text = F.to_json("_b")
+        is_object = text.startswith("{")
+        members = raw.filter(is_object).select("section", F.explode(F.from_json(text, "map<string,variant>")).alias("key", "_v"))
+        alone = raw.filter(~is_object | F.col("_b").isNull()).select("section", F.lit(None).cast("string").alias("key"), F.col("_b").alias("_v"))
+        one = members.unionByName(alone).select("section", "key", F.coalesce(F.to_json("_v"), F.lit("null")).alias("body"))
+        found = one if found is None else merge_entries(found, one)
+    return found
+
+
+def write_registry_document(entries: DataFrame, path: str) -> None:
+    """One JSON document of all entries, as one text file in the folder `path`."""
+    from quarry.operators.registry import registry_document
+    registry_document(entries).write.mode("overwrite").text(path)
+
+
 def write_cycles(cycles: DataFrame, path: str) -> None:
     """Append learning cycles to the history, which is kept whole."""
     cycles.write.mode("append").json(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.plans.ordinal import running_sum, with_ordinal
+from quarry.plans.ordinal import running_sum, with_ordinal, with_range
 from quarry.plans.topk import top_terms
 
 
@@ -33,8 +33,7 @@ def test_ordinal_needs_no_checkpoint_and_spreads_a_hot_group(spark):
     assert "LogicalRDD" not in got._jdf.queryExecution().analyzed().toString()
     assert got.groupBy("g").agg(F.max("o").alias("m"), F.count_distinct("o").alias("n")).orderBy("g").collect() == \
         [("hot", 17_999, 18_000), ("rare", 1_999, 2_000)]
-    from quarry.plans.ordinal import _range_of
-    sizes = [r["count"] for r in df.groupBy(_range_of(df, [F.col("g"), F.col("k")], 16).alias("r")).count().collect()]
+    sizes = [r["count"] for r in with_range(df, ["g", "k"], 16).groupBy("_q_range").count().collect()]
     assert len(sizes) > 12 and max(sizes) < 3 * 20_000 / 16
 
 
