@@ -1,19 +1,19 @@
 """Scalar text functions as Spark column expressions.
 
-All of them are built-in expressions (higher-order array functions included), so they run
-inside the JVM on each row: no Python on the executors and no shuffle. Lexicons and
-thresholds are parameters.
+Built-in expressions (higher-order array functions included), which run inside the JVM on each row, but
+for the word extractors (F1–F3), which work on whole Arrow columns (`columnar.py`). None shuffles.
+Lexicons and thresholds are parameters.
 """
 from __future__ import annotations
 
-from collections import Counter
+from functools import lru_cache
 from typing import Mapping, Sequence
 
-import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import columnar
 from quarry.functions.lexicons import (CONTENT_DOMAIN_TERMS, DOMAIN_ORDER, FEEDBACK_CONCEPTS,
                                        FILENAME_DOMAIN_PATTERNS, FILENAME_DOMAIN_TERMS,
                                        KEYWORD_STOPWORDS, KEYWORD_STRIP, KNOWLEDGE_CONCEPTS,
@@ -54,37 +54,18 @@ def keywords(text, n: int = 10, stopwords: Sequence[str] = KEYWORD_STOPWORDS,
     """the n most frequent words longer than 4 characters (tested on the raw token, P2),
     stop words removed, `.,!?;:` stripped from both ends; ties by first occurrence (P3).
 
-    A per-document count with no cross-row dependency, so it stays narrow (no shuffle). It
-    runs as an Arrow-batched pandas UDF: measured at sf0.1 (10k documents, 25 MB of text)
-    it takes 5 s against 65 s for the all-JVM higher-order-function form below (interpreted
-    lambdas) and 11 s for explode + group + rank (which also shuffles every distinct
-    (document, word) pair). The UDF body is a few lines of Python over each text.
+    A per-document count with no cross-row dependency, so it stays narrow (no shuffle). It runs over whole
+    Arrow columns (`columnar.frequent_words`): the all-JVM form below takes an order of magnitude longer
+    (interpreted lambdas), and explode + group + rank shuffles every distinct (document, word) pair.
     """
-    return _keywords_udf(n, tuple(stopwords), min_len)(_c(text))
-
-
-_KW_UDFS: dict = {}
+    return _keywords_udf(n, tuple(stopwords), min_len)(F.lower(_c(text)))
 
 
+@lru_cache(None)
 def _keywords_udf(n: int, stopwords: tuple, min_len: int):
-    key = (n, stopwords, min_len)
-    if key not in _KW_UDFS:
-        stop = frozenset(stopwords)
-        strip = KEYWORD_STRIP
-
-        @F.pandas_udf("array<string>")
-        def _kw(texts: pd.Series) -> pd.Series:
-            out = []
-            for t in texts:
-                if t is None:
-                    out.append([])
-                    continue
-                c = Counter(w.strip(strip) for w in t.lower().split()
-                            if len(w) >= min_len and w not in stop)
-                out.append([w for w, _ in c.most_common(n)])
-            return pd.Series(out)
-        _KW_UDFS[key] = _kw
-    return _KW_UDFS[key]
+    def run(texts: pa.Array) -> pa.Array:
+        return columnar.frequent_words(texts, n, stopwords, min_len, KEYWORD_STRIP)
+    return F.arrow_udf(run, "array<string>")
 
 
 def keywords_jvm(text, n: int = 10, stopwords: Sequence[str] = KEYWORD_STOPWORDS,
@@ -149,50 +130,31 @@ def feedback_keywords(*cols, n: int = 10, min_len: int = 5, joined: bool = False
     """first n all-letter words longer than 4 of the joined non-empty texts, lower-cased,
     duplicates kept. `joined=True`: the single column is already the joined lower text.
 
-    Arrow-batched pandas UDF (Python's own `split` / `isalpha`): measured at sf0.1 (100k rows)
-    5.4 s against 16.2 s for the one-regex JVM form `feedback_keywords_jvm`."""
+    Runs over whole Arrow columns (`columnar.first_letter_words`)."""
     text = _c(cols[0]) if joined else _joined_lower(cols)
     return _feedback_kw_udf(n, min_len)(text)
 
 
-_FKW_UDFS: dict = {}
-
-
+@lru_cache(None)
 def _feedback_kw_udf(n: int, min_len: int):
-    key = (n, min_len)
-    if key not in _FKW_UDFS:
-        @F.pandas_udf("array<string>")
-        def _fkw(texts: pd.Series) -> pd.Series:
-            return pd.Series([[] if t is None else
-                              [w for w in t.split() if len(w) >= min_len and w.isalpha()][:n] for t in texts])
-        _FKW_UDFS[key] = _fkw
-    return _FKW_UDFS[key]
-
-
-_FEAT_UDFS: dict = {}
+    def run(texts: pa.Array) -> pa.Array:
+        return columnar.first_letter_words(texts, n, min_len)
+    return F.arrow_udf(run, "array<string>")
 
 
 def feedback_features(joined, lexicon: Mapping[str, Sequence[str]] = FEEDBACK_CONCEPTS,
                       n_keywords: int = 10, n_concepts: int = 5, min_len: int = 5) -> Column:
-    """F2 + F3 in one Arrow-batched pass over the joined lower-cased text: struct(keywords,
-    concepts). The text crosses to Python once; measured at sf0.1 this halves the feature cost
-    against F2 in Python plus 12 JVM substring scans for F3."""
-    terms = tuple(t for ts in lexicon.values() for t in ts)
-    key = (terms, n_keywords, n_concepts, min_len)
-    if key not in _FEAT_UDFS:
-        @F.pandas_udf("keywords array<string>, concepts array<string>")
-        def _feat(texts: pd.Series) -> pd.DataFrame:
-            kws, cps = [], []
-            for t in texts:
-                if t is None:
-                    kws.append([])
-                    cps.append([])
-                    continue
-                kws.append([w for w in t.split() if len(w) >= min_len and w.isalpha()][:n_keywords])
-                cps.append([c for c in terms if c in t][:n_concepts])
-            return pd.DataFrame({"keywords": kws, "concepts": cps})
-        _FEAT_UDFS[key] = _feat
-    return _FEAT_UDFS[key](_c(joined))
+    """F2 + F3 in one pass over the Arrow column of joined lower-cased texts: struct(keywords,
+    concepts). The text crosses to Python once."""
+    return _features_udf(tuple(t for ts in lexicon.values() for t in ts), n_keywords, n_concepts, min_len)(_c(joined))
+
+
+@lru_cache(None)
+def _features_udf(terms: tuple, n_keywords: int, n_concepts: int, min_len: int):
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([columnar.first_letter_words(texts, n_keywords, min_len),
+                                           columnar.first_terms(texts, terms, n_concepts)], names=["keywords", "concepts"])
+    return F.arrow_udf(run, "keywords array<string>, concepts array<string>")
 
 
 def feedback_keywords_jvm(*cols, n: int = 10, min_len: int = 5, joined: bool = False) -> Column:
@@ -291,6 +253,30 @@ def slug(x) -> Column:
     return F.replace(F.lower(_c(x)), F.lit(" "), F.lit("-"))
 
 
+def slug_underscored(x) -> Column:
+    """lower-case, spaces to underscores (names of profiles in ids)."""
+    return F.replace(F.lower(_c(x)), F.lit(" "), F.lit("_"))
+
+
+def _seconds(at) -> Column:
+    return F.unix_seconds(_c(at).cast("timestamp")).cast("string")
+
+
+def deployment_id(model_id, at) -> Column:
+    """`deploy_{model}_{seconds}`."""
+    return F.concat(F.lit("deploy_"), _c(model_id), F.lit("_"), _seconds(at))
+
+
+def job_id(kind: str, domain, at) -> Column:
+    """`{kind}_{domain}_{seconds}`; kinds are domain_training and adaptive_retraining."""
+    return F.concat(F.lit(f"{kind}_"), _c(domain), F.lit("_"), _seconds(at))
+
+
+def session_id(adapter_id, at) -> Column:
+    """`mentor_{adapter}_{yyyyMMdd_HHmmss}`."""
+    return F.concat(F.lit("mentor_"), _c(adapter_id), F.lit("_"), F.date_format(_c(at), "yyyyMMdd_HHmmss"))
+
+
 def mask_secret(x) -> Column:
     """first 4, stars, last 4; all stars when 8 characters or fewer."""
     v = _c(x)

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.functions.lexicons import FEEDBACK_CONCEPTS
 from quarry.plans.ordinal import running_sum, with_ordinal
+from quarry.plans.tables import written
 from quarry.plans.topk import ranked_list, top_k_rows, top_terms
 
 ARRIVAL = ["ts", "feedback_id"]
@@ -128,15 +129,8 @@ def type_distribution(fb: DataFrame, group_by: Sequence[str] = ("domain",)) -> D
     return fb.groupBy(*group_by, "feedback_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def suggestions(fb: DataFrame, group_by: Sequence[str] = ("domain",), low_share: float = 0.3,
-                min_corrections: int = 10, lexicon=FEEDBACK_CONCEPTS) -> DataFrame:
-    """Improvement suggestions per group, at most 5, as an array in rule order."""
-    f = _with_features(fb, lexicon)
-    r = F.col("rating")
-    base = f.groupBy(*group_by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(_rating_truthy(r) & (r <= 2.0)).alias("_low"),
-        F.count_if(_nonempty(F.col("correction"))).alias("_corr"))
+def _suggested(base: DataFrame, f: DataFrame, group_by: Sequence[str], low_share: float, min_corrections: int) -> DataFrame:
+    """A7 from the counts `_n`, `_low`, `_corr` of each group and the rows' concepts."""
     top_concept = top_terms(f, list(group_by), F.col("concepts"), ARRIVAL, 1, term_col="_concept") \
         .select(*group_by, "_concept")
     j = base.join(top_concept, list(group_by), "left")
@@ -150,32 +144,56 @@ def suggestions(fb: DataFrame, group_by: Sequence[str] = ("domain",), low_share:
     return j.select(*group_by, F.slice(arr, 1, 5).alias("suggestions"))
 
 
+def _is_low() -> Column:
+    return _rating_truthy(F.col("rating")) & (F.col("rating") <= 2.0)
+
+
+def suggestions(fb: DataFrame, group_by: Sequence[str] = ("domain",), low_share: float = 0.3,
+                min_corrections: int = 10, lexicon=FEEDBACK_CONCEPTS) -> DataFrame:
+    """Improvement suggestions per group, at most 5, as an array in rule order."""
+    f = _with_features(fb, lexicon)
+    base = f.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_n"), F.count_if(_is_low()).alias("_low"),
+                                    F.count_if(_nonempty(F.col("correction"))).alias("_corr"))
+    return _suggested(base, f, group_by, low_share, min_corrections)
+
+
+def feature_table(fb: DataFrame, lexicon=FEEDBACK_CONCEPTS) -> DataFrame:
+    """The narrow columns that analyses read (no texts but corrections as a flag), with severity, F2 keywords and
+    F3 concepts: written once, so several analyses cost one Python pass over the feedback. The pass runs
+    where the rows are read, before any shuffle."""
+    f = _with_features(fb, lexicon)
+    return written(f.select("domain", *ARRIVAL, "model_id", "rating", "feedback_type", "severity", "keywords", "concepts",
+                            _nonempty(F.col("correction")).alias("corrected")), "feedback-features")
+
+
 def analyze_feedback(fb: DataFrame, as_of, days: int = 30, model_id: str | None = None,
                      domains: DataFrame | None = None, lexicon=FEEDBACK_CONCEPTS,
-                     low_share: float = 0.3, min_corrections: int = 10) -> DataFrame:
+                     low_share: float = 0.3, min_corrections: int = 10, issues: DataFrame | None = None) -> DataFrame:
     """A5: one row per domain: total, avg rating, rating trend, volume trend (slope of the daily
     counts over the days with feedback), confidence, critical areas (top 5 issue keywords), top
     issue keywords (top 10), suggestions, type distribution. Domains of `domains` without feedback
-    get the zero row. The narrow feature columns are computed once (one Python pass) and kept
-    for the branches."""
-    f = _with_features(feedback_window(fb, as_of, days, model_id), lexicon)
-    f = f.select("domain", *ARRIVAL, "rating", "feedback_type", "severity", "keywords", "concepts", "correction").persist()
+    get the zero row. `fb` is feedback, or a `feature_table` of it, which is made here otherwise; `issues`
+    are the window's `top_issues`, if there are some already."""
+    f = feedback_window(fb, as_of, days, model_id)
+    f = f if "corrected" in f.columns else feature_table(f, lexicon)
     g = ["domain"]
+    # totals come from one aggregate per (domain, type), the trend of volume from one per (domain, day)
+    per = f.groupBy(*g, "feedback_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("rating").alias("_sum"), F.count("rating").alias("_rated"),
+        F.count_if(_is_low()).alias("_low"), F.count_if("corrected").alias("_corr"))
+    flat = per.groupBy(*g).agg(
+        F.sum("n").alias("total_feedback"), F.coalesce(F.sum("_sum") / F.sum("_rated"), F.lit(0.0)).alias("avg_rating"),
+        F.sum("n").alias("_n"), F.sum("_low").alias("_low"), F.sum("_corr").alias("_corr"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("feedback_type", "n")))).alias("feedback_distribution"))
     daily = f.groupBy(*g, F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    volume = trend(daily, "n", ["day"], g, "volume_trend")
-    flat = f.groupBy(*g).agg(F.count(F.lit(1)).alias("total_feedback"),
-                             F.coalesce(F.avg("rating"), F.lit(0.0)).alias("avg_rating"))
+    days_ = daily.withColumn("_x", F.row_number().over(Window.partitionBy(*g).orderBy("day")).cast("double"))    # a row a day
+    volume = days_.groupBy(*g).agg(F.when(F.count("n") >= 2, F.regr_slope("n", "_x")).alias("volume_trend"))
     tr = trend(f.filter(_rating_truthy(F.col("rating"))), "rating", ARRIVAL, g, "rating_trend")
-    issues = top_issues(f, g, 10, lexicon)
-    issue_lists = issues.groupBy(*g).agg(
-        ranked_list("rank", "keyword").alias("top_issue_keywords"),
-        F.slice(ranked_list("rank", "keyword"), 1, 5).alias("critical_areas"))
-    dist = type_distribution(f, g).groupBy(*g).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("feedback_type", "n"))))
-        .alias("feedback_distribution"))
-    sug = suggestions(f, g, low_share, min_corrections, lexicon)
-    out = (flat.join(tr, g, "left").join(volume, g, "left").join(issue_lists, g, "left").join(dist, g, "left")
-           .join(sug, g, "left"))
+    issues = top_issues(f, g, 10, lexicon) if issues is None else issues
+    issue_lists = issues.groupBy(*g).agg(ranked_list("rank", "keyword").alias("top_issue_keywords")) \
+        .withColumn("critical_areas", F.slice("top_issue_keywords", 1, 5))
+    sug = _suggested(flat.select(*g, "_n", "_low", "_corr"), f, g, low_share, min_corrections)
+    out = flat.join(tr, g, "left").join(volume, g, "left").join(issue_lists, g, "left").join(sug, g, "left")
     if domains is not None:
         out = domains.select("domain").join(out, "domain", "left")
     empty = F.array().cast("array<string>")
@@ -288,22 +306,23 @@ def improvement_areas(fb: DataFrame, n: int = 10, threshold: float = 4.0,
 def feedback_examples(fb: DataFrame, limit: int = 100, lexicon=FEEDBACK_CONCEPTS) -> DataFrame:
     """L4: per domain, corrections (user input + correction, quality F18) else rating >= 4
     reinforcements (user input + model output, quality = rating); quality desc, arrival order
-    for ties (stable sort), first `limit`."""
-    f = _with_features(fb, lexicon)
+    for ties (stable sort), first `limit`. Ids of feedback are unique (S22)."""
     r = F.col("rating")
     is_corr = _nonempty(F.col("correction")) & _nonempty(F.col("user_input"))
     is_good = ~is_corr & _rating_truthy(r) & (r >= 4.0) & _nonempty(F.col("model_output"))
-    ex = f.filter(is_corr | is_good).select(
+    marked = fb.filter(is_corr | is_good).select("domain", "feedback_id", "ts", is_corr.alias("_corr"),
+                                                 F.when(is_corr, example_quality()).otherwise(r).alias("quality_score"))
+    best = top_k_rows(marked, ["domain"], [F.col("quality_score").desc(), F.col("ts"), F.col("feedback_id")], limit)
+    # texts are read, and features found, for the best rows alone
+    ex = _with_features(fb.join(best.select("feedback_id", "_corr", "quality_score", "rank"), "feedback_id"), lexicon)
+    return ex.select(
         "domain", "feedback_id", "ts",
         F.array(F.struct(F.lit("user").alias("role"), F.col("user_input").alias("content")),
                 F.struct(F.lit("assistant").alias("role"),
-                         F.when(is_corr, F.col("correction")).otherwise(F.col("model_output"))
+                         F.when(F.col("_corr"), F.col("correction")).otherwise(F.col("model_output"))
                          .alias("content"))).alias("messages"),
-        F.when(is_corr, example_quality()).otherwise(r).alias("quality_score"),
-        "keywords", "concepts",
-        F.when(is_corr, F.lit("correction")).otherwise(F.lit("reinforcement")).alias("improvement_type"))
-    return top_k_rows(ex, ["domain"], [F.col("quality_score").desc(), F.col("ts"), F.col("feedback_id")],
-                      limit)
+        "quality_score", "keywords", "concepts",
+        F.when(F.col("_corr"), F.lit("correction")).otherwise(F.lit("reinforcement")).alias("improvement_type"), "rank")
 
 
 def examples_from_feedback(fb: DataFrame, configs: DataFrame, threshold: float = 3.0) -> DataFrame:

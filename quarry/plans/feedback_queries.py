@@ -8,6 +8,7 @@ from quarry.functions.domains import domains_df
 from quarry.functions.lexicons import AS_OF, TEST_LEXICON
 from quarry.operators import feedback as fo
 from quarry.plans.catalog import query
+from quarry.plans.tables import written
 from quarry.sources.views import VIEW_DEPS, VIEW_SQL, _WS, feedback_view, with_views
 
 AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
@@ -35,6 +36,13 @@ def fbx(spark, sf):
     return fo._with_features(feedback_view(spark, sf), TEST_LEXICON)
 
 
+def analysed(spark, sf):
+    """(issues, analysis) of the last 30 days of feedback: one feature table, both results kept as tables."""
+    recent = fo.feature_table(fo.feedback_window(feedback_view(spark, sf), AS_OF, 30), TEST_LEXICON)
+    issues = written(fo.top_issues(recent, ["domain"], 10, TEST_LEXICON), "issues")
+    return issues, written(fo.analyze_feedback(recent, AS_OF, 30, lexicon=TEST_LEXICON, issues=issues), "analysis")
+
+
 def _r(c, n=6):
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
@@ -195,7 +203,7 @@ LEFT JOIN (SELECT domain, string_agg(feedback_type || '=' || n, ',' ORDER BY fee
     SELECT domain, feedback_type, count(*) AS n FROM ({_WIN30}) GROUP BY 1, 2) GROUP BY domain) ds ON ds.domain = d.domain
 LEFT JOIN ({_suggest_sql(_WIN30, 0.3)}) sg ON sg.domain = d.domain""", "feedback_x"))
 def f_feedback_analysis(spark, sf):
-    a = fo.analyze_feedback(fbx(spark, sf), AS_OF, 30, domains=domains_df(spark), lexicon=TEST_LEXICON)
+    a = fo.analyze_feedback(feedback_view(spark, sf), AS_OF, 30, domains=domains_df(spark), lexicon=TEST_LEXICON)
     return a.select("domain", "total_feedback", _r("avg_rating").alias("avg_rating"),
                     _r("rating_trend", 9).alias("rating_trend"),
                     _r("feedback_volume_trend", 9).alias("feedback_volume_trend"),
@@ -226,9 +234,7 @@ SELECT domain, 300, 'model_refresh', 'high', 'retrain_model', 'accuracy_recovery
   'Model accuracy is declining. Consider retraining with recent data.' FROM tr WHERE rating_trend < -0.0001
 """, "feedback_x"))
 def f_recommendations(spark, sf):
-    f = fbx(spark, sf)
-    a = fo.analyze_feedback(f, AS_OF, 30, lexicon=TEST_LEXICON)
-    iss = fo.top_issues(fo.feedback_window(f, AS_OF, 30), ["domain"], 10, TEST_LEXICON)
+    iss, a = analysed(spark, sf)
     rec = fo.recommendations(a, iss, avg_threshold=3.2, trend_threshold=-0.0001)
     return rec.select("domain", F.col("seq").cast("long").alias("seq"), "type", "priority", "action",
                       "target", "description")

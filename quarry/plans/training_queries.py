@@ -10,7 +10,7 @@ from quarry.functions.lexicons import AS_OF, TEST_LEXICON
 from quarry.operators import feedback as fo
 from quarry.operators import training as tr
 from quarry.plans.catalog import query
-from quarry.plans.feedback_queries import _ISSUES_SQL, _TREND_SQL, _WIN30, fbx
+from quarry.plans.feedback_queries import _ISSUES_SQL, _TREND_SQL, _WIN30, analysed
 from quarry.sources.views import _WS, feedback_view, table, with_views
 
 _DOMAIN_CASE = ("CASE {c} % 4 WHEN 0 THEN 'technical' WHEN 1 THEN 'medical' WHEN 2 THEN 'legal' "
@@ -27,9 +27,8 @@ def _docs(spark, sf):
 def adaptive_set(spark, sf, feedback_limit=200):
     """Flagship: feedback → analysis → recommendations → best feedback examples ∪ knowledge
     examples → exact dedup → ranked, per domain."""
-    f = fbx(spark, sf)
-    analysis = fo.analyze_feedback(f, AS_OF, 30, lexicon=TEST_LEXICON)
-    issues = fo.top_issues(fo.feedback_window(f, AS_OF, 30), ["domain"], 10, TEST_LEXICON)
+    f = feedback_view(spark, sf)
+    issues, analysis = analysed(spark, sf)
     recs = fo.recommendations(analysis, issues)
     fex = fo.feedback_examples(f, feedback_limit, TEST_LEXICON)
     kex = tr.knowledge_examples(recs, domains_df(spark), _docs(spark, sf))
@@ -111,9 +110,7 @@ SELECT i.domain, i.description AS improvement_focus, i.imp_rank, t.e AS example_
 FROM imps i JOIN {domains_values_sql(("domain", "domain_name"))} ON dom.domain = i.domain CROSS JOIN range(3) t(e)
 """, "feedback_x"))
 def f_knowledge_examples(spark, sf):
-    f = fbx(spark, sf)
-    analysis = fo.analyze_feedback(f, AS_OF, 30, lexicon=TEST_LEXICON)
-    issues = fo.top_issues(fo.feedback_window(f, AS_OF, 30), ["domain"], 10, TEST_LEXICON)
+    issues, analysis = analysed(spark, sf)
     recs = fo.recommendations(analysis, issues, trend_threshold=-1e9)
     k = tr.knowledge_examples(recs, domains_df(spark))
     return k.select("domain", "improvement_focus", F.col("imp_rank").cast("long").alias("imp_rank"),
