@@ -9,7 +9,7 @@ from quarry.functions.domains import domains_df
 from quarry.functions.lexicons import FILENAME_DOMAIN_PATTERNS, TEST_LEXICON
 from quarry.plans.catalog import ORACLE, query
 from quarry.plans.document_queries import _strip_sql, _summary_domains_sql, _summary_sql
-from quarry.sources.views import _WS, conversation_pairs, feedback_columns, feedback_view, table, with_views
+from quarry.sources.views import _WS, conversation_pairs, feedback_columns, feedback_view, mentor_view, table, with_views
 from quarry.streaming import jobs as sj
 
 
@@ -87,6 +87,28 @@ def f_stream_sessions(spark, sf):
     return _run_in_parts(spark, ev, sj.stream_sessions, 4)
 
 
+@query("f_stream_session_phase", with_views("""
+WITH m AS (SELECT feedback_id, session_id, ts,
+    CASE mtype WHEN 'positive' THEN 1.0 WHEN 'negative' THEN 0.5 WHEN 'correction' THEN 0.8 ELSE 0.6 END AS wt,
+    CASE mtype WHEN 'positive' THEN 1.0 WHEN 'negative' THEN 0.0 WHEN 'correction' THEN 0.7 ELSE 0.8 END AS sc, rating FROM mentor_v),
+g AS (SELECT *, CASE WHEN rating IS NULL THEN sc ELSE (sc + rating / 5.0) / 2.0 END AS score,
+    CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 4 HOUR THEN 1 ELSE 0 END AS opens
+  FROM m WINDOW w AS (PARTITION BY session_id ORDER BY ts, feedback_id)),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY ts, feedback_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id, run ORDER BY ts, feedback_id) AS feedback_count,
+    min(ts) OVER (PARTITION BY session_id, run) AS session_start FROM r),
+d AS (SELECT session_id, run, sum(wt * score) / sum(wt) AS decision FROM n WHERE feedback_count <= 10 GROUP BY ALL)
+SELECT feedback_id, n.session_id, session_start, feedback_count,
+  CASE WHEN feedback_count < 5 THEN 'initial' WHEN feedback_count < 10 THEN 'feedback' WHEN decision >= 0.7 THEN 'validation'
+       ELSE 'refinement' END AS phase
+FROM n JOIN d USING (session_id, run) WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM m) - INTERVAL 1 HOUR""", "mentor_v"))
+def f_stream_session_phase(spark, sf):
+    """Phases of all rows that the watermark has passed, from feedback that arrives in several batches."""
+    rows = mentor_view(spark, sf).select("session_id", "feedback_id", "ts", "mtype", "rating")
+    out = _run_in_parts(spark, rows, sj.stream_session_phase, 4)
+    return out.select("feedback_id", "session_id", "session_start", "feedback_count", "phase")
+
+
 @query("f_stream_running_rating", ORACLE["f_running_rating"])
 def f_stream_running_rating(spark, sf):
     r = _run_update(spark, sj.stream_running_rating(feedback_stream(spark, sf)), ["domain"])

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quarry.operators import documents as do
 from quarry.operators import feedback as fo
+from quarry.operators import mentor as mo
 from quarry.operators import training as tr
 from quarry.session import ensure_checkpoint_dir
 
@@ -158,6 +159,62 @@ def stream_batches(fb: DataFrame, size: int = 10, key: str = "domain", item: str
             .applyInPandasWithState(fire, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
 
 
+# ----------------------------------------------------------------------------- T8 (keyed state, event-time timers)
+def stream_session_phase(mfb: DataFrame, gap: str = "4 hours", delay: str = "1 hour") -> DataFrame:
+    """Phase and feedback count of mentor sessions as feedback arrives (session_id, feedback_id, ts,
+    mtype, rating). A row is judged once the watermark has passed it, in the order (ts, feedback_id), so
+    rows that come out of order within `delay` get the values of the batch rule (W7); later ones are
+    dropped as late. A session ends when `gap` passes without a row: what comes then begins a new
+    one, from `initial`. Append mode; columns session_id, feedback_id, ts, session_start, feedback_count,
+    phase.
+
+    State of a session: the rows that wait, the count and the weighted sums of its first rows. An
+    event-time timer stands at the oldest waiting row, or at the session's end if none waits; there
+    the state is removed."""
+    gap_us = int(pd.Timedelta(gap).total_seconds() * 1e6)
+    weight, weighted = mo.weighted_parts()
+    rows = mfb.select("session_id", "feedback_id", "ts", F.unix_micros("ts").alias("_us"), weight.alias("_w"),
+                      weighted.alias("_ws")).withWatermark("ts", delay)
+    out_schema = "session_id long, feedback_id long, ts_us long, start_us long, feedback_count long, phase string"
+    state_schema = ("us array<long>, ids array<long>, w array<double>, ws array<double>, start long, last long, "
+                    "count long, sum_w double, sum_ws double")
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        us, ids, w, ws, start, last, count, sum_w, sum_ws = state.get if state.exists else ([], [], [], [], None, None, 0, 0.0, 0.0)
+        waiting = list(zip(us, ids, w, ws))
+        for pdf in pdfs:
+            waiting += zip(pdf["_us"].tolist(), pdf["feedback_id"].tolist(), pdf["_w"].tolist(), pdf["_ws"].tolist())
+        waiting.sort()
+        mark = state.getCurrentWatermarkMs()
+        out, done = [], 0
+        for t, i, a, b in waiting:
+            if t > mark * 1000:
+                break
+            if last is None or t - last >= gap_us:
+                start, count, sum_w, sum_ws = t, 0, 0.0, 0.0
+            last, count, done = t, count + 1, done + 1
+            if count <= mo.PHASE_DECIDE_AT:
+                sum_w, sum_ws = sum_w + a, sum_ws + b
+            score = sum_ws / sum_w if sum_w > 0 else 0.0
+            phase = ("initial" if count < mo.PHASE_FEEDBACK_AT else "feedback" if count < mo.PHASE_DECIDE_AT
+                     else "validation" if score >= mo.VALIDATION_SCORE else "refinement")
+            out.append((key[0], i, t, start, count, phase))
+        waiting = waiting[done:]
+        wake = waiting[0][0] if waiting else last + gap_us
+        if not waiting and wake <= mark * 1000:
+            state.remove()
+        else:
+            us, ids, w, ws = (list(x) for x in zip(*waiting)) if waiting else ([], [], [], [])
+            state.update((us, ids, w, ws, start, last, count, sum_w, sum_ws))
+            state.setTimeoutTimestamp(max(mark + 1, wake // 1000 - 1))
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "feedback_id", "ts_us", "start_us", "feedback_count", "phase"])
+
+    found = rows.groupBy("session_id").applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("session_id", "feedback_id", F.timestamp_micros("ts_us").alias("ts"),
+                        F.timestamp_micros("start_us").alias("session_start"), "feedback_count", "phase")
+
+
 # ----------------------------------------------------------------------------- T1
 def stream_segments(docs: DataFrame, key: str = "doc_id", text: str = "text", base=None,
                     separator: str = "\n\n", min_words: int = 50) -> DataFrame:

@@ -113,3 +113,41 @@ def test_training_lines_from_arriving_text_files(spark, tmp_path):
     got = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out").collect()]
     assert len(got) == 6 and all(g["messages"][0]["role"] == "user" and "Summarize:" in g["messages"][0]["content"] for g in got)
     assert sorted(g["segment_id"].rsplit("_", 1)[1] for g in got) == ["0"] * 3 + ["2"] * 3
+
+
+def test_session_phases_with_timers(spark, tmp_path):
+    """Batches out of order, a late row, two sessions; state goes after four hours without a row."""
+    from datetime import datetime, timedelta
+    schema = "session_id long, feedback_id long, ts timestamp, mtype string, rating double"
+    src, root = str(tmp_path / "src"), str(tmp_path)
+    day = datetime(2024, 1, 1)
+    queries = []
+
+    def run(rows):
+        arrive(spark, src, [(s, i, day + timedelta(minutes=m), k, r) for s, i, m, k, r in rows], schema)
+        out = sj.stream_session_phase(sj.file_stream(spark, src, "*.parquet"))
+        queries.append(sj.run_available_now(out, f"{root}/out", f"{root}/ckpt"))
+        return out
+    run([(1, i, 3 * i, "positive", 5.0) for i in range(0, 12, 2)])              # every second row, to minute 30
+    run([(1, i, 3 * i, "positive", 5.0) for i in range(1, 12, 2)] + [(2, 100 + i, 40 + i, "negative", None) for i in range(11)])
+    run([(2, 200, 130, "negative", None)])                                      # the watermark goes to minute 70
+    run([(1, 300, 5, "negative", 1.0), (2, 201, 140, "negative", None)])        # minute 5 is late
+    out = run([(3, 400, 24 * 60, "positive", None)])                            # all before is over
+    got = {r["feedback_id"]: (r["session_id"], r["feedback_count"], r["phase"]) for r in spark.read.schema(out.schema).parquet(f"{root}/out").collect()}
+
+    def phase(n, last):
+        return "initial" if n < 5 else "feedback" if n < 10 else last
+    want = {i: (1, i + 1, phase(i + 1, "validation")) for i in range(12)}
+    ids = [*range(100, 111), 200, 201]
+    want |= {i: (2, n, phase(n, "refinement")) for n, i in enumerate(ids, 1)}
+    assert got == want
+    state = queries[-1].lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] <= 1       # only the session of the last row can be left
+    out = run([(3, 401, 24 * 60 + 30, "positive", None), (4, 500, 72 * 60, "positive", None)])
+    assert queries[-1].lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
+    rows_3 = spark.read.schema(out.schema).parquet(f"{root}/out").filter("session_id = 3").collect()
+    assert {(r["feedback_id"], r["feedback_count"]) for r in rows_3} == {(400, 1), (401, 2)}
+    run([(3, 402, 80 * 60, "positive", None), (4, 501, 90 * 60, "positive", None)])
+    run([(5, 600, 200 * 60, "positive", None)])
+    again = {r["feedback_id"]: r["feedback_count"] for r in spark.read.schema(out.schema).parquet(f"{root}/out").collect()}
+    assert again[402] == 1 and again[501] == 1      # a session that timed out begins anew
