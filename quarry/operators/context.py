@@ -277,3 +277,33 @@ def import_domain(js: DataFrame, col: str = "config_json") -> DataFrame:
               "fine_tuning_instructions string, example_prompts array<string>, evaluation_criteria array<string>")
     p = js.withColumn("_c", F.from_json(col, schema)).select("*", "_c.*").drop("_c")
     return p.withColumn("valid", F.col("domain_type").isin(*DOMAIN_TYPES) & F.col("domain_name").isNotNull())
+
+
+_ENHANCED = ("base_context string, enhancement_rules map<string,string>, adaptive_templates array<struct<template_id:string,domain:string,"
+             "task_type:string,template:string,success_rate:double,usage_count:long>>, performance_history map<string,array<double>>, "
+             "generation_config map<string,string>")
+
+
+def export_enhanced(ctx: DataFrame, rules: DataFrame, templates: DataFrame, history: DataFrame, config: dict[str, str]) -> DataFrame:
+    """One JSON document per domain of `ctx`: its base context (`export_domain`), enhancement rules
+    (domain, rules map), adaptive templates (template_id, domain, task_type, template, success_rate, usage_count),
+    performance history (domain, metric → last values) and the generation settings. A part that a domain
+    lacks is empty. Templates of a domain are a handful (one per task), so they are one list."""
+    base = export_domain(ctx).select("domain", F.col("config_json").alias("base_context"))
+    of = F.struct("template_id", "domain", "task_type", "template", "success_rate", "usage_count")
+    per = templates.groupBy("domain").agg(F.array_sort(F.collect_list(of)).alias("adaptive_templates"))
+    j = (base.join(rules.select("domain", F.col("rules").alias("enhancement_rules")), "domain", "left").join(per, "domain", "left")
+         .join(history.select("domain", F.col("history").alias("performance_history")), "domain", "left"))
+    kinds = dict(f.split(" ", 1) for f in _ENHANCED.split(", "))
+    settings = F.create_map(*[F.lit(x) for kv in sorted(config.items()) for x in kv]) if config else F.create_map()
+    j = j.withColumn("generation_config", settings.cast("map<string,string>"))
+    for c, empty in (("adaptive_templates", F.array()), ("enhancement_rules", F.create_map()), ("performance_history", F.create_map())):
+        j = j.withColumn(c, F.coalesce(c, empty.cast(kinds[c])))
+    return j.select("domain", F.to_json(F.struct(*kinds)).alias("config_json"))
+
+
+def import_enhanced(js: DataFrame, col: str = "config_json") -> DataFrame:
+    """The parts of an enhanced document as columns, and those of the base context; `valid` is false
+    for a base context that can't be imported (the other parts are given all the same)."""
+    p = js.withColumn("_c", F.from_json(col, _ENHANCED)).select("*", "_c.*").drop("_c", col)
+    return import_domain(p, "base_context")

@@ -145,6 +145,38 @@ def qa_user_prompt(summary: Column) -> Column:
                           "Summary: "), summary, F.lit("\n\nQuestion-Answer Pairs:"))
 
 
+def fine_tuning_context(domains: DataFrame) -> DataFrame:
+    """the fine-tuning configuration of each domain, as a JSON object (domain, config_json)."""
+    cols = ["domain_type", "domain_name", "key_concepts", "focus_areas", "fine_tuning_instructions", "example_prompts", "evaluation_criteria"]
+    terms = F.map_from_entries(F.transform("terminology", lambda t: F.struct(t["term"], t["definition"])))
+    return domains.select("domain", F.to_json(F.struct(*cols, terms.alias("terminology"))).alias("config_json"))
+
+
+# ---------------------------------------------------------------------------------------
+# FIXED VALUES — base prompt templates by task: what follows the domain's own instructions, and the
+# template of a domain without a context. `{{...}}` are filled later.
+# ---------------------------------------------------------------------------------------
+FOCUS_TEMPLATES = {
+    "summarization": ("\n\n{{domain_knowledge}}\n\nKey concepts to focus on: {{key_concepts}}\n\nTerminology: {{terminology}}",
+                      "Summarize the following content with focus on domain-specific concepts.\n\n{{domain_knowledge}}"),
+    "fine_tuning": ("\n\n{{domain_knowledge}}\n\nEmphasize: {{key_concepts}}\n\nUse terminology: {{terminology}}",
+                    "Generate training examples with domain expertise.\n\n{{domain_knowledge}}"),
+}
+INFERENCE_TEMPLATE = ("You are an expert in {{domain}}. {{domain_knowledge}}\n\nFocus on: {{key_concepts}}\n\nUse appropriate terminology: "
+                      "{{terminology}}\n\nProvide expert guidance on the following:")
+OTHER_TEMPLATE = "Apply domain expertise to address the following task.\n\n{{domain_knowledge}}\n\nKey concepts: {{key_concepts}}"
+
+
+def focus_instruction(task: str) -> Column:
+    """the base template of a task (summarization, fine_tuning, inference, any other) for the
+    domain whose context is in the row (`summarization_instructions`, `fine_tuning_instructions`)."""
+    if task not in FOCUS_TEMPLATES:
+        return F.lit(INFERENCE_TEMPLATE if task == "inference" else OTHER_TEMPLATE)
+    rest, without = FOCUS_TEMPLATES[task]
+    own = F.col(f"{task}_instructions")
+    return F.when(own.isNotNull(), F.concat(own, F.lit(rest))).otherwise(F.lit(without))
+
+
 # ----------------------------------------------------------------------------- P-13
 def list_domains(domains: DataFrame, n_concepts: int = 5) -> DataFrame:
     """P-13: domains with their first 5 key concepts and the total number of domains."""

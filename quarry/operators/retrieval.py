@@ -9,8 +9,9 @@ Per-domain TF-IDF as long-form postings (domain, doc, term, weight), built once
 * idf = ln((1 + n) / (1 + df)) + 1, raw tf, L2 norm per document over vocabulary terms.
 
 Similarity is an equi-join of query postings with document postings on (domain, term) and a
-sum of products: an inverted-index join, never a cross product. Frequent terms are the skew
-keys of that join; AQE's skew-join split handles them (no term is dropped).
+sum of products: an inverted-index join, never a cross product. A search reads only the blocks of
+that index which can lift a document among a query's best (`bounded_similarity`), so frequent terms
+aren't expanded into pairs; what is read is split by AQE's skew join (no term is dropped).
 """
 from __future__ import annotations
 
@@ -20,10 +21,11 @@ import zipfile
 from functools import lru_cache
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.lexicons import WS_CLASS
+from quarry.plans.tables import written
 from quarry.plans.topk import top_k_rows
 
 TOKEN_REGEX = r"[\p{L}\p{N}_]{2,}"
@@ -115,17 +117,71 @@ def similarity(query_w: DataFrame, doc_w: DataFrame, qkey: str = "query_id", dke
         F.round(F.sum(F.col("_wq") * F.col("_wd")), 9).alias("similarity"))
 
 
+BLOCKS = 16        # levels of weight that the documents of a term are cut into
+_SLACK = 2e-9      # similarities are rounded to 9 decimals
+
+
+def _thresholds(marks: DataFrame, q: DataFrame, d: DataFrame, qkey: str, keys: list[str], group: str, limit: int, floor: float) -> DataFrame:
+    """A similarity that `limit` documents of each query reach at least (`_theta`), or `floor`: the exact
+    similarities of the best documents in the block that promises most."""
+    gain = F.col("_wq") * F.col("_top")
+    best = top_k_rows(marks, [group, qkey], [gain.desc(), F.col("term"), F.col("_block")], 1, "_b")
+    seeds = best.select(group, qkey, "term", "_block", "_wq").join(d, [group, "term", "_block"])
+    seeds = top_k_rows(seeds, [group, qkey], [(F.col("_wq") * F.col("_wd")).desc(), *map(F.col, keys)], limit, "_b")
+    scored = (seeds.select(group, qkey, *keys).join(q.select(group, qkey, "term", "_wq"), [group, qkey]).join(d, [group, *keys, "term"])
+              .groupBy(group, qkey, *keys).agg(F.sum(F.col("_wq") * F.col("_wd")).alias("_s")))
+    found = scored.groupBy(group, qkey).agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_s"))
+    return found.select(group, qkey, F.when(F.col("_n") >= limit, F.greatest(F.col("_s"), F.lit(floor))).otherwise(F.lit(floor)).alias("_theta"))
+
+
+def bounded_similarity(query_w: DataFrame, doc_w: DataFrame, qkey: str = "query_id", dkey: str | Sequence[str] = "id",
+                       group: str = "domain", limit: int = 10, floor: float = 0.1) -> DataFrame:
+    """J2 for searches: the cosine similarity (as `similarity`) of every pair that can be among a query's
+    `limit` best and above `floor`; other pairs may be missing.
+
+    Documents of a term are indexed in blocks by weight, with the largest weight of each. A query's terms
+    are ordered by what they can add at most; a block is skipped if its largest share, with all that the
+    terms before can add, stays below the query's threshold (a similarity that `limit` documents are known to reach, or
+    the floor). So a term that nearly all documents hold, which weighs little, is not expanded into
+    pairs. What the blocks read have found is kept if the skipped blocks could lift it over the threshold, and
+    only for these pairs the skipped terms are looked up."""
+    keys = _keys(dkey)
+    d = doc_w.select(group, *keys, "term", F.col("weight").alias("_wd"), F.floor(F.col("weight") * BLOCKS).cast("int").alias("_block"))
+    tops = d.groupBy(group, "term", "_block").agg(F.max("_wd").alias("_top"))
+    most = tops.groupBy(group, "term").agg(F.max("_top").alias("_most"))
+    q = query_w.select(group, qkey, "term", F.col("weight").alias("_wq")).join(most, [group, "term"])
+    share = F.col("_wq") * F.col("_most")
+    before = Window.partitionBy(group, qkey).orderBy(share, "term").rowsBetween(Window.unboundedPreceding, -1)     # a query's terms
+    q = q.withColumn("_rest", F.coalesce(F.sum(share).over(before), F.lit(0.0))).drop("_most")
+    marks = q.join(tops, [group, "term"])
+    theta = _thresholds(marks, q, d, qkey, keys, group, limit, floor)
+    marks = marks.join(theta, [group, qkey]).withColumn(
+        "_read", F.col("_wq") * F.col("_top") + F.col("_rest") >= F.col("_theta") - F.lit(_SLACK))
+    found = (marks.filter("_read").select(group, qkey, "term", "_block", "_wq").join(d, [group, "term", "_block"])
+             .groupBy(group, qkey, *keys).agg(F.sum(F.col("_wq") * F.col("_wd")).alias("_s")))
+    # of a term, the blocks of small weights are skipped: those up to `_upto`
+    skipped = marks.filter(~F.col("_read")).groupBy(group, qkey, "term").agg(
+        F.max("_block").alias("_upto"), F.max(F.col("_wq") * F.col("_top")).alias("_gain"), F.first("_wq").alias("_wq"))
+    missing = skipped.groupBy(group, qkey).agg(F.sum("_gain").alias("_miss"))
+    alive = (found.join(theta, [group, qkey]).join(missing, [group, qkey], "left")
+             .filter(F.col("_s") + F.coalesce("_miss", F.lit(0.0)) >= F.col("_theta") - F.lit(_SLACK)).select(group, qkey, *keys, "_s"))
+    more = (alive.select(group, qkey, *keys).join(skipped, [group, qkey]).join(d, [group, *keys, "term"])
+            .filter(F.col("_block") <= F.col("_upto")).select(group, qkey, *keys, (F.col("_wq") * F.col("_wd")).alias("_s")))
+    return alive.unionByName(more).groupBy(group, qkey, *keys).agg(F.round(F.sum("_s"), 9).alias("similarity"))
+
+
 def search(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str = "query",
            dkey: str = "id", dtext: str = "content", order_key: str = "doc_id", group: str = "domain",
            limit: int = 10, floor: float = 0.1, max_features: int = 5000,
            stopwords: Sequence[str] | None = None) -> DataFrame:
     """L3 (P10): per query, the `limit` most similar documents of its domain (ties in insertion
     order), then those with similarity <= `floor` dropped. The order key travels with the
-    postings, so documents aren't read again, and each task keeps `limit` pairs of a query
-    before the shuffle of the ranking."""
+    postings, so documents aren't read again; the weighted postings are written once; only pairs that can
+    be among a query's best are scored (`bounded_similarity`)."""
     vocab, dw = fit_tfidf(docs, [dkey, order_key], dtext, group, max_features, stopwords)
-    qw = weigh(postings(queries, qkey, qtext, group, stopwords), vocab, qkey, group)
-    s = similarity(qw, dw, qkey, [dkey, order_key], group)
+    vocab, dw = written(vocab, "vocabulary"), written(dw, "document-weights")
+    qw = written(weigh(postings(queries, qkey, qtext, group, stopwords), vocab, qkey, group), "query-weights")
+    s = bounded_similarity(qw, dw, qkey, [dkey, order_key], group, limit, floor)
     top = top_k_rows(s, [group, qkey], [F.col("similarity").desc(), F.col(order_key)], limit)
     return top.filter(F.col("similarity") > floor)
 

@@ -219,6 +219,46 @@ def f_slugs(spark, sf):
                     tx.slug("domain_name").alias("domain_slug"))
 
 
+@query("f_ids", with_views("""
+SELECT feedback_id, 'deploy_' || model_id || '_' || CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS deployment_id,
+  'adaptive_retraining_' || domain || '_' || CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS job_id,
+  'mentor_ad' || (user_id % 5) || '_' || strftime(ts, '%Y%m%d_%H%M%S') AS session_id,
+  replace(lower(model_output), ' ', '_') AS underscored
+FROM feedback_v""", "feedback_v"))
+def f_ids(spark, sf):
+    f = feedback_view(spark, sf)
+    adapter = F.concat(F.lit("ad"), (F.col("user_id") % 5).cast("string"))
+    return f.select("feedback_id", tx.deployment_id("model_id", "ts").alias("deployment_id"),
+                    tx.job_id("adaptive_retraining", "domain", "ts").alias("job_id"),
+                    tx.session_id(adapter, "ts").alias("session_id"), tx.slug_underscored("model_output").alias("underscored"))
+
+
+_TASKS = ["summarization", "fine_tuning", "inference", "review"]
+
+
+def _sql_text(x: str) -> str:
+    return " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in x.split("\n"))
+
+
+@query("f_focus_instruction", f"""
+SELECT d.doc_id, {", ".join(
+    f"CASE WHEN dom.domain IS NULL THEN {_sql_text(do.FOCUS_TEMPLATES[t][1])} ELSE dom.{t}_instructions || {_sql_text(do.FOCUS_TEMPLATES[t][0])} END AS {t}"
+    for t in _TASKS[:2])}, {_sql_text(do.INFERENCE_TEMPLATE)} AS inference, {_sql_text(do.OTHER_TEMPLATE)} AS review,
+  md5(array_to_string(dom.focus_areas, ',') || '|' || array_to_string(dom.key_concepts, ',') || '|' || dom.fine_tuning_instructions) AS context_md5
+FROM documents d LEFT JOIN {domains_values_sql(("domain", "focus_areas", "key_concepts", "summarization_instructions", "fine_tuning_instructions"))}
+  ON dom.domain = CASE WHEN d.doc_id % 5 < 4 THEN {_DOMAIN_CASE.format(c='d.doc_id')} END""")
+def f_focus_instruction(spark, sf):
+    """each document gets the base templates of its domain (a fifth have none), and the fine-tuning
+    context read back from its JSON."""
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 5 < 4, _dom("doc_id")).alias("domain"))
+    doms = domains_df(spark)
+    schema = "focus_areas array<string>, key_concepts array<string>, fine_tuning_instructions string"
+    ctx = do.fine_tuning_context(doms).select("domain", F.from_json("config_json", schema).alias("c"))
+    x = d.join(doms.select("domain", "summarization_instructions", "fine_tuning_instructions"), "domain", "left").join(ctx, "domain", "left")
+    said = F.concat(F.array_join("c.focus_areas", ","), F.lit("|"), F.array_join("c.key_concepts", ","), F.lit("|"), F.col("c.fine_tuning_instructions"))
+    return x.select("doc_id", *[do.focus_instruction(t).alias(t) for t in _TASKS], F.md5(said.cast("binary")).alias("context_md5"))
+
+
 @query("f_mask", """
 SELECT page_id, CASE WHEN length(url) <= 8 THEN repeat('*', length(url))
   ELSE substr(url, 1, 4) || repeat('*', length(url) - 8) || substr(url, length(url) - 3, 4) END AS masked
@@ -522,3 +562,41 @@ def f_domain_json(spark, sf):
         "domain", "valid", "description", F.array_join("key_concepts", ",").alias("key_concepts"),
         F.array_join("focus_areas", ",").alias("focus_areas"), (F.col("config_json") == F.col("again")).alias("roundtrip_ok"),
         F.array_join(entries, ",").alias("terminology"))
+
+
+@query("f_enhanced_json", f"""
+WITH d AS (SELECT *, {_DOMAIN_CASE.format(c='doc_id')} AS domain FROM documents),
+t AS (SELECT domain, lang, count(*) AS n FROM d GROUP BY ALL),
+h AS (SELECT domain, source, array_to_string(list_sort(list(DISTINCT doc_id % 7)), ',') AS v FROM d GROUP BY ALL)
+SELECT domain, true AS valid, true AS roundtrip_ok,
+  (SELECT string_agg(lang || ':' || n, ',' ORDER BY lang) FROM t WHERE t.domain = x.domain) AS templates,
+  (SELECT string_agg(source || ':' || v, ';' ORDER BY source) FROM h WHERE h.domain = x.domain) AS history,
+  CASE WHEN domain <> 'legal' THEN 'languages=' || count(DISTINCT lang) ELSE '' END AS rules
+FROM d x GROUP BY domain""")
+def f_enhanced_json(spark, sf):
+    """The enhanced context of each domain, described from its documents (templates per language,
+    history per source; one domain has no rules), exported, imported, and exported again."""
+    d = table(spark, sf, "documents").select("doc_id", _dom("doc_id").alias("domain"), "lang", "source", "n_chars")
+    templates = d.groupBy("domain", "lang").agg(F.count(F.lit(1)).alias("usage_count"), F.avg("n_chars").alias("success_rate")).select(
+        F.concat_ws("_", "domain", "lang").alias("template_id"), "domain", F.col("lang").alias("task_type"),
+        F.lit("{{domain_knowledge}}").alias("template"), "success_rate", "usage_count")
+    per = d.groupBy("domain", "source").agg(F.transform(F.array_sort(F.collect_set(F.col("doc_id") % 7)), lambda x: x.cast("double")).alias("v"))
+    history = per.groupBy("domain").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "v")))).alias("history"))
+    rules = d.filter("domain <> 'legal'").groupBy("domain").agg(F.count_distinct("lang").cast("string").alias("n")).select(
+        "domain", F.create_map(F.lit("languages"), F.col("n")).alias("rules"))
+    settings = {"max_tokens": "512"}
+    e = co.export_enhanced(domains_df(spark), rules, templates, history, settings)
+    back = co.import_enhanced(e)
+    terms = F.transform(F.map_entries("terminology"), lambda x: F.struct(x["key"].alias("term"), x["value"].alias("definition")))
+    again = co.export_enhanced(back.withColumn("terminology", terms), back.select("domain", F.col("enhancement_rules").alias("rules")),
+                               back.select(F.explode("adaptive_templates").alias("t")).select("t.*"),
+                               back.select("domain", F.col("performance_history").alias("history")), settings)
+
+    def listed(c, text, by):
+        return F.array_join(F.transform(F.array_sort(F.map_entries(c)), text), by)
+    values = listed("performance_history", lambda x: F.concat(x["key"], F.lit(":"), F.array_join(
+        F.transform(x["value"], lambda v: v.cast("long").cast("string")), ",")), ";")
+    uses = F.transform("adaptive_templates", lambda t: F.concat(t["task_type"], F.lit(":"), t["usage_count"].cast("string")))
+    j = back.join(e, "domain").join(again.withColumnRenamed("config_json", "again"), "domain")
+    return j.select("domain", "valid", (F.col("config_json") == F.col("again")).alias("roundtrip_ok"), F.array_join(uses, ",").alias("templates"),
+                    values.alias("history"), listed("enhancement_rules", lambda x: F.concat(x["key"], F.lit("="), x["value"]), ";").alias("rules"))

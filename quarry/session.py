@@ -51,8 +51,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    A local master without the setting (tests) gets a private folder. On a cluster the
-    setting is required: a folder of the driver's machine is not visible to executors.
+    A local master without the setting (tests) gets a private folder, which its context keeps. On a
+    cluster the setting is required: a folder of the driver's machine is not visible to executors.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
@@ -60,8 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        conf_dir = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-ckpt-"))
+        conf_dir = spark.sparkContext.getCheckpointDir()
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
