@@ -121,13 +121,14 @@ def f_mentor_totals(spark, sf):
 
 
 @query("f_apply_feedback", with_views(_PHASE_SQL + """
-SELECT m.session_id, m.feedback_id, m.corrected_response IS NOT NULL AND m.corrected_response <> '' AS has_corrected,
-  CASE WHEN m.rating <> 0 THEN m.rating END AS rating
+SELECT m.session_id, m.feedback_id, md5(nullif(m.corrected_response, '')) AS corrected_md5, md5(m.feedback_text) AS input_md5,
+  md5(m.original_response) AS original_md5, m.mtype AS feedback_type, CASE WHEN m.rating <> 0 THEN m.rating END AS rating
 FROM mentor_v m JOIN fp USING (session_id) WHERE fp.phase IN ('refinement', 'validation') AND NOT m.applied""", "mentor_v"))
 def f_apply_feedback(spark, sf):
     a = mo.apply_feedback(mentor_view(spark, sf))
-    return a.select("session_id", "feedback_id", F.col("example.corrected_output").isNotNull().alias("has_corrected"),
-                    F.col("example.rating").alias("rating"))
+    e = {n: F.md5(F.col(f"example.{c}").cast("binary")).alias(n) for n, c in
+         (("corrected_md5", "corrected_output"), ("input_md5", "input"), ("original_md5", "original_output"))}
+    return a.select("session_id", "feedback_id", *e.values(), "example.feedback_type", "example.rating")
 
 
 # ----------------------------------------------------------------------------- profiles
@@ -200,7 +201,8 @@ def f_start_sessions(spark, sf):
 @query("f_profiles_merge", f"""
 WITH a AS (SELECT name, 'builtin' AS origin, count(*) AS n FROM ({_ELEM_SQL}) WHERE kind = 'decision_pattern' GROUP BY name),
 b AS (SELECT name, 'custom' AS origin, count(*) AS n FROM ({_ELEM_SQL}) WHERE kind = 'case_study' GROUP BY name),
-u AS (SELECT *, 0 AS src FROM a UNION ALL SELECT *, 1 FROM b)
+c AS (SELECT name, 'quoted' AS origin, count(*) AS n FROM ({_ELEM_SQL}) WHERE kind = 'quote' AND substr(name, 9)::INT % 2 = 0 GROUP BY name),
+u AS (SELECT *, 0 AS src FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c)
 SELECT name, arg_max(origin, src) AS origin, arg_max(n, src) AS n FROM u GROUP BY name""")
 def f_profiles_merge(spark, sf):
     e = _elements(spark, sf)
@@ -208,7 +210,9 @@ def f_profiles_merge(spark, sf):
         .withColumn("origin", F.lit("builtin"))
     b = e.filter(F.col("kind") == "case_study").groupBy("name").agg(F.count(F.lit(1)).alias("n")) \
         .withColumn("origin", F.lit("custom"))
-    return mo.merge_profiles(a, b).select("name", "origin", "n")
+    c = e.filter((F.col("kind") == "quote") & (F.substring("name", 9, 9).cast("int") % 2 == 0)).groupBy("name").agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("origin", F.lit("quoted"))       # a source that has half of the profiles
+    return mo.merge_profiles(a, b, c).select("name", "origin", "n")
 
 
 # ----------------------------------------------------------------------------- T8 batch twin

@@ -610,11 +610,11 @@ def f_cycle_timeline(spark, sf):
 SELECT domain, round(o, 6) AS old_success_rate, round(n, 6) AS new_success_rate, round(coalesce(n - o, 0.0), 6)
   AS overall_improvement, coalesce(n - o, 0.0) >= 0.005 AS improved FROM (
   SELECT domain, avg(CASE WHEN error THEN 0.0 ELSE 1.0 END) FILTER (WHERE model_id LIKE '%_m0') AS o,
-    avg(CASE WHEN error THEN 0.0 ELSE 1.0 END) FILTER (WHERE model_id LIKE '%_m1') AS n
+    avg(CASE WHEN error THEN 0.0 ELSE 1.0 END) FILTER (WHERE model_id NOT LIKE '%_m0') AS n
   FROM requests_v GROUP BY domain)""", "requests_v"))
 def f_model_improvement(spark, sf):
     r = requests_view(spark, sf)
-    res = r.filter(F.col("model_id").endswith("_m0") | F.col("model_id").endswith("_m1")).select(
+    res = r.select(
         "domain", F.when(F.col("model_id").endswith("_m0"), "old").otherwise("new").alias("which"), "error")
     v = ro.validate_improvement(res, 0.005)
     return v.select("domain", _r("old_success_rate").alias("old_success_rate"),

@@ -3,6 +3,7 @@ example expansion (J5), splits (W4), JSONL text (S15), validation (P-14, P-15),
 profiles and costs (A27, A29), text utilities (F24–F26, F29), U6."""
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions.domains import domains_df, domains_values_sql
@@ -136,6 +137,7 @@ def f_dedup_examples(spark, sf):
 SELECT d.doc_id, t.example_type, dom.domain,
   replace(t.prefix, '{{name}}', dom.domain_name) AS prompt_prefix,
   length(replace(t.prefix, '{{name}}', dom.domain_name) || chr(10) || chr(10) || d.text) AS user_prompt_chars,
+  md5(replace(t.prefix, '{{name}}', dom.domain_name) || chr(10) || chr(10) || d.text) AS user_prompt_md5,
   'You are an expert in ' || dom.domain_name || '. ' || dom.description AS system_prompt
 FROM documents d
 JOIN {domains_values_sql(("domain", "domain_name", "description"))} ON dom.domain = {_DOMAIN_CASE.format(c='d.doc_id')}
@@ -146,7 +148,8 @@ CROSS JOIN (VALUES ('summarization', 'Summarize the following {{name}} content:'
 def f_example_expand(spark, sf):
     x = tr.expand_example_types(_docs(spark, sf), domains_df(spark))
     return x.select("doc_id", "example_type", "domain", "prompt_prefix",
-                    F.length("user_prompt").cast("long").alias("user_prompt_chars"), "system_prompt")
+                    F.length("user_prompt").cast("long").alias("user_prompt_chars"),
+                    F.md5(F.col("user_prompt").cast("binary")).alias("user_prompt_md5"), "system_prompt")
 
 
 @query("f_messages", with_views(f"""
@@ -157,7 +160,7 @@ SELECT d.doc_id,
 FROM documents d
 JOIN {domains_values_sql(("domain", "domain_name", "description"))} ON dom.domain = {_DOMAIN_CASE.format(c='d.doc_id')}"""))
 def f_messages(spark, sf):
-    x = tr.expand_example_types(_docs(spark, sf), domains_df(spark)).filter(F.col("type_ord") == 0)
+    x = tr.expand_example_types(_docs(spark, sf), domains_df(spark), types=tr.EXAMPLE_TYPES[:1])
     m = tr.to_messages(F.col("system_prompt"), "user_prompt", "source")
     return x.select("doc_id", F.to_json(m).alias("messages_json"))
 
@@ -204,16 +207,30 @@ def f_valid_pairs(spark, sf):
 
 
 @query("f_validate_examples", with_views("""
-SELECT feedback_id,
-  CASE WHEN length(user_input) < 1 THEN 'empty_content'
-       WHEN model_output IS NULL OR length(model_output) < 1 THEN 'empty_content'
-       WHEN length(user_input) > 2000 OR length(model_output) > 2000 THEN 'content_too_long'
-       WHEN length(user_input) + length(model_output) > 3000 THEN 'example_too_long' END AS reject_reason
+SELECT feedback_id, CASE feedback_id % 9 WHEN 1 THEN 'no_messages' WHEN 2 THEN 'unknown_role' WHEN 3 THEN 'too_few_turns'
+    WHEN 4 THEN 'bad_turn_order' WHEN 5 THEN 'no_final_answer' ELSE
+  CASE WHEN feedback_id % 9 = 7 OR length(user_input) < 1 OR model_output IS NULL OR length(model_output) < 1 THEN 'empty_content'
+       WHEN length(user_input) > 900 OR length(model_output) > 900 THEN 'content_too_long'
+       WHEN length(user_input) + length(model_output) + (CASE WHEN feedback_id % 9 = 6 THEN 18 ELSE 0 END) > 1200
+       THEN 'example_too_long' END END AS reject_reason
 FROM feedback_v""", "feedback_v"))
 def f_validate_examples(spark, sf):
+    """Conversations of all kinds that are rejected: without messages, with an unknown role, one turn, turns
+    out of order, no answer at the end, empty and long contents, and long in all."""
     f = feedback_view(spark, sf)
-    ex = f.select("feedback_id", tr.to_messages(None, "user_input", "model_output").alias("messages"))
-    return tr.validate_examples(ex, 1, 2000, 3000).select("feedback_id", "reject_reason")
+
+    def m(role, content):
+        return F.struct(F.lit(role).alias("role"), (content if isinstance(content, Column) else F.lit(content)).alias("content"))
+    q, a, kind = F.col("user_input"), F.col("model_output"), F.col("feedback_id") % 9
+    messages = (F.when(kind == 1, F.array().cast("array<struct<role:string,content:string>>"))
+                .when(kind == 2, F.array(m("user", q), m("robot", a)))
+                .when(kind == 3, F.array(m("system", "You are an expert."), m("user", q)))
+                .when(kind == 4, F.array(m("user", q), m("user", a)))
+                .when(kind == 5, F.array(m("user", q), m("assistant", a), m("user", q)))
+                .when(kind == 6, F.array(m("system", "You are an expert."), m("user", q), m("assistant", a)))
+                .when(kind == 7, F.array(m("user", q), m("assistant", "")))
+                .otherwise(tr.to_messages(None, "user_input", "model_output")))
+    return tr.validate_examples(f.select("feedback_id", messages.alias("messages")), 1, 900, 1200).select("feedback_id", "reject_reason")
 
 
 # ----------------------------------------------------------------------------- L6, J7, J13, A29
