@@ -138,14 +138,16 @@ def scan(spark: SparkSession, folder: str, files: DataFrame | None = None, end:
     run = (run.withColumn("open", F.sum("open").over(open_))
            .withColumn("carry", F.coalesce(F.lag("open").over(order), F.lit(0)))
            .withColumn("last", F.lead("block").over(order).isNull()))
-    carried = F.when(F.col("i") == 0, F.col("carry")).otherwise(0)
-    inside = run.select("file", "first", "start", "carry", F.posexplode("docs").alias("i", "doc")).select(
-        "file", (F.col("first") + F.col("i")).alias("place"), (F.col("start") + F.col("doc.start") - carried).alias("start"),
-        (F.col("doc.n") + carried).alias("n_tokens"), F.lit(True).alias("ended"))
-    rest = (run.filter(F.col("last") & (F.col("open") > 0))
-            .select("file", (F.col("first") + F.col("ends")).alias("place"),
-                    (F.col("start") + F.col("ids") - F.col("open")).alias("start"), F.col("open").alias("n_tokens"), F.lit(False).alias("ended")))
-    return inside.unionAll(rest)
+    def row(place, start, n, ended):
+        return F.struct(place.cast("long").alias("place"), start.cast("long").alias("start"), n.cast("long").alias("n_tokens"), F.lit(ended).alias("ended"))
+
+    def document(doc, i):
+        carried = F.when(i == 0, F.col("carry")).otherwise(0)
+        return row(F.col("first") + i, F.col("start") + doc["start"] - carried, doc["n"] + carried, True)
+    rest = row(F.col("first") + F.col("ends"), F.col("start") + F.col("ids") - F.col("open"), F.col("open"), False)
+    # a block's documents and what stands open at the end of a file, in one array: the files are read once
+    every = F.concat(F.transform("docs", document), F.when(F.col("last") & (F.col("open") > 0), F.array(rest)).otherwise(F.array()))
+    return run.select("file", F.explode(every).alias("d")).select("file", "d.*")
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
