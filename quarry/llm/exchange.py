@@ -98,14 +98,22 @@ def _place(id_: Column, words: int) -> tuple[Column, Column]:
 
 
 def bitmap(ids: DataFrame, id_col: str, words: int) -> DataFrame:
-    """One row: `_bits`, `words` longs with a place for each hash of an id. Of fixed size, however many ids."""
+    """One row: `_place_bits`, `words` longs with a place for each hash of an id. Of fixed size, however many ids."""
     word, bit = _place(F.col(id_col), words)
     some = ids.groupBy(word.alias("id")).agg(F.bit_or(bit).alias("w"))
     every = ids.sparkSession.range(words).join(some, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "w"))), lambda x: x["w"]).alias("_bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "w"))), lambda x: x["w"]).alias("_place_bits"))
 
 
 def with_marked(df: DataFrame, id_col: str, bits: DataFrame, words: int, out: str) -> DataFrame:
     """Add `out`: is the id's place in the bitmap taken? Always for an id of the bitmap, rarely for others."""
     word, bit = _place(F.col(id_col), words)
-    return df.crossJoin(F.broadcast(bits)).withColumn(out, F.get("_bits", word).bitwiseAND(bit) != 0).drop("_bits")
+    name = unused(df, "_place_bits")
+    return df.crossJoin(F.broadcast(bits.withColumnRenamed("_place_bits", name))).withColumn(out, F.get(name, word).bitwiseAND(bit) != 0).drop(name)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that begins no column of `df`."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name

@@ -20,13 +20,16 @@ star-shaped candidate edges, links confirmed on full shingle sets (operator 4).
 Two sets of similarity 0.75 miss each other in every band with a chance of 8e-6 at most
 ((1 - 0.75^8)^112), of 0.8 with 2e-9; of similarity 0.3 they meet with a chance of 0.7 %.
 
-Skew: a band shared by a third of all classes is found from one entry for each task; centres are
-chosen by a partial top-k; joins of members with centres are on (bucket) with one row for each
-centre, which adaptive execution splits.
+Skew: a band shared by a third of all classes is found from one entry for each task; the number of buckets
+follows the classes; centres are chosen by a top-k that starts in each task (in two stages beyond what Spark
+limits there); joins of members with centres are on (bucket) with one row for each centre, which adaptive
+execution splits. Texts move only where a class has met another, whole rows only where they are dropped or
+share an id: a bitmap of these ids (of fixed size) keeps the others out of the exact joins.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer words
 than a shingle make one shingle; rows of one id are one node; a row with a null id has a null component
-and is kept; no rows give no rows; other columns aren't read.
+and is kept; of the rows of one id, ``deduplicate`` keeps that with the smallest hash of its text; no rows give
+no rows; other columns aren't read.
 """
 from __future__ import annotations
 
@@ -47,6 +50,9 @@ BINS, ROWS = 896, 8       # 112 bands of 8 values
 BANDS = BINS // ROWS
 CLOSE = 50                # similarity, in percent, that puts texts into one family
 CHUNK = 300_000           # shingles of a chunk of a family, about
+ENTRIES = 2_000_000       # (class, band) entries of a bucket, about
+LIMIT = 1000              # centres up to which Spark limits a window's rows before the shuffle
+PLACES = 1 << 17          # words of the bitmaps of ids (1 MB)
 LEAST = 3                 # sets of one or two shingles have no unequal set of similarity 0.75
 _U = np.uint64
 _SEED = K.mix(np.arange(1, 3, dtype=np.uint64))
@@ -179,8 +185,7 @@ def _met(table: pa.Table) -> pa.Table:
 
 def members(classes: DataFrame) -> DataFrame:
     """(key, id, n) of every band bucket with two classes or more."""
-    spark = classes.sparkSession
-    buckets = 2 * X.shuffle_partitions(spark)
+    buckets = max(2 * X.shuffle_partitions(classes.sparkSession), classes.count() * BANDS // ENTRIES)
     dealt = classes.select("id", "n", "bands").filter("bands is not null").mapInArrow(_dealt(buckets), _DEALT)
     return dealt.groupBy("bucket").applyInArrow(_met, "key long, id long, n long")
 
@@ -307,6 +312,15 @@ def families(near: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.groupBy("pair").applyInArrow(_within, "a long, b long").distinct()
 
 
+def _centres(m: DataFrame, most: int) -> DataFrame:
+    """The `most` best connected members of each key."""
+    order = [F.col("near").desc(), "id"]
+    if most > LIMIT:      # first of parts of each key, so that no task sorts a hot key
+        spread = m.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(X.shuffle_partitions(m.sparkSession))))
+        m = spread.withColumn("r", F.row_number().over(Window.partitionBy("key", "s").orderBy(*order))).filter(F.col("r") <= most).drop("s", "r")
+    return m.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("r") <= most)
+
+
 def link(texts: DataFrame, buckets: DataFrame) -> DataFrame:
     """(id, root) of the classes in `buckets` that have links; see the module's doc. Between rounds a
     class carries the smallest label that near neighbours have told it: equal labels mean one
@@ -315,9 +329,7 @@ def link(texts: DataFrame, buckets: DataFrame) -> DataFrame:
     labels = X.compact(texts.select("id")).select("id", F.col("id").alias("label"), F.lit(0).cast("long").alias("near"))
     tried, centres = None, 1
     while True:
-        order = Window.partitionBy("key").orderBy(F.col("near").desc(), "id")
-        centre = X.compact(X.table(
-            m.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= centres)
+        centre = X.compact(X.table(_centres(m, centres)
             .select("key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")), "centres"))
         star = X.compact(X.table(m.join(centre, "key")
                 .filter((F.col("label") != F.col("cl")) & (100 * F.least("n", "cn") >= CLOSE * F.greatest("n", "cn")))
@@ -369,9 +381,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = sets.groupBy("p1", "p2", "n").agg(F.min(F.struct("id", "bands")).alias("least"))
     classes = X.table(least.select("p1", "p2", "n", "least.id", "least.bands"), "classes")
     buckets = X.table(members(classes), "buckets")
-    wanted = buckets.select("id", "n").distinct()
-    texts = X.table(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-                    .join(wanted, "id").dropDuplicates(["id"]), "texts")
+    wanted = X.table(buckets.select("id", "n").distinct(), "wanted")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = X.with_marked(rows, "id", X.bitmap(wanted, "id", PLACES), PLACES, "marked").filter("marked").drop("marked")
+    texts = X.table(rows.join(wanted, "id").dropDuplicates(["id"]), "texts")
     roots = link(texts, buckets)
     found = (classes.select("p1", "p2", "n", "id").join(roots, "id", "left")
              .select("p1", "p2", "n", F.coalesce("root", "id").alias("component_id")))
@@ -385,7 +398,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each component, its smallest id; of repeated rows of one id, one.
     Rows with a null id stay. All columns kept."""
-    gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    known = docs.filter(F.col(id_col).isNotNull())
-    rest = known.join(gone, known[id_col].cast("long") == gone["_gone"], "left_anti").dropDuplicates([id_col])
-    return rest.unionAll(docs.filter(F.col(id_col).isNull()))
+    p = X.unused(docs, "_near")
+    node, mark, kept, r = F.col(f"{p}_id"), F.col(f"{p}_marked"), F.col(f"{p}_kept"), f"{p}_r"
+    near = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
+    odd = near.groupBy(F.col(id_col).alias(f"{p}_id")).agg(F.min("kept").alias(f"{p}_kept"), F.count("*").alias("n"))
+    odd = X.table(odd.filter((F.col("n") > 1) | ~kept).drop("n"), "odd")
+    rows = docs.withColumn(f"{p}_id", F.col(id_col).cast("long"))
+    rows = X.with_marked(rows, f"{p}_id", X.bitmap(odd, f"{p}_id", PLACES), PLACES, f"{p}_marked")
+    marked = F.coalesce(mark, F.lit(False)) & node.isNotNull()
+    one = Window.partitionBy(node).orderBy(F.xxhash64(text_col))
+    some = rows.filter(marked).join(odd, f"{p}_id", "left").filter(F.coalesce(kept, F.lit(True))).withColumn(r, F.row_number().over(one)).filter(F.col(r) == 1)
+    return rows.filter(~marked).select(*docs.columns).unionAll(some.select(*docs.columns))

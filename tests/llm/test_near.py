@@ -109,3 +109,34 @@ def test_no_rows_and_nothing_linked(spark, none):
     one = spark.createDataFrame([(5, "a b c d e f g h"), (6, None)], "doc_id long, text string")
     assert sorted(map(tuple, near.near_duplicates(one).collect())) == [(5, 4, 5, True), (6, 0, 6, True)]
     assert near.deduplicate(none).filter(F.lit(True)).collect() == []
+
+
+def test_centres_in_two_stages(spark, monkeypatch):
+    m = spark.range(5000).selectExpr("if(id % 10 > 0, 1, id) as key", "id", "pmod(xxhash64(id), 40) as near")
+    want = sorted(map(tuple, near._centres(m, 50).collect()))
+    monkeypatch.setattr(near, "LIMIT", 10)
+    got = near._centres(m, 50)
+    assert sorted(map(tuple, got.select("key", "id", "near", "r").collect())) == want
+    assert got._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
+def test_buckets_follow_the_classes(spark, docs, corpus, split, monkeypatch):
+    counts = []
+    dealt = near._dealt
+    monkeypatch.setattr(near, "_dealt", lambda n: counts.append(n) or dealt(n))
+    monkeypatch.setattr(near, "ENTRIES", 100)
+    got = sorted(map(tuple, near.near_duplicates(docs).collect()), key=repr)
+    assert got == brute(corpus, split) and counts[0] > 2 * near.X.shuffle_partitions(spark)
+
+
+def test_rows_of_one_id_and_ids_beside_them(spark):
+    rows = [(1, "a b c d e f g", "first"), (1, "h i j k l m n", "second"), (1, "h i j k l m n", "second"), (2, "o p q r s t u", "x"), (3, "o p q r s t u", "y"),
+            (None, "o p q r s t u", "z"), (None, None, "z")] + [(100 + i, f"w{i} x{i} y{i} z{i} u{i} v{i}", "p") for i in range(300)]
+    outs = set()
+    for parts in (1, 5):
+        d = spark.createDataFrame(rows, "doc_id long, text string, _place_bits string").repartition(parts)
+        kept = near.deduplicate(d).collect()
+        ids = [r["doc_id"] for r in kept]
+        assert sorted(i for i in ids if i is not None) == [1, 2, *range(100, 400)] and ids.count(None) == 2
+        outs |= {(r["text"], r["_place_bits"]) for r in kept if r["doc_id"] == 1}
+    assert len(outs) == 1
