@@ -8,6 +8,7 @@ does not depend on the length of a text, only its word arrays do (about 4 bytes
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,19 @@ SLICE = 1 << 20          # bytes hashed at a time
 BLOCK_BYTES = 4 << 20   # bytes of text that a task treats as one block
 BLOCK_ROWS = 2048        # rows of a block at most
 
+
+
+def _give_back() -> None:
+    """glibc keeps freed arrays of up to 32 MB in the process, so a worker that serves several
+    operators would hold the largest of each. Arrays of 4 MB and more go back to the system instead."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)      # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):               # another C library
+        pass
+
+
+_give_back()
+
 _U = np.uint64
 _BASE, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)  # odd, so invertible mod 2^64
 _rng = np.random.Generator(np.random.PCG64(20240117))
