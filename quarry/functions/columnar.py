@@ -80,3 +80,34 @@ def first_terms(lowered: pa.Array, terms: Sequence[str], n: int) -> pa.Array:
     found &= np.cumsum(found, axis=1) <= n
     doc, term = np.nonzero(found)
     return _lists(pa.array(list(terms), pa.string()).take(pa.array(term)), doc, len(texts))
+
+
+def _counts(doc: np.ndarray, code: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, code) entries in order, and how often each occurs."""
+    key = np.sort(doc * max(kinds, 1) + code)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[at] // max(kinds, 1), key[at] % max(kinds, 1), np.diff(np.append(at, len(key)))
+
+
+def term_counts(lowered: pa.Array, stopwords: Sequence[str]) -> pa.Array:
+    """Terms of each text with their counts, as lists of struct(term, tf): runs of two or more letters,
+    digits and underscores that are no stop words, and the pairs of neighbours among these."""
+    split = pc.split_pattern_regex(pc.fill_null(lowered.cast(pa.large_string()), ""), pattern=r"[^\p{L}\p{N}_]+")
+    doc = np.repeat(np.arange(len(lowered)), np.diff(split.offsets.to_numpy().astype(np.int64)))
+    words = split.flatten()
+    keep = _long(words, 2)
+    if stopwords:
+        keep &= ~pc.is_in(words, value_set=pa.array(list(stopwords), words.type)).to_numpy(zero_copy_only=False)
+    words, doc = _kept(words, doc, keep)
+    coded = words.dictionary_encode()
+    code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    next_ = np.flatnonzero(doc[1:] == doc[:-1])                      # tokens with a neighbour after them
+    pairs, pair = np.unique(code[next_] * max(len(names), 1) + code[next_ + 1], return_inverse=True)
+    first, second = (names.take(pa.array(x)) for x in (pairs // max(len(names), 1), pairs % max(len(names), 1)))
+    terms = pa.concat_arrays([names, pc.binary_join_element_wise(first, second, pa.scalar(" ", names.type))])
+    one, two = _counts(doc, code, len(names)), _counts(doc[next_], pair, len(pairs))
+    of, which, n = (np.concatenate(x) for x in zip(one, (two[0], two[1] + len(names), two[2])))
+    order = np.argsort(of, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(lowered)))])
+    entries = pa.StructArray.from_arrays([terms.take(pa.array(which[order])).cast(pa.string()), pa.array(n[order], pa.int64())], names=["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)

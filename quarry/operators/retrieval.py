@@ -21,9 +21,11 @@ import zipfile
 from functools import lru_cache
 from typing import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import columnar
 from quarry.functions.lexicons import WS_CLASS
 from quarry.plans.tables import written
 from quarry.plans.topk import top_k_rows
@@ -72,14 +74,20 @@ def add_terms(df: DataFrame, text: str, out: str = "terms", stopwords: Sequence[
     return x.withColumn(out, F.concat("_uni", "_bi")).drop("_tok", "_uni", "_bi")
 
 
+@lru_cache(None)
+def _counts_udf(stopwords: tuple):
+    def run(texts: pa.Array) -> pa.Array:
+        return columnar.term_counts(texts, stopwords)
+    return F.arrow_udf(run, "array<struct<term:string,tf:long>>")
+
+
 def postings(docs: DataFrame, key: str | Sequence[str], text: str, group: str = "domain",
              stopwords: Sequence[str] | None = None) -> DataFrame:
-    """(group, *key, term, tf) for every document. `explode_outer` keeps Spark from adding a
-    filter on the size of the terms, which would analyse every text twice."""
-    keys = _keys(key)
-    x = add_terms(docs.select(group, *keys, text), text, "_terms", stopwords)
-    x = x.select(group, *keys, F.explode_outer("_terms").alias("term")).filter(F.col("term").isNotNull())
-    return x.groupBy(group, *keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(group, *key, term, tf) for every document (a row with a key of its own). Terms are counted inside
+    each row, over whole Arrow columns (`columnar.term_counts`), so nothing is shuffled."""
+    stop = tuple(spark_english_stopwords() if stopwords is None else stopwords)
+    counted = docs.select(group, *_keys(key), F.explode(_counts_udf(stop)(F.lower(F.col(text)))).alias("_t"))
+    return counted.select(group, *_keys(key), "_t.term", "_t.tf")
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -88,13 +96,13 @@ def _keys(key: str | Sequence[str]) -> list[str]:
 
 def fit_tfidf(docs: DataFrame, key: str | Sequence[str] = "id", text: str = "content", group: str = "domain",
               max_features: int = 5000, stopwords: Sequence[str] | None = None):
-    """Returns (vocab: group, term, idf; doc_weights: group, key, term, weight)."""
-    p = postings(docs, key, text, group, stopwords)
+    """Returns (vocab: group, term, idf; doc_weights: group, key, term, weight). The postings are written once."""
+    p = written(postings(docs, key, text, group, stopwords), "postings")
     n = docs.select(group).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     stats = p.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     vocab = top_k_rows(stats, [group], [F.col("cf").desc(), F.col("term")], max_features, "_vr")
-    vocab = vocab.join(n, group).select(
-        group, "term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    vocab = written(vocab.join(n, group).select(
+        group, "term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "vocabulary")
     return vocab, weigh(p, vocab, key, group)
 
 
@@ -102,8 +110,8 @@ def weigh(p: DataFrame, vocab: DataFrame, key: str | Sequence[str], group: str =
     """tf × idf over vocabulary terms, L2-normalised per document."""
     keys = _keys(key)
     w = p.join(vocab, [group, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy(group, *keys).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return w.join(norm, [group, *keys]).select(group, *keys, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(group, *keys)))      # a document's terms
+    return w.select(group, *keys, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def similarity(query_w: DataFrame, doc_w: DataFrame, qkey: str = "query_id", dkey: str | Sequence[str] = "id",
@@ -117,6 +125,7 @@ def similarity(query_w: DataFrame, doc_w: DataFrame, qkey: str = "query_id", dke
         F.round(F.sum(F.col("_wq") * F.col("_wd")), 9).alias("similarity"))
 
 
+READ_ALL = 50_000  # documents of a term up to which all its blocks are read
 BLOCKS = 16        # levels of weight that the documents of a term are cut into
 _SLACK = 2e-9      # similarities are rounded to 9 decimals
 
@@ -135,7 +144,7 @@ def _thresholds(marks: DataFrame, q: DataFrame, d: DataFrame, qkey: str, keys: l
 
 
 def bounded_similarity(query_w: DataFrame, doc_w: DataFrame, qkey: str = "query_id", dkey: str | Sequence[str] = "id",
-                       group: str = "domain", limit: int = 10, floor: float = 0.1) -> DataFrame:
+                       group: str = "domain", limit: int = 10, floor: float = 0.1, read_all: int = READ_ALL) -> DataFrame:
     """J2 for searches: the cosine similarity (as `similarity`) of every pair that can be among a query's
     `limit` best and above `floor`; other pairs may be missing.
 
@@ -144,19 +153,23 @@ def bounded_similarity(query_w: DataFrame, doc_w: DataFrame, qkey: str = "query_
     terms before can add, stays below the query's threshold (a similarity that `limit` documents are known to reach, or
     the floor). So a term that nearly all documents hold, which weighs little, is not expanded into
     pairs. What the blocks read have found is kept if the skipped blocks could lift it over the threshold, and
-    only for these pairs the skipped terms are looked up."""
+    only for these pairs the skipped terms are looked up. Terms of at most `read_all` documents of a group are always
+    read; if no term has more, this is `similarity`."""
     keys = _keys(dkey)
+    most = doc_w.groupBy(group, "term").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= read_all:
+        return similarity(query_w, doc_w, qkey, keys, group)
     d = doc_w.select(group, *keys, "term", F.col("weight").alias("_wd"), F.floor(F.col("weight") * BLOCKS).cast("int").alias("_block"))
-    tops = d.groupBy(group, "term", "_block").agg(F.max("_wd").alias("_top"))
-    most = tops.groupBy(group, "term").agg(F.max("_top").alias("_most"))
+    tops = d.groupBy(group, "term", "_block").agg(F.max("_wd").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    most = tops.groupBy(group, "term").agg(F.max("_top").alias("_most"), F.sum("_n").alias("_all"))
     q = query_w.select(group, qkey, "term", F.col("weight").alias("_wq")).join(most, [group, "term"])
     share = F.col("_wq") * F.col("_most")
     before = Window.partitionBy(group, qkey).orderBy(share, "term").rowsBetween(Window.unboundedPreceding, -1)     # a query's terms
     q = q.withColumn("_rest", F.coalesce(F.sum(share).over(before), F.lit(0.0))).drop("_most")
-    marks = q.join(tops, [group, "term"])
+    marks = q.join(tops.drop("_n"), [group, "term"])
     theta = _thresholds(marks, q, d, qkey, keys, group, limit, floor)
     marks = marks.join(theta, [group, qkey]).withColumn(
-        "_read", F.col("_wq") * F.col("_top") + F.col("_rest") >= F.col("_theta") - F.lit(_SLACK))
+        "_read", (F.col("_all") <= read_all) | (F.col("_wq") * F.col("_top") + F.col("_rest") >= F.col("_theta") - F.lit(_SLACK)))
     found = (marks.filter("_read").select(group, qkey, "term", "_block", "_wq").join(d, [group, "term", "_block"])
              .groupBy(group, qkey, *keys).agg(F.sum(F.col("_wq") * F.col("_wd")).alias("_s")))
     # of a term, the blocks of small weights are skipped: those up to `_upto`
@@ -179,7 +192,7 @@ def search(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: s
     postings, so documents aren't read again; the weighted postings are written once; only pairs that can
     be among a query's best are scored (`bounded_similarity`)."""
     vocab, dw = fit_tfidf(docs, [dkey, order_key], dtext, group, max_features, stopwords)
-    vocab, dw = written(vocab, "vocabulary"), written(dw, "document-weights")
+    dw = written(dw, "document-weights")
     qw = written(weigh(postings(queries, qkey, qtext, group, stopwords), vocab, qkey, group), "query-weights")
     s = bounded_similarity(qw, dw, qkey, [dkey, order_key], group, limit, floor)
     top = top_k_rows(s, [group, qkey], [F.col("similarity").desc(), F.col(order_key)], limit)

@@ -13,6 +13,7 @@ looked up in an array of small maps by its hash, so a reference costs a few comp
 from __future__ import annotations
 
 import html as _standard
+import json
 from collections.abc import Mapping
 from functools import lru_cache
 from html.entities import html5
@@ -44,10 +45,9 @@ def _slot_of(name: Column) -> Column:
     return total % SLOTS
 
 
-def _map(entries: Mapping[str, str]) -> Column:
-    if not entries:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for kv in sorted(entries.items()) for x in kv])
+def _literal(value, kind: str) -> Column:
+    """A constant of any size as one literal (its JSON text, parsed once when the plan is optimised)."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 @lru_cache(4)
@@ -66,7 +66,7 @@ def _numbers() -> dict[int, str]:
 
 def _character(number: Column) -> Column:
     """The text of a numeric reference."""
-    odd = _map({str(n): x for n, x in _numbers().items()})
+    odd = _literal({str(n): x for n, x in _numbers().items()}, "map<string,string>")
     plane_end = number.bitwiseAND(F.lit(0xFFFE).cast("long")) == 0xFFFE
     utf = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     return (F.when(number.isNull() | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("�"))
@@ -78,7 +78,7 @@ def _character(number: Column) -> Column:
 
 def _named(name: Column, names: Mapping[str, str]) -> Column:
     """The text of a named reference and what follows the part of it that is a name; null if none is."""
-    table = F.array(*[_map(dict(s)) for s in _slots(tuple(sorted(names.items())))])
+    table = _literal([dict(s) for s in _slots(tuple(sorted(names.items())))], "array<map<string,string>>")
 
     def found(x: Column) -> Column:
         return F.get(table, _slot_of(x))[x]

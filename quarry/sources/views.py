@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 from quarry.functions.lexicons import AS_OF, KEYWORD_STOPWORDS, TEST_LEXICON, WS_REGEX
 from quarry.plans.ordinal import with_ordinal
+from quarry.plans.tables import written
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -34,13 +35,14 @@ def _domain_of(col) -> F.Column:
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user → assistant pairs with a 0-based `pair_id` in (conv_id, turn) order."""
+    """user → assistant pairs with a 0-based `pair_id` in (conv_id, turn) order; written once, as every view of
+    feedback is joined with them."""
     conv = table(spark, sf_dir, "conversations")
     u = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
     a = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
     pairs = u.join(a, ["conv_id", "turn"])
-    return with_ordinal(pairs, ["conv_id", "turn"], name="pair_id")
+    return written(with_ordinal(written(pairs, "turns"), ["conv_id", "turn"], name="pair_id"), "pairs")
 
 
 def feedback_view(spark: SparkSession, sf_dir: str) -> DataFrame:

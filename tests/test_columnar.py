@@ -55,3 +55,17 @@ def test_white_space_and_letters_are_those_of_python():
         alpha = columnar.first_letter_words(pa.array([c * 5 for c in chars]), 1, 5).to_pylist()
         odd = [hex(ord(c)) for c, a in zip(chars, alpha) if bool(a) != (unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo")) and unicodedata.category(c) != "Cn"]
         assert len(odd) < 30, odd[:5]
+
+
+def test_term_counts():
+    import re
+    stop = ("the", "with", "que")
+
+    def want(t):
+        tokens = [w for w in re.findall(r"\w{2,}", t or "") if w not in stop]
+        return Counter(tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])])
+    xs = [t and t.lower() for t in texts()]
+    got = columnar.term_counts(pa.array(xs), stop).to_pylist()
+    assert [{e["term"]: e["tf"] for e in g} for g in got] == [want(t) for t in xs] and all(len(g) == len({e["term"] for e in g}) for g in got)
+    assert columnar.term_counts(pa.array([None, "", "a b"], pa.string()), ()).to_pylist() == [[], [], []]
+    assert columnar.term_counts(pa.array([], pa.string()), stop).to_pylist() == []

@@ -33,7 +33,7 @@ def test_bounded_similarity_keeps_the_best_and_scores_few(spark):
     every = rt.similarity(q, d)
     order = [F.col("similarity").desc(), F.col("id")]
     for limit, floor in ((10, 0.1), (3, 0.5), (2000, 0.0)):
-        bounded = rt.bounded_similarity(q, d, limit=limit, floor=floor)
+        bounded = rt.bounded_similarity(q, d, limit=limit, floor=floor, read_all=0)
         want = rt.top_k_rows(every, ["domain", "query_id"], order, limit).filter(F.col("similarity") > floor)
         got = rt.top_k_rows(bounded, ["domain", "query_id"], order, limit).filter(F.col("similarity") > floor)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
@@ -43,7 +43,10 @@ def test_bounded_similarity_keeps_the_best_and_scores_few(spark):
 
 def test_no_queries_no_documents(spark):
     q, d = weights(spark, random.Random(1), 20, 3)
-    assert rt.bounded_similarity(q.limit(0), d).collect() == [] and rt.bounded_similarity(q, d.limit(0)).collect() == []
+    for n in (0, 10**6):
+        assert rt.bounded_similarity(q.limit(0), d, read_all=n).collect() == [] and rt.bounded_similarity(q, d.limit(0), read_all=n).collect() == []
+    some = rt.bounded_similarity(q, d, read_all=8, floor=0.0, limit=100)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, rt.similarity(q, d).select(*some.columns).collect()))
 
 
 def jaccard_pairs(texts, threshold, k):
