@@ -21,7 +21,6 @@ BLOCK_BYTES = 4 << 20   # bytes of text that a task treats as one block
 BLOCK_ROWS = 2048        # rows of a block at most
 
 
-
 def _give_back() -> None:
     """glibc keeps freed arrays of up to 32 MB in the process, so a worker that serves several
     operators would hold the largest of each. Arrays of 4 MB and more go back to the system instead."""
