@@ -142,6 +142,7 @@ SELECT dom.domain, dom.domain_name, array_to_string(dom.key_concepts[1:5], ', ')
 FROM {domains_values_sql(("domain", "domain_name", "key_concepts"))}
 WHERE dom.domain IN (SELECT DISTINCT {_DOMAIN_CASE.format(c='doc_id')} FROM documents)""")
 def f_list_domains(spark, sf):
+    """P-13: the built-in domains that documents have (f_domain_listing joins models and adapters)."""
     present = table(spark, sf, "documents").select(_dom("doc_id").alias("domain")).distinct()
     d = domains_df(spark).join(present, "domain", "left_semi")
     return do.list_domains(d).select("domain", "domain_name", F.array_join("key_concepts", ", ").alias("key_concepts"),

@@ -278,6 +278,7 @@ WITH seen AS (SELECT sha256(text) AS content_hash,
 SELECT doc_id FROM documents
 WHERE sha256(text) NOT IN (SELECT content_hash FROM seen WHERE processed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3600 SECOND)""")
 def f_only_new(spark, sf):
+    """U6 over all documents; a third of them (fixture choice) was seen before, at times around the limit."""
     docs = table(spark, sf, "documents")
     seen = docs.filter(F.col("doc_id") % 3 == 0).select(
         F.sha2("text", 256).alias("content_hash"),

@@ -279,6 +279,7 @@ LEFT JOIN (SELECT DISTINCT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS
                WHEN 2 THEN 'legal' ELSE 'financial' END AS domain
            FROM documents WHERE length(source) = 4) m USING (file_name)""")
 def f_domain_mapping(spark, sf):
+    """J13 over a file name for each document; the mapping knows sources by their number (fixture choice)."""
     docs = table(spark, sf, "documents")
     files = docs.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
                         .alias("file_name"))
