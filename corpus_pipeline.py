@@ -11,33 +11,55 @@ further columns pass through every stage as the operators define.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import contamination, exchange, language, mixing, near, pii
+from quarry.session import SCALE_CONF, ship_package
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage run on its own finds the package on the executors, and Arrow batches of whole texts bounded
+    by bytes."""
+    @wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH, SCALE_CONF[BATCH])
+        ship_package(spark)
+        return fn(spark, docs, sf_dir)
+    return run
 
 
+@stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no learned language explains go."""
     return language.accept(docs, language.train(docs))
 
 
+@stage
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id."""
     return near.deduplicate(docs)
 
 
+@stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Selected spans are replaced in the text; n_chars is the new length."""
     clean = pii.redact(docs, pii.train(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All sources at the same weight: each row as often as its Poisson number says, with `copy`."""
     return mixing.mix(docs)
@@ -56,6 +78,6 @@ ORACLE_SQL = None     # SQL can't express the first and the fourth stage
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = exchange.table(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, step in STAGES:
+        docs = exchange.table(step(spark, docs, sf_dir), f"stage-{name}")
     return docs
