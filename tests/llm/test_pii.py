@@ -110,3 +110,50 @@ def test_trees_learn_an_interaction_and_handle_one_class():
     assert ((trees.predict(x[1000:]) > 0.5) == y[1000:]).mean() > 0.95
     assert (Trees().fit(x, np.ones(2000)).predict(x) > 0.99).all()
     assert len(Trees().fit(x[:0], y[:0]).predict(x[:3])) == 3
+
+
+def planted(rng, n):
+    """(text, kind, start, end, cue): one planted item each, whose truth comes from the planting; kind None for decoys."""
+    def digits(k):
+        return "".join(rng.choice("0123456789") for _ in range(k))
+
+    def name():
+        return "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randrange(4, 9)))
+    words = ["the", "result", "was", "seen", "again", "in", "many", "towns", "before", "noon", "nichts", "toda", "sous"]
+    out = []
+    for i in range(n):
+        kind, cue, lead, item = [
+            lambda: ("email", "masked", "", f"{name()}.{name()} [at] {name()} [dot] {rng.choice(['com', 'org', 'de'])}"),
+            lambda: ("email", "masked", "write to ", f"{name()}(at){name()}.{rng.choice(['com', 'org', 'de'])}"),
+            lambda: ("phone", "cue", rng.choice(["tel. ", "phone: ", "call ", "mobile "]), rng.choice([f"0{digits(2)} {digits(3)} {digits(4)}", f"({digits(4)}) {digits(3)}-{digits(3)}", f"{digits(3)}.{digits(3)}.{digits(4)}"])),
+            lambda: ("phone", "no cue", "", f"{digits(3)}-{digits(3)}-{digits(4)}"),
+            lambda: ("secret", "assigned", rng.choice(["token = ", "api_key: ", 'password="', "SECRET="]), "".join(rng.choice("abcdef0123456789ABCXYZ") for _ in range(rng.randrange(20, 60))) + "7"),
+            lambda: ("account", "cue", rng.choice(["account ", "iban ", "passport ", "ssn "]), digits(rng.randrange(9, 20))),
+            lambda: (None, "decoy", rng.choice(["order ", "article ", "built ", "about "]), digits(rng.randrange(7, 12))),
+            lambda: (None, "decoy groups", "sizes ", f"{digits(2)} {digits(2)} {digits(3)} {digits(2)}"),
+            lambda: (None, "decoy hash", "commit ", "%040x" % rng.getrandbits(160)),
+        ][i % 9]()
+        before = " ".join(rng.choice(words) for _ in range(rng.randrange(5, 40))) + " " + lead
+        out.append((f"{before}{item} " + " ".join(rng.choice(words) for _ in range(10)), kind, len(before), len(before) + len(item), cue))
+    return out
+
+
+def test_planted_spans_by_kind(spark):
+    """Recall and false alarms on spans whose truth the planting decides, not a feature. README has the rates: formats
+    that the corpus doesn't hold are found rarely, and any long hexadecimal word is taken for a key."""
+    from quarry.session import ship_package
+    ship_package(spark)
+    rows = planted(random.Random(12), 900)
+    judge = pii.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    d = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["every"] for r in pii.find(d, judge).collect()}
+    hit, n = {}, {}
+    for i, (_, kind, a, b, cue) in enumerate(rows):
+        key = (kind, cue)
+        n[key] = n.get(key, 0) + 1
+        covered = any(s["start"] <= a and b <= s["end"] or (s["start"] < b and s["end"] > a and kind is None) for s in found[i])
+        hit[key] = hit.get(key, 0) + covered
+    rate = {k: hit[k] / n[k] for k in n}
+    print("RATES", rate)
+    assert rate["secret", "assigned"] > 0.9 and rate["email", "masked"] > 0.9
+    assert rate[None, "decoy"] < 0.05 and rate[None, "decoy groups"] < 0.05
