@@ -13,17 +13,21 @@ from quarry.sources.views import _WS, conversation_pairs, feedback_columns, feed
 from quarry.streaming import jobs as sj
 
 
+def _table_stream(spark, sf, name):
+    return sj.table_stream(spark, f"{sf.rstrip('/')}/{name}.parquet")
+
+
 def feedback_stream(spark, sf):
     """feedback_v as a stream: events arrive as files; the conversation pairs are a static
     table (stream–static join)."""
     pairs = conversation_pairs(spark, sf)  # static side, a written table
     n = pairs.count()  # one scalar: the modulus of the fixture's pair assignment
-    ev = sj.file_stream(spark, sf, "events.parquet")
+    ev = _table_stream(spark, sf, "events")
     return feedback_columns(ev, pairs, F.lit(n))
 
 
 def _events_stream(spark, sf):
-    return sj.file_stream(spark, sf, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _run_update(spark, df, keys, mode="update"):
@@ -155,7 +159,7 @@ def f_stream_feedback_triggers(spark, sf):
 
 @query("f_stream_segments", ORACLE["f_segments"])
 def f_stream_segments(spark, sf):
-    docs = sj.file_stream(spark, sf, "documents.parquet")
+    docs = _table_stream(spark, sf, "documents")
     s = sj.stream_segments(docs, "doc_id", "text", base=F.concat(F.lit("doc"), F.col("doc_id").cast("string")),
                            separator="\n", min_words=50)
     return _run_append(spark, s.select("segment_id", "doc_id", "ordinal", "word_count"))

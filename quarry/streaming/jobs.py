@@ -41,6 +41,14 @@ def file_stream(spark: SparkSession, folder: str, pattern: str = "*", fmt: str =
     return r.load(folder)
 
 
+def table_stream(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A file-source stream over a table that is one file or a folder of files, with its schema. The path
+    goes to the source as a glob that only it matches, as a plain path has to be a folder there."""
+    path = path.rstrip("/")
+    schema = spark.read.format(fmt).load(path).schema
+    return spark.readStream.format(fmt).schema(schema).load(f"{path[:-1]}[{path[-1]}]")
+
+
 def text_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """T1/S21 source: one row per arriving file (whole text) with its path; `max_files` in a
     micro-batch."""

@@ -21,6 +21,19 @@ def test_stream_equals_batch(spark, sf):
         assert rows(s.select(*sorted(s.columns))) == rows(b.select(*sorted(b.columns))), stream
 
 
+def test_tables_that_are_folders(spark, tmp_path):
+    """A table is one file, or a folder of several."""
+    words = F.concat_ws(" ", F.array_repeat(F.lit("word"), 60))
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws("\n", words, F.lit("short"), words).alias("text"))
+    docs.repartition(3).write.parquet(str(tmp_path / "folder/documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "file/documents.parquet")
+    for kind in ("folder", "file"):
+        got = entry.queries()["f_stream_segments"](spark, str(tmp_path / kind))
+        assert rows(got.select("doc_id", "ordinal", "word_count")) == [(d, o, 60) for d in range(40) for o in (0, 2)], kind
+
+
 def test_restart_from_checkpoint_is_exactly_once(spark, sf):
     src = tempfile.mkdtemp(prefix="quarry-src-")
     ev = spark.read.parquet(f"{sf}/events.parquet")
