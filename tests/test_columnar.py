@@ -69,3 +69,19 @@ def test_term_counts():
     assert [{e["term"]: e["tf"] for e in g} for g in got] == [want(t) for t in xs] and all(len(g) == len({e["term"] for e in g}) for g in got)
     assert columnar.term_counts(pa.array([None, "", "a b"], pa.string()), ()).to_pylist() == [[], [], []]
     assert columnar.term_counts(pa.array([], pa.string()), stop).to_pylist() == []
+
+
+def test_long_columns_are_worked_on_in_slices(monkeypatch):
+    """No call sees more than SLICE_BYTES of texts (and one text); results are those of whole columns."""
+    xs = [t and t.lower() for t in texts()]
+    runs = [lambda c: columnar.frequent_words(c, 10, KEYWORD_STOPWORDS, 5, KEYWORD_STRIP), lambda c: columnar.first_letter_words(c, 10, 5),
+            lambda c: columnar.first_terms(c, TERMS, 3), lambda c: columnar.term_counts(c, ("the",))]
+    whole = [run(pa.array(xs)).to_pylist() for run in runs]
+    seen, words = [], columnar._words
+    monkeypatch.setattr(columnar, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(columnar, "_words", lambda c: seen.append(sum(len((t or "").encode()) for t in c.to_pylist())) or words(c))
+    for column in (pa.array(xs), pa.array(["skipped", *xs], pa.large_string()).slice(1)):
+        got = [run(column).to_pylist() for run in runs]
+        assert [[sorted(x, key=repr) for x in g] for g in got] == [[sorted(x, key=repr) for x in w] for w in whole]
+        assert got[:3] == whole[:3]
+    assert len(seen) > 20 and max(seen) <= 1000 + max(len((t or "").encode()) for t in xs)
