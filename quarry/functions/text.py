@@ -17,7 +17,7 @@ from quarry.functions import columnar
 from quarry.functions.lexicons import (CONTENT_DOMAIN_TERMS, DOMAIN_ORDER, FEEDBACK_CONCEPTS,
                                        FILENAME_DOMAIN_PATTERNS, FILENAME_DOMAIN_TERMS,
                                        KEYWORD_STOPWORDS, KEYWORD_STRIP, KNOWLEDGE_CONCEPTS,
-                                       WS_CLASS, WS_REGEX)
+                                       WORD_CLASS, WS_CLASS)
 
 
 def _c(x) -> Column:
@@ -30,12 +30,12 @@ def _lit_array(xs: Sequence[str]) -> Column:
 
 def words(text) -> Column:
     """Python `str.split()`: whitespace runs separate words, empty pieces dropped."""
-    return F.filter(F.split(_c(text), WS_REGEX), lambda x: x != "")
+    return F.regexp_extract_all(_c(text), F.lit(f"{WORD_CLASS}++"), 0)
 
 
 def word_count(text) -> Column:
     """Number of whitespace-separated words (one regex scan, no array)."""
-    return F.regexp_count(_c(text), F.lit(f"[^{WS_CLASS}]+"))
+    return F.regexp_count(_c(text), F.lit(f"{WORD_CLASS}++"))
 
 
 def long_words(text, min_len: int = 5, letters_only: bool = False) -> Column:
@@ -45,7 +45,7 @@ def long_words(text, min_len: int = 5, letters_only: bool = False) -> Column:
     if letters_only:
         pat = f"(?<![^{WS_CLASS}])\\p{{L}}{{{min_len},}}(?![^{WS_CLASS}])"
     else:
-        pat = f"[^{WS_CLASS}]{{{min_len},}}"
+        pat = f"{WORD_CLASS}{{{min_len},}}+"
     return F.regexp_extract_all(_c(text), F.lit(pat), 0)
 
 

@@ -30,6 +30,7 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", base=None
     b = F.col(base) if isinstance(base, str) else (base if base is not None else F.col(key).cast("string"))
     paras = F.filter(F.transform(F.split(F.col(text), re.escape(separator)), strip_ws), lambda p: p != "")
     x = docs.select(key, *keep, b.alias("_base"), F.posexplode(paras).alias("ordinal", "original_text"))
+    x = x.filter(F.length("original_text") >= 2 * min_words - 1)      # so many words and the gaps between
     x = x.withColumn("word_count", tx.word_count("original_text").cast("long"))
     return (x.filter(F.col("word_count") >= min_words)
             .withColumn("segment_id", F.concat(F.col("_base"), F.lit("_segment_"), F.col("ordinal").cast("string")))
