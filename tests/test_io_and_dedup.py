@@ -134,3 +134,13 @@ def test_knowledge_updates_merge_and_upsert(spark):
     more = spark.createDataFrame([("a", "later", None, 5, t, 2), ("c", "c", None, 1, t, 1)], cols)
     up = {r.id: r.content for r in ko.upsert(k, more, ["o"]).collect()}
     assert up == {"a": "later", "b": "y", "c": "c"}
+
+
+def test_shingles_as_a_step_and_moved_as_hashes(spark):
+    """The step gives the sets of `shingles`, also of odd texts; candidates come from hashes, strings only verify them."""
+    texts = ["a b c d", "A  B\tc\u3000d", "one", "two words", "", " \n ", None, "x x x x x x", "a\u0085b\u00a0c", "\u00df \u0130 z \U0001f600 y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r.g for r in go.add_shingles(df, "text", "g").collect()}
+    want = {r.id: r.s or [] for r in df.select("id", go.shingles(F.col("text")).alias("s")).collect()}
+    assert got == want and got[0] == ["a b c", "b c d"] and got[7] == ["x x x"] and got[2] == ["one"] and got[6] == []
+    assert [tuple(r) for r in go.near_duplicates(df, "id", "text", 0.8).collect()] == [(0, 1, 1.0)]
