@@ -42,11 +42,12 @@ def _run_append(spark, df):
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-def _arriving(spark, df, files, per_batch):
-    """`df` as a stream over several micro-batches: written as `files` files by Spark, read
-    `per_batch` at a time."""
+def _arriving(spark, df, batches):
+    """`df` as a stream over `batches` micro-batches: written by Spark as files, of which a batch reads as many
+    as `df` has partitions, or the cluster cores, so that batches run in parallel at any size."""
     folder = f"{sj.stream_root(spark)}/arriving"
-    df.repartition(files).write.parquet(folder)
+    per_batch = max(2, df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    df.repartition(batches * per_batch).write.parquet(folder)
     return sj.file_stream(spark, folder, "*.parquet", max_files=per_batch)
 
 
@@ -178,7 +179,7 @@ FROM seg JOIN det USING (doc_id) JOIN {_summary_domains_sql()} ON dom.domain = d
 WHERE len([w for w in regexp_split_to_array(body, '{_WS}') if w <> '']) >= 50""")
 def f_stream_training_data(spark, sf):
     """T1 end to end: documents arrive in three micro-batches; the JSONL lines are read back."""
-    docs = _arriving(spark, table(spark, sf, "documents").select("doc_id", "text", "source"), 6, per_batch=2)
+    docs = _arriving(spark, table(spark, sf, "documents").select("doc_id", "text", "source"), 3)
     lines = sj.stream_training_data(docs, domains_df(spark), _STREAM_INSTRUCTION, "doc_id", "text", "source",
                                     base=F.concat(F.lit("doc"), F.col("doc_id").cast("string")), separator="\n",
                                     min_words=50, content_terms=TEST_LEXICON, filename_patterns=FILENAME_DOMAIN_PATTERNS)
