@@ -95,15 +95,17 @@ def _keys(key: str | Sequence[str]) -> list[str]:
 
 
 def fit_tfidf(docs: DataFrame, key: str | Sequence[str] = "id", text: str = "content", group: str = "domain",
-              max_features: int = 5000, stopwords: Sequence[str] | None = None):
-    """Returns (vocab: group, term, idf; doc_weights: group, key, term, weight). The postings are written once."""
-    p = written(postings(docs, key, text, group, stopwords), "postings")
+              max_features: int = 5000, stopwords: Sequence[str] | None = None, weights: bool = True):
+    """Returns (vocab: group, term, idf; doc_weights: group, key, term, weight). The postings are written once;
+    with `weights` false only the vocabulary reads them, so they aren't written, and doc_weights is None."""
+    p = postings(docs, key, text, group, stopwords)
+    p = written(p, "postings") if weights else p
     n = docs.select(group).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     stats = p.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     vocab = top_k_rows(stats, [group], [F.col("cf").desc(), F.col("term")], max_features, "_vr")
     vocab = written(vocab.join(n, group).select(
         group, "term", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "vocabulary")
-    return vocab, weigh(p, vocab, key, group)
+    return vocab, weigh(p, vocab, key, group) if weights else None
 
 
 def weigh(p: DataFrame, vocab: DataFrame, key: str | Sequence[str], group: str = "domain") -> DataFrame:

@@ -58,7 +58,7 @@ def _queries(spark, sf):
 WITH {_tfidf_ctes()}
 SELECT domain, term, round(idf, 9) AS idf FROM vocab""", "kb_v"))
 def f_tfidf_vocab(spark, sf):
-    vocab, _ = rt.fit_tfidf(kb(spark, sf, ["content", "domain"]), "id", "content")
+    vocab, _ = rt.fit_tfidf(kb(spark, sf, ["content", "domain"]), "id", "content", weights=False)
     return vocab.select("domain", "term", _r("idf", 9).alias("idf"))
 
 
@@ -149,5 +149,5 @@ r AS (SELECT s.*, coalesce(sc.score, 0.0) AS score,
 SELECT id, string_agg(sentence, ' ' ORDER BY sent_no) AS summary FROM r WHERE rk <= 3 GROUP BY id""", "kb_v"))
 def f_extractive_summary(spark, sf):
     k = kb(spark, sf, ["content", "domain"])
-    vocab, _ = rt.fit_tfidf(k, "id", "content")
+    vocab, _ = rt.fit_tfidf(k, "id", "content", weights=False)
     return rt.extractive_summary(k, vocab, "id", "content", k=3).select("id", "summary")
