@@ -168,7 +168,10 @@ def stream_batches(fb: DataFrame, size: int = 10, key: str = "domain", item: str
 
 
 # ----------------------------------------------------------------------------- T8 (keyed state, event-time timers)
-def stream_session_phase(mfb: DataFrame, gap: str = "4 hours", delay: str = "1 hour") -> DataFrame:
+SESSION_BUCKETS = 512
+
+
+def stream_session_phase(mfb: DataFrame, gap: str = "4 hours", delay: str = "1 hour", buckets: int = SESSION_BUCKETS) -> DataFrame:
     """Phase and feedback count of mentor sessions as feedback arrives (session_id, feedback_id, ts,
     mtype, rating). A row is judged once the watermark has passed it, in the order (ts, feedback_id), so
     rows that come out of order within `delay` get the values of the batch rule (W7); later ones are
@@ -176,49 +179,59 @@ def stream_session_phase(mfb: DataFrame, gap: str = "4 hours", delay: str = "1 h
     one, from `initial`. Append mode; columns session_id, feedback_id, ts, session_start, feedback_count,
     phase.
 
-    State of a session: the rows that wait, the count and the weighted sums of its first rows. An
-    event-time timer stands at the oldest waiting row, or at the session's end if none waits; there
-    the state is removed."""
+    Sessions share keyed state in `buckets` hash buckets (those without an id have one of their own), as a call for
+    each session costs more than its rows. It is fixed for a checkpoint; take more for more rows in a batch. State of a
+    bucket: the rows that wait, and of each open session the count and the weighted sums of its first rows. An
+    event-time timer stands at the oldest waiting row or the first end of a session, whichever is next;
+    what has ended leaves the state, and an empty bucket is removed."""
     gap_us = int(pd.Timedelta(gap).total_seconds() * 1e6)
     weight, weighted = mo.weighted_parts()
-    rows = mfb.select("session_id", "feedback_id", "ts", F.unix_micros("ts").alias("_us"), weight.alias("_w"),
-                      weighted.alias("_ws")).withWatermark("ts", delay)
+    session = F.col("session_id").cast("long")
+    bucket = F.when(session.isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(session), F.lit(buckets)).cast("int"))
+    rows = mfb.filter(F.col("ts").isNotNull()).select(
+        bucket.alias("_bucket"), F.coalesce(session, F.lit(0)).alias("_s"), "feedback_id", "ts", F.unix_micros("ts").alias("_us"),
+        weight.alias("_w"), weighted.alias("_ws")).withWatermark("ts", delay)
     out_schema = "session_id long, feedback_id long, ts_us long, start_us long, feedback_count long, phase string"
-    state_schema = ("us array<long>, ids array<long>, w array<double>, ws array<double>, start long, last long, "
-                    "count long, sum_w double, sum_ws double")
+    state_schema = ("s array<long>, us array<long>, ids array<long>, w array<double>, ws array<double>, of array<long>, "
+                    "start array<long>, last array<long>, count array<long>, sum_w array<double>, sum_ws array<double>")
 
     def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        us, ids, w, ws, start, last, count, sum_w, sum_ws = state.get if state.exists else ([], [], [], [], None, None, 0, 0.0, 0.0)
-        waiting = list(zip(us, ids, w, ws))
+        kept = [list(x) for x in state.get] if state.exists else [[] for _ in range(11)]
+        waiting, sessions = list(zip(*kept[:5])), {s: (b, *v) for s, b, *v in zip(*kept[5:])}
         for pdf in pdfs:
-            waiting += zip(pdf["_us"].tolist(), pdf["feedback_id"].tolist(), pdf["_w"].tolist(), pdf["_ws"].tolist())
-        waiting.sort()
+            waiting += zip(*(pdf[c].tolist() for c in ("_s", "_us", "feedback_id", "_w", "_ws")))
+        waiting.sort(key=lambda x: x[1:])
         mark = state.getCurrentWatermarkMs()
         out, done = [], 0
-        for t, i, a, b in waiting:
+        for s, t, i, a, b in waiting:
             if t > mark * 1000:
                 break
-            if last is None or t - last >= gap_us:
+            start, last, count, sum_w, sum_ws = sessions.get(s, (t, t, 0, 0.0, 0.0))
+            if t - last >= gap_us:
                 start, count, sum_w, sum_ws = t, 0, 0.0, 0.0
-            last, count, done = t, count + 1, done + 1
+            count, done = count + 1, done + 1
             if count <= mo.PHASE_DECIDE_AT:
                 sum_w, sum_ws = sum_w + a, sum_ws + b
+            sessions[s] = start, t, count, sum_w, sum_ws
             score = sum_ws / sum_w if sum_w > 0 else 0.0
             phase = ("initial" if count < mo.PHASE_FEEDBACK_AT else "feedback" if count < mo.PHASE_DECIDE_AT
                      else "validation" if score >= mo.VALIDATION_SCORE else "refinement")
-            out.append((key[0], i, t, start, count, phase))
+            out.append((s, i, t, start, count, phase))
         waiting = waiting[done:]
-        wake = waiting[0][0] if waiting else last + gap_us
-        if not waiting and wake <= mark * 1000:
+        sessions = {s: v for s, v in sessions.items() if v[1] + gap_us > mark * 1000}
+        wake = min([v[1] + gap_us for v in sessions.values()] + [x[1] for x in waiting[:1]], default=None)
+        if wake is None:
             state.remove()
         else:
-            us, ids, w, ws = (list(x) for x in zip(*waiting)) if waiting else ([], [], [], [])
-            state.update((us, ids, w, ws, start, last, count, sum_w, sum_ws))
+            columns = [list(x) for x in zip(*waiting)] or [[] for _ in range(5)]
+            columns += [list(x) for x in zip(*((s, *v) for s, v in sessions.items()))] or [[] for _ in range(6)]
+            state.update(tuple(columns))
             state.setTimeoutTimestamp(max(mark + 1, wake // 1000 - 1))
         if out:
-            yield pd.DataFrame(out, columns=["session_id", "feedback_id", "ts_us", "start_us", "feedback_count", "phase"])
+            found = pd.DataFrame(out, columns=["session_id", "feedback_id", "ts_us", "start_us", "feedback_count", "phase"])
+            yield found.assign(session_id=None) if key[0] < 0 else found
 
-    found = rows.groupBy("session_id").applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    found = rows.groupBy("_bucket").applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
     return found.select("session_id", "feedback_id", F.timestamp_micros("ts_us").alias("ts"),
                         F.timestamp_micros("start_us").alias("session_start"), "feedback_count", "phase")
 
