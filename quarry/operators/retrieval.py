@@ -137,9 +137,11 @@ def _thresholds(marks: DataFrame, q: DataFrame, d: DataFrame, qkey: str, keys: l
     similarities of the best documents in the block that promises most."""
     gain = F.col("_wq") * F.col("_top")
     best = top_k_rows(marks, [group, qkey], [gain.desc(), F.col("term"), F.col("_block")], 1, "_b")
-    seeds = best.select(group, qkey, "term", "_block", "_wq").join(d, [group, "term", "_block"])
+    best = written(best.select(group, qkey, "term", "_block", "_wq"), "search-best")
+    seeds = best.join(d, [group, "term", "_block"])
     seeds = top_k_rows(seeds, [group, qkey], [(F.col("_wq") * F.col("_wd")).desc(), *map(F.col, keys)], limit, "_b")
-    scored = (seeds.select(group, qkey, *keys).join(q.select(group, qkey, "term", "_wq"), [group, qkey]).join(d, [group, *keys, "term"])
+    seeds = written(seeds.select(group, qkey, *keys).join(q.select(group, qkey, "term", "_wq"), [group, qkey]), "search-seeds")
+    scored = (seeds.join(d, [group, *keys, "term"])
               .groupBy(group, qkey, *keys).agg(F.sum(F.col("_wq") * F.col("_wd")).alias("_s")))
     found = scored.groupBy(group, qkey).agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_s"))
     return found.select(group, qkey, F.when(F.col("_n") >= limit, F.greatest(F.col("_s"), F.lit(floor))).otherwise(F.lit(floor)).alias("_theta"))
@@ -155,7 +157,8 @@ def bounded_similarity(query_w: DataFrame, doc_w: DataFrame, qkey: str = "query_
     terms before can add, stays below the query's threshold (a similarity that `limit` documents are known to reach, or
     the floor). So a term that nearly all documents hold, which weighs little, is not expanded into
     pairs. What the blocks read have found is kept if the skipped blocks could lift it over the threshold, and
-    only for these pairs the skipped terms are looked up. Terms of at most `read_all` documents of a group are always
+    only for these pairs the skipped terms are looked up. What is joined with the index is a table of a size known
+    before the join, so that the index itself isn't shuffled while that is small. Terms of at most `read_all` documents of a group are always
     read; if no term has more, this is `similarity`."""
     keys = _keys(dkey)
     most = doc_w.groupBy(group, "term").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -168,18 +171,19 @@ def bounded_similarity(query_w: DataFrame, doc_w: DataFrame, qkey: str = "query_
     share = F.col("_wq") * F.col("_most")
     before = Window.partitionBy(group, qkey).orderBy(share, "term").rowsBetween(Window.unboundedPreceding, -1)     # a query's terms
     q = q.withColumn("_rest", F.coalesce(F.sum(share).over(before), F.lit(0.0))).drop("_most")
-    marks = q.join(tops.drop("_n"), [group, "term"])
-    theta = _thresholds(marks, q, d, qkey, keys, group, limit, floor)
+    marks = written(q.join(tops.drop("_n"), [group, "term"]), "search-blocks")
+    theta = written(_thresholds(marks, q, d, qkey, keys, group, limit, floor), "search-thresholds")
     marks = marks.join(theta, [group, qkey]).withColumn(
         "_read", (F.col("_all") <= read_all) | (F.col("_wq") * F.col("_top") + F.col("_rest") >= F.col("_theta") - F.lit(_SLACK)))
-    found = (marks.filter("_read").select(group, qkey, "term", "_block", "_wq").join(d, [group, "term", "_block"])
+    read = written(marks.filter("_read").select(group, qkey, "term", "_block", "_wq"), "search-read")
+    found = (read.join(d, [group, "term", "_block"])
              .groupBy(group, qkey, *keys).agg(F.sum(F.col("_wq") * F.col("_wd")).alias("_s")))
     # of a term, the blocks of small weights are skipped: those up to `_upto`
-    skipped = marks.filter(~F.col("_read")).groupBy(group, qkey, "term").agg(
-        F.max("_block").alias("_upto"), F.max(F.col("_wq") * F.col("_top")).alias("_gain"), F.first("_wq").alias("_wq"))
+    skipped = written(marks.filter(~F.col("_read")).groupBy(group, qkey, "term").agg(
+        F.max("_block").alias("_upto"), F.max(F.col("_wq") * F.col("_top")).alias("_gain"), F.first("_wq").alias("_wq")), "search-skipped")
     missing = skipped.groupBy(group, qkey).agg(F.sum("_gain").alias("_miss"))
-    alive = (found.join(theta, [group, qkey]).join(missing, [group, qkey], "left")
-             .filter(F.col("_s") + F.coalesce("_miss", F.lit(0.0)) >= F.col("_theta") - F.lit(_SLACK)).select(group, qkey, *keys, "_s"))
+    alive = written(found.join(theta, [group, qkey]).join(missing, [group, qkey], "left")
+                    .filter(F.col("_s") + F.coalesce("_miss", F.lit(0.0)) >= F.col("_theta") - F.lit(_SLACK)).select(group, qkey, *keys, "_s"), "search-pairs")
     more = (alive.select(group, qkey, *keys).join(skipped, [group, qkey]).join(d, [group, *keys, "term"])
             .filter(F.col("_block") <= F.col("_upto")).select(group, qkey, *keys, (F.col("_wq") * F.col("_wd")).alias("_s")))
     return alive.unionByName(more).groupBy(group, qkey, *keys).agg(F.round(F.sum("_s"), 9).alias("similarity"))

@@ -3,8 +3,7 @@
 Both are written as `row_number() <= k` over a window, which Spark plans as a partial
 `WindowGroupLimit` before the shuffle for k up to `GROUP_LIMIT`: every map task keeps only k
 candidates per group, so a group holding a third of all rows never moves more than k rows per
-task. For larger k the same is done in two stages, of the rows of a group in hash buckets, then of
-the buckets' best. The term counts are a partial/final aggregate on (group, term), so the shuffle
+task. For larger k that setting of the session is raised. The term counts are a partial/final aggregate on (group, term), so the shuffle
 carries distinct pairs only.
 """
 from __future__ import annotations
@@ -19,19 +18,18 @@ def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-GROUP_LIMIT = 1000    # Spark's default of spark.sql.optimizer.windowGroupLimitThreshold
+LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+GROUP_LIMIT = 1000    # Spark's default of LIMIT_CONF
 
 
 def top_k_rows(df: DataFrame, group_by: Sequence[str], order_by: Sequence[Column], k: int,
                rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..k inside each group by `order_by` (give a total order for stable results).
-    Beyond GROUP_LIMIT, the k best of each (group, hash bucket) are found first, so that no task
-    sorts a whole group; exact, as the order is total."""
+    Spark keeps the k best of each (task, group) before the shuffle up to a k in its settings, by default
+    GROUP_LIMIT: for a larger k that setting is raised, so that the other rows don't move."""
     if k > GROUP_LIMIT:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = df.withColumn("_k_bucket", F.pmod(F.xxhash64(*df.columns), F.lit(buckets)))
-        w = Window.partitionBy(*group_by, "_k_bucket").orderBy(*order_by)
-        df = spread.withColumn("_k_rank", F.row_number().over(w)).filter(F.col("_k_rank") <= k).drop("_k_bucket", "_k_rank")
+        conf = df.sparkSession.conf
+        conf.set(LIMIT_CONF, str(max(k, int(conf.get(LIMIT_CONF, str(GROUP_LIMIT))))))
     w = Window.partitionBy(*group_by).orderBy(*order_by) if group_by else Window.orderBy(*order_by)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
