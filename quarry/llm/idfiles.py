@@ -132,7 +132,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
           id_bits: int = 16) -> DataFrame:
     """Files of all rows of `docs` in ascending order of their ids, in `folder` (a URI that all executors
     share). Returns the written table of row groups."""
-    spark = docs.sparkSession
+    spark, layout = docs.sparkSession, _layout(encoding, page_bytes)
     store, top = pafs.FileSystem.from_uri(folder)
     store.create_dir(top, recursive=True)
     with open(vocabulary, "rb") as f:
@@ -142,7 +142,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     keys = [F.col("doc_id").asc_nulls_first(), "tie", "salt"]
     dealt = rows.repartitionByRange(X.shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     id_type = pa.uint16() if id_bits == 16 else pa.uint32()
-    found = dealt.mapInArrow(_written(folder, file, end, id_type, group_tokens, _layout(encoding, page_bytes)), _GROUPS)
+    found = dealt.mapInArrow(_written(folder, file, end, id_type, group_tokens, layout), _GROUPS)
     return X.table(_before(X.table(found, "groups")), "id-groups")
 
 
