@@ -19,13 +19,16 @@ import pyarrow.compute as pc
 SLICE = 1 << 20          # bytes hashed at a time
 BLOCK_BYTES = 4 << 20   # bytes of text that a task treats as one block
 BLOCK_ROWS = 2048        # rows of a block at most
+SMALL = {"rows": 1024, "size": 2 << 20}     # of blocks whose work needs many arrays, and whose results don't depend on the block
 
 
 def _give_back() -> None:
     """glibc keeps freed arrays of up to 32 MB in the process, so a worker that serves several
-    operators would hold the largest of each. Arrays of 4 MB and more go back to the system instead."""
+    operators would hold the largest of each. Arrays of 2 MB and more go back to the system instead,
+    and so do Arrow's, which its own pool would keep."""
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
-        ctypes.CDLL(None).mallopt(-3, 4 << 20)      # M_MMAP_THRESHOLD
+        ctypes.CDLL(None).mallopt(-3, 2 << 20)      # M_MMAP_THRESHOLD
     except (AttributeError, OSError):               # another C library
         pass
 

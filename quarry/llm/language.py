@@ -92,7 +92,7 @@ _COUNTED = "lang string, bucket int, codes binary, counts binary"
 def _counted(text_col: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for block in K.blocks(batches, text_col):
+        for block in K.blocks(batches, text_col, **K.SMALL):
             t = K.texts(block.column(text_col))
             w = K.words(t, ends=True)
             names, lang = np.unique(np.array(block.column("lang").to_pylist(), object).astype(str), return_inverse=True)
@@ -248,7 +248,7 @@ def spread(n: np.ndarray) -> np.ndarray:
 def _predicted(text_col: str, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        for block in K.blocks(batches, text_col):
+        for block in K.blocks(batches, text_col, **K.SMALL):
             h, n = m.entropies(K.texts(block.column(text_col))) if m.langs else (np.zeros((len(block), 0)), np.ones(len(block)))
             lang, score, entropy, bad = [UNKNOWN] * len(block), np.zeros(len(block)), np.zeros(len(block)), n == 0
             if m.langs:
@@ -287,7 +287,7 @@ def _tried(text_col: str, model):
     loss at each temperature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        for block in K.blocks(batches, text_col):
+        for block in K.blocks(batches, text_col, **K.SMALL):
             h, n = m.entropies(K.texts(block.column(text_col)))
             labels = block.column("lang").to_pylist()
             use = np.flatnonzero([x in m.langs and k > 0 for x, k in zip(labels, n)])

@@ -93,7 +93,7 @@ def densify(value: np.ndarray, full: np.ndarray) -> np.ndarray:
 
 def _signed(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in K.blocks(batches, text_col):
+        for block in K.blocks(batches, text_col, **K.SMALL):
             n = len(block)
             doc, h = shingles(K.texts(block.column(text_col)))
             x = h >> _U(12)                                   # 52 bits tell the shingles of a text apart
