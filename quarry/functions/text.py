@@ -120,10 +120,11 @@ def _joined_lower(cols) -> Column:
 
 def _matches(low: Column, terms: Sequence[str]) -> Column:
     """Terms (in order, duplicates kept) contained in `low`; unrolled so whole-stage codegen
-    evaluates `low` once per row (common subexpression)."""
+    evaluates `low` once per row (common subexpression). `contains` compares a term only where its
+    first byte occurs, `instr` at every character."""
     if not terms:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(F.instr(low, F.lit(t)) > 0, F.lit(t)) for t in terms]))
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms]))
 
 
 _HEAD = 512      # characters in which a text's first keywords are looked for before the whole text is scanned
